@@ -111,7 +111,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 2 * BLOCK_BYTES)
         inverse = pow(_BASE, -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, inverse)]
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, inverse)]
     return _powers[0], _powers[1]
 
 
@@ -128,3 +128,97 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), dtype=np.uint8)
     ends = np.cumsum([len(w) for w in words]).astype(np.int64)
     return span_hashes(data, ends - np.array([len(w) for w in words], np.int64), ends) if words else np.zeros(0, np.uint64)
+
+
+class HashIndex:
+    """Rows by 64-bit hash: open addressing in arrays, whole batches at a time."""
+
+    def __init__(self, bits: int = 12):
+        self._room(bits)
+        self.n = 0
+
+    def _room(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, or -1."""
+        at = (hashes >> self.shift).astype(np.int64)
+        found = self.values[at]
+        left = np.flatnonzero((self.keys[at] != hashes) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.values[at[left]]
+            left = left[(self.keys[at[left]] != hashes[left]) & (found[left] >= 0)]
+        return found
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Give new, distinct hashes the next rows, in order."""
+        if 2 * (self.n + len(hashes)) > len(self.keys):
+            old, rows = self.keys[self.values >= 0], self.values[self.values >= 0]
+            self._room(int(np.ceil(np.log2(4 * (self.n + len(hashes))))))
+            self._put(old, rows)
+        self._put(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+    def _put(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        at = (hashes >> self.shift).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.values[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]] = hashes[won], rows[won]
+            lost = np.ones(len(at), bool)
+            lost[won] = False
+            hashes, rows, at = hashes[lost], rows[lost], (at[lost] + 1) & self.mask
+
+
+class WordMemo:
+    """What a task has worked out for each distinct word so far, by hash; forgotten and begun anew at `limit` words.
+
+    Subclasses give learn(words), which appends the results of new words in order, and forget().
+    """
+
+    limit = 1_000_000
+
+    def __init__(self) -> None:
+        self.index = HashIndex()
+        self.forget()
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def learn(self, words: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row of each word's results; new words are learnt first, in sorted order."""
+        if self.index.n > self.limit:
+            self.index = HashIndex()
+            self.forget()
+        hashes = span_hashes(data, starts, ends)
+        found = self.index.find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, first = np.unique(hashes[new], return_index=True)
+            raw, at = data.tobytes(), new[first]
+            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            order = sorted(range(len(words)), key=words.__getitem__)
+            self.index.add(distinct[order])
+            self.learn([words[i] for i in order])
+            found[new] = self.index.find(hashes[new])
+        return found
+
+
+def grown(array: np.ndarray, n: int) -> np.ndarray:
+    """array with room for n rows, doubled as needed."""
+    while len(array) < n:
+        array = np.concatenate((array, np.zeros_like(array)))
+    return array
+
+
+def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values[bounds[i]:bounds[i + 1]]; empty ranges sum to 0."""
+    sums = np.zeros((len(values) + 1, *values.shape[1:]), values.dtype if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, axis=0, out=sums[1:], dtype=sums.dtype)
+    return sums[bounds[1:]] - sums[bounds[:-1]]

@@ -21,11 +21,11 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.llm.common import table, text_blocks
+from huntframe.llm.common import SPACES, WordMemo, class_table, grown, row_sums, table, text_blocks, word_spans
 
 NAME = "op1_token_counts"
 WORD_MARK = "▁".encode()
-_MEMO_WORDS = 500_000
+_IS_WORD = class_table(SPACES)
 #: Text whose new pre-tokens share one trie.
 TRIE_BYTES = 4 << 20
 
@@ -40,7 +40,7 @@ def load_pieces(path: str) -> dict[bytes, float]:
     return dict(zip(ranked, np.log10(weights / weights.sum()).tolist()))
 
 
-class PieceCounter:
+class PieceCounter(WordMemo):
     """Piece counts of pre-tokens, with a bounded memo across batches."""
 
     def __init__(self, pieces: dict[bytes, float], mark: bytes = WORD_MARK):
@@ -54,9 +54,10 @@ class PieceCounter:
             for byte in piece:
                 node = node[0].setdefault(byte, [{}, None])
             node[1] = score
-        self.words: dict[bytes, int] = {}
-        self.tokens = np.zeros(1024, np.int32)
-        self.scores = np.zeros(1024)
+        super().__init__()
+
+    def forget(self) -> None:
+        self.n, self.tokens, self.scores = 0, np.zeros(1024, np.int32), np.zeros(1024)
 
     def _start(self) -> tuple[float, int, list]:
         return 0.0, 0, [(0.0, 0, self.root)]
@@ -77,13 +78,13 @@ class PieceCounter:
         going.append((best, pieces, self.root))
         return best, pieces, going
 
-    def learn(self, fresh: list[bytes]) -> None:
-        """Put distinct pre-tokens in a trie, walked depth first in sorted order, and store the terminal nodes."""
+    def learn(self, words: list[bytes]) -> None:
+        """Put distinct, sorted pre-tokens in a trie, walked depth first, and store the terminal nodes."""
         path = [self._start()]
         for byte in self.mark:
             path.append(self._step(path[-1], byte))
-        base, last = len(path), b""
-        for word in sorted(fresh):
+        base, last, ends = len(path), b"", []
+        for word in words:
             shared = 0
             for a, b in zip(word, last):
                 if a != b:
@@ -93,25 +94,16 @@ class PieceCounter:
             for byte in word[shared:]:
                 path.append(self._step(path[-1], byte))
             last = word
-            at = len(self.words)
-            if at == len(self.tokens):
-                self.tokens = np.concatenate((self.tokens, np.zeros_like(self.tokens)))
-                self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            self.scores[at], self.tokens[at] = path[-1][0], path[-1][1]
-            self.words[word] = at
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            ends.append(path[-1][:2])
+        self.tokens, self.scores = grown(self.tokens, self.n + len(words)), grown(self.scores, self.n + len(words))
+        self.scores[self.n : self.n + len(words)], self.tokens[self.n : self.n + len(words)] = zip(*ends)
+        self.n += len(words)
 
-    def count(self, texts: list[bytes]) -> Iterator[tuple[int, int, float]]:
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and log10 score of each text of a block."""
-        split = [t.split() for t in texts]  # bytes split at ASCII white space only
-        if len(self.words) > _MEMO_WORDS:
-            self.words.clear()
-        self.learn([w for w in set().union(*split) if w not in self.words])
-        for words in split:
-            at = self.rows(words)
-            yield len(words), int(self.tokens[at].sum(dtype=np.int64)), float(self.scores[at].sum())
+        starts, ends, bounds = word_spans(data, offsets, _IS_WORD)
+        rows = self.rows(data, starts, ends)
+        return np.diff(bounds), row_sums(self.tokens[rows], bounds), row_sums(self.scores[rows], bounds)
 
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, score double"
@@ -124,13 +116,11 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _counters:
             _counters[vocabulary] = PieceCounter(load_pieces(vocabulary))
+        counter = _counters[vocabulary]
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
-            for _, _, data, offsets in text_blocks(batch.column("text"), TRIE_BYTES):
-                raw, ends = data.tobytes(), offsets.tolist()
-                out += _counters[vocabulary].count([raw[a:b] for a, b in zip(ends[:-1], ends[1:])])
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["doc_id", "n_words", "n_tokens", "score"])
+            blocks = [counter.count(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"), TRIE_BYTES)]
+            columns = [np.concatenate(x) for x in zip(*blocks)] or [np.zeros(0)] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64())))], ["doc_id", "n_words", "n_tokens", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -25,16 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import table
+from huntframe.llm.common import LOWER, WordMemo, class_table, grown, row_sums, table, text_blocks, word_spans
 
 NAME = "op4_language_id"
 UNDETERMINED = "und"
 
 #: Runs of letters (and of the few letter-like numerals that Python's \w holds).
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MEMO_WORDS = 500_000
-#: Characters judged together; a single longer document is judged alone.
-BLOCK_CHARS = 1 << 20
+#: Where a text can be cut without looking at its characters: ASCII that is no letter. Letters are told apart within the chunks.
+_IS_CHUNK = class_table(bytes(b for b in range(128) if not 0x61 <= b <= 0x7A))
 
 
 class CharAutomaton:
@@ -99,61 +98,45 @@ class CharAutomaton:
         return out
 
 
-class CrossParser:
-    """The languages' automata and a bounded memo of words parsed before."""
+class CrossParser(WordMemo):
+    """The languages' automata and the phrases of the chunks parsed so far."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         self.automata = [CharAutomaton(samples[x]) for x in self.languages]
         self.bits = np.array([math.log2(2 + len(samples[x])) for x in self.languages])
-        self.words: dict[str, int] = {}
-        self.counts = np.zeros((1024, max(1, len(self.languages))), np.int32)
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        known = self.words
-        if len(known) > _MEMO_WORDS:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
-        self._learn(sorted(set(words).difference(known)))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def _learn(self, fresh: list[str]) -> None:
-        """Parse sorted new words against every language's text."""
-        lo, hi = len(self.words), len(self.words) + len(fresh)
-        while hi > len(self.counts):
-            self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
-        padded = [f" {word} " for word in fresh]
-        for column, automaton in enumerate(self.automata):
-            self.counts[lo:hi, column] = automaton.phrases(padded)
-        self.words.update(zip(fresh, range(lo, hi)))
-
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
-        """For each text the language, the score (how far the best lies below the second, 0 to 1) and bits a letter."""
-        split = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
-        if self.languages:
-            self._rows([w for words in split for w in words])
-        return [self._judge(text, words) for text, words in zip(texts, split)]
-
-    def _judge(self, text: str | None, words: list[str]) -> tuple[str, float, float | None]:
-        if not self.languages or not words or not any(map(str.isalpha, words)) and not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0, None
-        bits = self._total(words) * self.bits
-        bits = bits / (sum(map(len, words)) + len(words))
-        best = int(np.argmin(bits))
-        others = np.delete(bits, best)
-        score = 1.0 - float(bits[best] / others.min()) if len(others) else 1.0
-        return self.languages[best], min(1.0, max(0.0, score)), float(bits[best])
-
-    def _total(self, words: list[str]) -> np.ndarray:
-        """Phrases of all the words, by language."""
-        total = np.zeros(len(self.languages), np.int64)
-        for i in range(0, len(words), 50_000):
-            rows = self._rows(words[i : i + 50_000])  # may enlarge counts
-            total += self.counts[rows].sum(0, dtype=np.int64)
-        return total
+        super().__init__()
+
+    def forget(self) -> None:
+        #: by chunk: phrases in each language, characters of its words with one space each, words with a letter
+        self.n, self.table = 0, np.zeros((1024, len(self.languages) + 2), np.int32)
+
+    def learn(self, words: list[bytes]) -> None:
+        own = [_LETTERS.findall(w.decode().lower()) for w in words]
+        distinct = sorted({w for ws in own for w in ws})
+        padded = [f" {w} " for w in distinct]
+        phrases = np.array([*(a.phrases(padded) for a in self.automata), [len(w) + 1 for w in distinct], [any(map(str.isalpha, w)) for w in distinct]], np.int32).T
+        at = dict(zip(distinct, range(len(distinct))))
+        bounds = np.concatenate(([0], np.cumsum([len(ws) for ws in own])))
+        self.table = grown(self.table, self.n + len(words))
+        self.table[self.n : self.n + len(words)] = row_sums(phrases[[at[w] for ws in own for w in ws]], bounds) if distinct else 0
+        self.n += len(words)
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each text of a block the language, the score (how far the best lies below the second, 0 to 1) and bits a letter (NaN for `und`)."""
+        data = LOWER[data]
+        starts, ends, bounds = word_spans(data, offsets, _IS_CHUNK)
+        rows = self.rows(data, starts, ends)  # may enlarge the table
+        totals = row_sums(self.table[rows], bounds)
+        if not self.languages:
+            return [UNDETERMINED] * len(totals), np.zeros(len(totals)), np.full(len(totals), np.nan)
+        known = totals[:, -1] > 0
+        bits = totals[:, :-2] * self.bits / np.maximum(totals[:, -2:-1], 1)
+        best = np.argmin(bits, axis=1)
+        lowest = np.sort(bits, axis=1)
+        score = 1.0 - lowest[:, 0] / np.maximum(lowest[:, 1], 1e-9) if len(self.languages) > 1 else np.ones(len(bits))
+        names = [self.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
+        return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0], np.nan)
 
 
 def sample_texts(labelled: DataFrame, sample_docs: int = 80, sample_chars: int = 1000) -> dict[str, str]:
@@ -190,16 +173,11 @@ def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = (
             _parsers[digest] = CrossParser(shipped.value)
         parser = _parsers[digest]
         for batch in batches:
-            judged, texts, held = [], [], 0
-            for t in batch.column("_text"):
-                texts.append(t.as_py())
-                held += len(texts[-1] or "")
-                if held > BLOCK_CHARS:
-                    judged += parser.judge(texts)
-                    texts, held = [], 0
-            judged += parser.judge(texts)
+            judged = [parser.judge(data, offsets) for _, _, data, offsets in text_blocks(batch.column("_text"))]
             kept = [batch.column(i) for i in range(len(keep))]
-            added = [pa.array([j[i] for j in judged], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            names = pa.array([n for x in judged for n in x[0]], pa.string())
+            score, bits = (np.concatenate([x[i] for x in judged] or [np.zeros(0)]) for i in (1, 2))
+            added = [names, pa.array(score), pa.array(bits, mask=np.isnan(bits))]
             yield pa.RecordBatch.from_arrays([*kept, *added], [*keep, "lang_pred", "score", "bits"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from huntframe.llm import op1_token_counts as op1
+from huntframe.llm import op10_best_fit_packing as op10
 from huntframe.llm import op2_license_scans as op2
 from huntframe.llm import op4_language_id as op4
 
-MODULES = (op1, op2, op4)
+MODULES = (op1, op2, op4, op10)
 
 
 def queries() -> dict:
