@@ -6,8 +6,10 @@ from huntframe.llm import op1_token_counts as op1
 from huntframe.llm import op10_best_fit_packing as op10
 from huntframe.llm import op2_license_scans as op2
 from huntframe.llm import op4_language_id as op4
+from huntframe.llm import op5_source_mixing as op5
+from huntframe.llm import op8_document_fingerprints as op8
 
-MODULES = (op1, op2, op4, op10)
+MODULES = (op1, op2, op4, op5, op8, op10)
 
 
 def queries() -> dict:
