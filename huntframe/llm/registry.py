@@ -8,8 +8,9 @@ from huntframe.llm import op2_license_scans as op2
 from huntframe.llm import op4_language_id as op4
 from huntframe.llm import op5_source_mixing as op5
 from huntframe.llm import op8_document_fingerprints as op8
+from huntframe.llm import op9_minhash_dedup as op9
 
-MODULES = (op1, op2, op4, op5, op8, op10)
+MODULES = (op1, op2, op4, op5, op8, op9, op10)
 
 
 def queries() -> dict:
