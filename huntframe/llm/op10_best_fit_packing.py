@@ -25,25 +25,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import SPACES, WordMemo, class_table, cut, grown, parts, table, text_blocks, word_spans
+from huntframe.llm.common import LOWER, SPACES, WordMemo, cut, grown, parts, table, text_blocks
 
 NAME = "op10_best_fit_packing"
-_IS_WORD = class_table(SPACES)
+
+# Classes of bytes: 0 white space, 1 a-z, 2 punctuation, 3 digits, 4 what can belong to either neighbour
+# (the apostrophe, control characters and bytes of non-ASCII characters).
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[b for b in range(0x21, 0x7F) if b != 0x27]] = 2
+_CLASS[0x30:0x3A] = 3
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
+_CLASS[np.frombuffer(SPACES, np.uint8)] = 0
+#: Whether a pre-token always ends between two classes: letters and punctuation part, a digit stands alone.
+_PARTS = np.zeros((5, 5), bool)
+_PARTS[0, :] = _PARTS[:, 0] = _PARTS[3, :] = _PARTS[:, 3] = _PARTS[1, 2] = _PARTS[2, 1] = True
+_SPACES_ONLY = np.zeros((5, 5), bool)
+_SPACES_ONLY[0, :] = _SPACES_ONLY[:, 0] = True
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray, parts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each stretch that no class change cuts, and each row's first (with a last entry: all stretches)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = _CLASS[data]
+    cut_before = np.ones(len(data) + 1, bool)
+    cut_before[1:-1] = parts_at.ravel()[kind[:-1] * 5 + kind[1:]]
+    cut_before[offsets] = True
+    solid = kind > 0
+    starts, ends = np.flatnonzero(cut_before[:-1] & solid), np.flatnonzero(cut_before[1:] & solid) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
 
 Plan = list[tuple[int, tuple[int, ...]]]  # how many sequences are filled with which lengths
 
 
 class ChunkTokenizer(WordMemo):
-    """Token ids of texts, put together from the ids of the chunks between ASCII white space.
+    """Token ids of texts, put together from the ids of short stretches.
 
-    Neither normaliser nor pre-tokeniser of the vocabulary looks across white space, so a text's ids are
-    its chunks' ids in order. The memo keeps the ids of the chunks seen.
+    Neither normaliser nor pre-tokeniser of the vocabulary looks across white space, digits, or a change
+    between letters and punctuation (but for the apostrophe and non-ASCII characters, which are never cut
+    off), so a text's ids are its stretches' ids in order; and it lower-cases, so A-Z can be lower-cased
+    first. A block that may hold special tokens is cut at white space only, as it is. The memo keeps the
+    ids of the stretches seen.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
+        self.marker = b"<|"  # begins every special token of the vocabulary
         super().__init__()
 
     def forget(self) -> None:
@@ -51,17 +82,33 @@ class ChunkTokenizer(WordMemo):
         self.length, self.start, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
+        if any(b"0" in w for w in words):  # a digit of its own, or anything in a block cut at white space only
+            ids, lengths = self._one_by_one(words)
+        else:
+            ids, lengths = self._joined(words)
+        now = slice(self.n, self.n + len(words))
+        self.length, self.start, self.ids = grown(self.length, now.stop), grown(self.start, now.stop), grown(self.ids, self.used + len(ids))
+        self.length[now], self.start[now] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = now.stop, self.used + len(ids)
+
+    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total, now = int(lengths.sum()), slice(self.n, self.n + len(words))
-        self.length, self.start, self.ids = grown(self.length, now.stop), grown(self.start, now.stop), grown(self.ids, self.used + total)
-        self.length[now], self.start[now] = lengths, self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
-        self.n, self.used = now.stop, self.used + total
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, words: list[bytes], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without a 0: many words in one call, a 0 after each to tell them apart."""
+        texts = [(b" 0 ".join(words[i : i + at_once]) + b" 0").decode() for i in range(0, len(words), at_once)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.zero)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, each text's followed by end_id, and where each text's begin (with a last entry: all ids)."""
-        starts, ends, bounds = word_spans(data, offsets, _IS_WORD)
+        special = self.marker in data.tobytes()
+        data = data if special else LOWER[data]
+        starts, ends, bounds = unit_spans(data, offsets, _SPACES_ONLY if special else _PARTS)
         rows = self.rows(data, starts, ends)
         lengths = self.length[rows]
         before = np.concatenate(([0], np.cumsum(lengths)))
