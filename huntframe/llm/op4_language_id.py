@@ -160,27 +160,49 @@ def sample_texts(labelled: DataFrame, sample_docs: int = 80, sample_chars: int =
 _parsers: dict[str, CrossParser] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every document with lang_pred, score and bits (bits a letter, null for `und`). Map-only."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(samples)  # bounded by sample_docs * sample_chars a language
-    digest = hashlib.md5(repr(sorted(samples.items())).encode()).hexdigest()
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits", "double")
+def _parser(shipped, digest: str) -> CrossParser:
+    if digest not in _parsers:  # kept for the worker's later tasks
+        _parsers.clear()
+        _parsers[digest] = CrossParser(shipped.value)
+    return _parsers[digest]
+
+
+def _ship(docs: DataFrame, samples: dict[str, str]) -> tuple:
+    """The samples, bounded by sample_docs * sample_chars a language, as a broadcast, and a name for them."""
+    return docs.sparkSession.sparkContext.broadcast(samples), hashlib.md5(repr(sorted(samples.items())).encode()).hexdigest()
+
+
+def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """doc_id, lang_pred, score and bits (bits a letter, null for `und`) of every document. Map-only."""
+    shipped, digest = _ship(docs, samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if digest not in _parsers:  # kept for the worker's later tasks
-            _parsers.clear()
-            _parsers[digest] = CrossParser(shipped.value)
-        parser = _parsers[digest]
+        parser = _parser(shipped, digest)
         for batch in batches:
-            judged = [parser.judge(data, offsets) for _, _, data, offsets in text_blocks(batch.column("_text"))]
-            kept = [batch.column(i) for i in range(len(keep))]
+            judged = [parser.judge(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"))]
             names = pa.array([n for x in judged for n in x[0]], pa.string())
             score, bits = (np.concatenate([x[i] for x in judged] or [np.zeros(0)]) for i in (1, 2))
-            added = [names, pa.array(score), pa.array(bits, mask=np.isnan(bits))]
-            yield pa.RecordBatch.from_arrays([*kept, *added], [*keep, "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(score), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "lang_pred", "score", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+
+
+def keep_identified(docs: DataFrame, samples: dict[str, str], most_bits: float = 10.0) -> DataFrame:
+    """The documents in one of the learnt languages, all columns as they are.
+
+    Rejected are `und` and texts that no language covers with fewer than most_bits a letter, which is far
+    above what prose, even a single word of it, needs.
+    """
+    shipped, digest = _ship(docs, samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(shipped, digest)
+        for batch in batches:
+            bits = [parser.judge(data, offsets)[2] for _, _, data, offsets in text_blocks(batch.column("text"))]
+            if bits:
+                yield batch.filter(pa.array(np.concatenate(bits) <= most_bits))  # NaN is never kept
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def is_held_out(folds: int, fold: int) -> F.Column:

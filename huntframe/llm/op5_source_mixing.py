@@ -85,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
     more = F.when(F.col("draw") < F.coalesce("last_draw", F.lit("g")), F.col("size")).when(F.col("draw") == F.col("last_draw"), F.floor(F.col("part") * F.col("size") / F.col("last_size"))).otherwise(0)
     more = F.when(F.col("last_draw").isNull(), 0).otherwise(more)
-    joined = sized.alias("d").join(F.broadcast(plan(sized, weights, max_epochs)).alias("p"), same) if _few_sources(sized) else sized.alias("d").join(plan(sized, weights, max_epochs).alias("p"), same)
+    side = plan(sized, weights, max_epochs)
+    joined = sized.alias("d").join((F.broadcast(side) if _few_sources(sized) else side).alias("p"), same)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
 
 
@@ -93,11 +94,12 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
     """The mixed corpus: each document's row as often as the mix takes it whole (the one taken in part counts from a half)."""
     sized = cut(docs.select("doc_id", "source", word_count().alias("size"), draw(seed).alias("draw")))
     planned = plan(sized, weights, max_epochs)
-    same = F.col("d._source").eqNullSafe(F.col("p.source"))
-    more = F.when((F.col("_draw") < F.col("last_draw")) | ((F.col("_draw") == F.col("last_draw")) & (2 * F.col("part") >= F.col("last_size"))), 1).otherwise(0)
     side = planned.select("source", "whole", "last_draw", "last_size", "part")
-    marked = docs.withColumn("_draw", draw(seed)).withColumn("_source", F.col("source")).alias("d").join(F.broadcast(side).alias("p") if _few_sources(sized) else side.alias("p"), same)
-    return marked.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), (F.col("whole") + more).cast("int")))).select(*(F.col(f"d.{c}") for c in docs.columns))
+    side = F.broadcast(side) if _few_sources(sized) else side
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), draw(seed).alias("draw"), "source")  # whatever the columns are called
+    joined = marked.alias("d").join(side.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    more = F.when((F.col("draw") < F.col("last_draw")) | ((F.col("draw") == F.col("last_draw")) & (2 * F.col("part") >= F.col("last_size"))), 1).otherwise(0)
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), (F.col("whole") + more).cast("int")))).select("doc.*")
 
 
 def _few_sources(sized: DataFrame, most: int = 50_000) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from huntframe.llm import op1_token_counts as op1
 from huntframe.llm import op10_best_fit_packing as op10
 from huntframe.llm import op2_license_scans as op2
+from huntframe.llm import op3_lm_scoring as op3
 from huntframe.llm import op4_language_id as op4
 from huntframe.llm import op5_source_mixing as op5
 from huntframe.llm import op6_url_filters as op6
@@ -12,7 +13,7 @@ from huntframe.llm import op7_exact_topk as op7
 from huntframe.llm import op8_document_fingerprints as op8
 from huntframe.llm import op9_minhash_dedup as op9
 
-MODULES = (op1, op2, op4, op5, op6, op7, op8, op9, op10)
+MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10)
 
 
 def queries() -> dict:
