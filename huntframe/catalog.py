@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from huntframe.plans import oracle
+from huntframe.plans import queries as registered
+
 FLAGSHIP = "auth_failure_spike"
 
 
 def queries() -> dict:
-    return {}
+    return registered.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
