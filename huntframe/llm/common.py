@@ -130,6 +130,17 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return span_hashes(data, ends - np.array([len(w) for w in words], np.int64), ends) if words else np.zeros(0, np.uint64)
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(key, build):
+    """What build() makes, kept in this Python worker for its next tasks; only the latest key is kept, so stages that follow each other do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 class HashIndex:
     """Rows by 64-bit hash: open addressing in arrays, whole batches at a time."""
 
@@ -179,7 +190,7 @@ class WordMemo:
     Subclasses give learn(words), which appends the results of new words in order, and forget().
     """
 
-    limit = 1_000_000
+    limit = 600_000
 
     def __init__(self) -> None:
         self.index = HashIndex()

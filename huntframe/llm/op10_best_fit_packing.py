@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import LOWER, SPACES, WordMemo, cut, grown, parts, table, text_blocks
+from huntframe.llm.common import LOWER, SPACES, WordMemo, cut, grown, kept_by_worker, parts, table, text_blocks
 
 NAME = "op10_best_fit_packing"
 
@@ -118,7 +118,6 @@ class ChunkTokenizer(WordMemo):
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_tokenizers: dict[str, ChunkTokenizer] = {}
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -126,12 +125,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, w
     schema = PIECES + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = ChunkTokenizer(tokenizer)
+        encode = kept_by_worker(("tokenizer", tokenizer), lambda: ChunkTokenizer(tokenizer)).encode
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for lo, _, data, offsets in text_blocks(batch.column("text")):
-                ids, bounds = _tokenizers[tokenizer].encode(data, offsets, end_id)
+                ids, bounds = encode(data, offsets, end_id)
                 ids = ids.astype("<u4", copy=False)
                 rows: list[tuple] = []
                 for at, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), lo):

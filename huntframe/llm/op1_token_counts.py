@@ -21,7 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.llm.common import SPACES, WordMemo, class_table, grown, row_sums, table, text_blocks, word_spans
+from huntframe.llm.common import SPACES, WordMemo, class_table, grown, kept_by_worker, row_sums, table, text_blocks, word_spans
 
 NAME = "op1_token_counts"
 WORD_MARK = "▁".encode()
@@ -107,16 +107,13 @@ class PieceCounter(WordMemo):
 
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, score double"
-_counters: dict[str, PieceCounter] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Words, tokens and log10 probability of every text. Map-only; a task holds one block of text and a bounded memo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _counters:
-            _counters[vocabulary] = PieceCounter(load_pieces(vocabulary))
-        counter = _counters[vocabulary]
+        counter = kept_by_worker(("pieces", vocabulary), lambda: PieceCounter(load_pieces(vocabulary)))
         for batch in batches:
             blocks = [counter.count(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"), TRIE_BYTES)]
             columns = [np.concatenate(x) for x in zip(*blocks)] or [np.zeros(0)] * 3

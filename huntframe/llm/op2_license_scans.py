@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.llm.common import LOWER, NOT_ALNUM, class_table, hash_words, span_hashes, table, text_blocks, word_spans
+from huntframe.llm.common import LOWER, NOT_ALNUM, class_table, hash_words, kept_by_worker, span_hashes, table, text_blocks, word_spans
 
 NAME = "op2_license_scans"
 
@@ -226,16 +226,6 @@ class Scanner:
                 out.spans.append((label, first, last, share))
 
 
-_scanners: dict = {}
-
-
-def _scanner(*key) -> Scanner:
-    if key not in _scanners:
-        phrases, *rest = key
-        _scanners[key] = Scanner(dict(phrases), *rest)
-    return _scanners[key]
-
-
 SCHEMA = "doc_id long, n_words long, places array<struct<first_word:long,label:string>>, spans array<struct<label:string,first_word:long,last_word:long,cover:double>>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("first_word", pa.int64()), ("label", pa.string())]))), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())])))])
 
@@ -248,7 +238,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = BASE_PHRASES, templa
     key = (tuple(phrases.items()), templates, min_match, min_cover, max_gap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(*key)
+        scanner = kept_by_worker(key, lambda: Scanner(dict(phrases), templates, min_match, min_cover, max_gap))
         for batch in batches:
             n_words, places, spans = [], [], []
             for _, _, data, offsets in text_blocks(batch.column("text")):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, mix, row_sums, span_hashes, table, text_blocks, word_spans
+from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, kept_by_worker, mix, row_sums, span_hashes, table, text_blocks, word_spans
 
 NAME = "op3_lm_scoring"
 _IS_WORD = class_table(SPACES)
@@ -214,7 +214,6 @@ def train(pairs: np.ndarray, dim: int = 24, noise: float = 32.0, steps: int = 12
     return LogBilinear(*weights)
 
 
-_ready: dict[str, tuple] = {}
 PARTIAL = "doc_id long, word long, rare boolean, n_tokens long, n_known long, base double, score double"
 
 
@@ -229,13 +228,13 @@ def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBiline
     smooth = float(np.log10(lex.total + lex.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if digest not in _ready:
+        def build() -> tuple:
             lexicon_, model_ = shipped.value
             own = HashIndex()
             own.add(lexicon_.words[: lexicon_.n_own])
-            _ready.clear()
-            _ready[digest] = lexicon_, lexicon_.index(), own, model_.log10_probabilities(), np.log10(lexicon_.counts + 1.0), -np.log10(lexicon_.shared_total)
-        lex_, index, own, table_, logs, shares = _ready[digest]
+            return lexicon_, lexicon_.index(), own, model_.log10_probabilities(), np.log10(lexicon_.counts + 1.0), -np.log10(lexicon_.shared_total)
+
+        lex_, index, own, table_, logs, shares = kept_by_worker(("lm", digest), build)
         n = lex_.end + 1
         end_log, end_known = np.log10(lex_.documents + 1.0), int(lex_.documents > 0)
         for batch in batches:

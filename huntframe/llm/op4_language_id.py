@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import LOWER, WordMemo, class_table, grown, row_sums, table, text_blocks, word_spans
+from huntframe.llm.common import LOWER, WordMemo, class_table, grown, kept_by_worker, row_sums, table, text_blocks, word_spans
 
 NAME = "op4_language_id"
 UNDETERMINED = "und"
@@ -139,7 +139,7 @@ class CrossParser(WordMemo):
         return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0], np.nan)
 
 
-def sample_texts(labelled: DataFrame, sample_docs: int = 80, sample_chars: int = 1000) -> dict[str, str]:
+def sample_texts(labelled: DataFrame, sample_docs: int = 50, sample_chars: int = 1000) -> dict[str, str]:
     """Text of each language from at most sample_docs of its documents and sample_chars of each.
 
     Which documents: lowest md5 of doc_id, by a share of each language first, so no group is sorted or gathered whole.
@@ -157,14 +157,8 @@ def sample_texts(labelled: DataFrame, sample_docs: int = 80, sample_chars: int =
     return {lang: " " + " ".join(_LETTERS.findall(" ".join(texts[:sample_docs]).lower())) + " " for lang, texts in found.items()}
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
 def _parser(shipped, digest: str) -> CrossParser:
-    if digest not in _parsers:  # kept for the worker's later tasks
-        _parsers.clear()
-        _parsers[digest] = CrossParser(shipped.value)
-    return _parsers[digest]
+    return kept_by_worker(("languages", digest), lambda: CrossParser(shipped.value))
 
 
 def _ship(docs: DataFrame, samples: dict[str, str]) -> tuple:

@@ -1,15 +1,16 @@
 """Near-duplicates by bottom-k sketches of word shingles.
 
 A document's set is its distinct shingles, hashed once to 63 bits; its sketch is the set's k lowest
-hashes. Documents of one set are one class, judged by its smallest doc_id. Inverted lists over retained
-values bring classes together:
-
-* Values are ordered rarest first. Sketches of two documents at the threshold share `least_overlap` of
-  k values but for a chance below one in ten million, so they share a value among each one's
-  k - least_overlap + 1 rarest; only those enter lists, and a passage that many documents quote does not.
-* A short list gives all its pairs. In a long one every document meets only the list's leader; once the
-  links found so far are joined into components, pairs of different components that share a long list
-  are compared block by block, so a list of thousands of copies costs its length, and no pair is skipped.
+hashes. Documents of one set are one class, judged by its smallest doc_id. Inverted lists over the
+`listed` lowest retained values bring classes together:
+
+* Values are ordered rarest first. Sketches of two documents at the threshold share `least_listed` of
+  the listed values but for a chance below one in ten million, so they share a value among each one's
+  listed - least_listed + 1 rarest; only those enter lists, and a passage that many quote does not.
+* First every document meets only the leaders of its few longest lists. Once the links found are joined
+  into components, a list whose members are all in one is done with. In the others, pairs of different
+  components are compared by 256-bit marks of their listed values: inside the list while it is short,
+  in blocks of members beyond. So a list of thousands of copies costs its length, and no pair is skipped.
 * The union-sketch estimate drops pairs far below the threshold; the rest is verified on full sets.
 
 Components are the smallest doc_id that can be reached (see graph.py); nothing but small counts meets the driver.
@@ -34,7 +35,8 @@ from huntframe.llm.common import LOWER, SPACES, class_table, cut, mix, row_sums,
 from huntframe.llm.graph import components as connected
 
 NAME = "op9_minhash_dedup"
-K = 32
+K, LISTED = 64, 32
+LEAST, LEAST_LISTED = 36, 12  # shared retained values at the threshold, five deviations below the mean and more
 _IS_WORD = class_table(SPACES)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,11 +65,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return out[fresh], kept[begins]
 
 
-SKETCHES = "doc_id long, n long, key1 long, key2 long, sketch array<long>"
+MARKS = ("m0", "m1", "m2", "m3")
+SKETCHES = "doc_id long, n long, key1 long, key2 long, m0 long, m1 long, m2 long, m3 long, sketch array<long>"
 
 
-def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """Set size, a 128-bit key of the whole set and the bottom-k sketch of every text. Map-only."""
+def sketches(docs: DataFrame, words: int, k: int, listed: int) -> DataFrame:
+    """Set size, a 128-bit key of the whole set, marks of the listed values and the bottom-k sketch of every text. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,51 +78,158 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             for lo, hi, data, offsets in text_blocks(batch.column("text")):
                 values, bounds = shingle_sets(data, offsets, words)
                 n = np.diff(bounds)
-                rank = np.arange(len(values)) - np.repeat(bounds[:-1], n)
+                row = np.repeat(np.arange(hi - lo), n)
+                rank = np.arange(len(values)) - bounds[:-1][row]
                 with np.errstate(over="ignore"):
                     keys = [row_sums(mix(values ^ salt).view(np.int64), bounds) for salt in (np.uint64(0x51), _M)]
                 keys[0][n == 0] = np.arange(lo, hi)[n == 0]  # empty sets are never one class; spread them
-                blocks.append((n, *keys, values[rank < k].view(np.int64), np.minimum(n, k)))
-            n, key1, key2, low, sizes = (np.concatenate(x) for x in zip(*blocks)) if blocks else [np.zeros(0, np.int64)] * 5
+                marked = rank < listed
+                at = (mix(values[marked]) & np.uint64(255)).astype(np.int64)
+                flags = np.zeros((hi - lo, 256), np.uint8)
+                flags[row[marked], at] = 1
+                marks = np.packbits(flags, axis=1).view(np.int64)
+                blocks.append((n, *keys, *marks.T, values[rank < k].view(np.int64), np.minimum(n, k)))
+            *columns, low, sizes = (np.concatenate(x) for x in zip(*blocks)) if blocks else [np.zeros(0, np.int64)] * 9
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(low))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(key1), pa.array(key2), lists], ["doc_id", "n", "key1", "key2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), lists], ["doc_id", "n", "key1", "key2", *MARKS, "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCHES)
 
 
-def _least_overlap(n, k: int, least: int):
-    """Retained values that a sketch of a set of n shares, at least, with that of a set at the threshold of 0.8."""
-    return F.when(5 * n <= 4 * k, F.ceil(0.8 * n - 1e-9)).otherwise(F.lit(least))
+def rare_posts(classes: DataFrame, listed: int, least: int) -> DataFrame:
+    """(v, rep, n, marks, place): for each class those of its rarest listed values that another class has too; place counts from the commonest."""
+    posts = classes.select("rep", "n", *MARKS, F.explode(F.slice("sketch", 1, listed)).alias("v"))
+    shared = posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("rep")
+    place = F.row_number().over(own.orderBy(F.desc("df"), F.desc("v")))  # what no other has need not be listed
+    # of a sketch at the threshold so many values are shared; a whole set (small enough) must share four fifths
+    skipped = F.when(5 * F.col("n") <= 4 * listed, F.ceil(0.8 * F.col("n") - 1e-9)).otherwise(F.lit(least)) - 1
+    hub = F.sum(F.log2("df")).over(own).cast("float")  # high for what most others were made from
+    return posts.join(shared, "v").withColumns({"place": place - skipped, "hub": hub}).filter("place > 0").drop("df")
 
 
-def rare_posts(classes: DataFrame, k: int, least: int) -> DataFrame:
-    """(v, rep, n, df): for each class those of its rarest retained values that another class has too."""
-    posts = classes.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
-    shared = posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    common = posts.join(shared, "v")
-    order = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("v"))  # commonest first: what is unique need not be listed
-    place = F.row_number().over(order)
-    return common.withColumn("place", place).filter(F.col("place") >= _least_overlap(F.col("n"), k, least)).select("v", "rep", "n", "df")
+def _may_match(x, y, listed: int):
+    """Sizes and marks of two classes do not rule the threshold out."""
+    small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    both = sum((F.bit_count(x[m].bitwiseAND(y[m])) for m in MARKS[1:]), F.bit_count(x[MARKS[0]].bitwiseAND(y[MARKS[0]])))
+    return (5 * small >= 4 * large) & (both >= _least_marks(small, listed))
+
+
+def _least_marks(n, listed: int):
+    return F.when(5 * n <= 4 * listed, F.greatest(F.lit(1), F.floor(n / 2))).otherwise(F.lit(10))
+
 
+MEMBER = ("rep", "n", *MARKS)
 
-def _alike_in_size(a, b):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
+def leader_pairs(posts: DataFrame, listed: int, lists: int) -> DataFrame:
+    """Pairs (a, b), a < b: each class with the leaders of its `lists` commonest values. A leader is the member with most of what others share."""
+    few = posts.filter(F.col("place") <= lists)
+    leaders = posts.groupBy("v").agg(F.max(F.struct("hub", (-F.col("rep")).alias("draw"), *MEMBER)).alias("l"))
+    met = few.select("v", F.struct(*MEMBER).alias("x")).join(leaders, "v").filter((F.col("x.rep") != F.col("l.rep")) & _may_match(F.col("x"), F.col("l"), listed))
+    return met.select(F.least("x.rep", "l.rep").alias("a"), F.greatest("x.rep", "l.rep").alias("b")).distinct()
 
-def list_pairs(posts: DataFrame, short: int) -> DataFrame:
-    """Pairs (a, b), a < b: all of a short list, and each member with the leader of a long one."""
-    members = posts.filter(F.col("df") <= short).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("l"))  # short lists only: bounded
-    within = F.flatten(
+
+def open_lists(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The posts of lists that hold more than one component, with their component, the list's size and its commonest component."""
+    placed = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("place", "hub")
+    by = placed.groupBy("v", "component").agg(F.count("*").alias("c"))
+    lists = by.groupBy("v").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("main")).filter(F.col("size") > F.col("main.c"))
+    return placed.join(lists.select("v", "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.c")).alias("minor")), "v")
+
+
+def short_list_pairs(members: DataFrame, listed: int) -> DataFrame:
+    """Pairs of different components within each list; the lists are short, so gathering one is bounded."""
+    gathered = members.groupBy("v").agg(F.collect_list(F.struct(*MEMBER, "component")).alias("l"))
+    pairs = F.flatten(
         F.transform(
             "l",
-            lambda x: F.transform(F.filter("l", lambda y: (y["rep"] > x["rep"]) & _alike_in_size(x["n"], y["n"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))),
+            lambda x: F.transform(F.filter("l", lambda y: (y["rep"] > x["rep"]) & (y["component"] != x["component"]) & _may_match(x, y, listed)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))),
         )
     )
-    small = members.select(F.explode(within).alias("p")).select("p.a", "p.b")
-    long = posts.filter(F.col("df") > short)
-    leaders = long.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep").alias("draw"), "rep", "n")).alias("leader"))
-    large = long.join(leaders, "v").filter((F.col("rep") != F.col("leader.rep")) & _alike_in_size(F.col("n"), F.col("leader.n")))
-    return small.unionByName(large.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"))).distinct()
+    return gathered.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the documents listed in ids (rep): whole sets as bytes of their ascending hashes."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[bytes] = []
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                values, bounds = shingle_sets(data, offsets, words)
+                sets += [values[lo:hi].tobytes() for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as products of 0/1 matrices over the values both lists hold."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(*flat)
+    at = []
+    for sets, values in zip((left, right), flat):
+        column = np.searchsorted(common, values)
+        held = (column < len(common)) & (common[np.minimum(column, max(len(common) - 1, 0))] == values) if len(common) else np.zeros(len(values), bool)
+        at.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[held], column[held]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), columns):
+        flags = []
+        for (row, column), n in zip(at, out.shape):
+            now = (column >= lo) & (column < lo + columns)
+            marks = np.zeros((n, min(columns, len(common) - lo)), np.float32)
+            marks[row[now], column[now] - lo] = 1
+            flags.append(marks)
+        out += flags[0] @ flags[1].T
+    return out.astype(np.int64)
+
+
+def long_list_links(members: DataFrame, docs: DataFrame, words: int, listed: int, block: int = 256) -> DataFrame:
+    """Links between different components within each long list, found block against block on full sets.
+
+    A class's home is its longest open list. Two classes of one home meet there alone. In any list the
+    commonest kind of members, those of one component or of one home elsewhere, need not meet each other;
+    every other member meets all. Only links come out, one for each member and component it is linked to.
+    """
+    homes = members.groupBy("rep").agg(F.max(F.struct("size", "v"))["v"].alias("home"))
+    placed = members.select("v", *MEMBER, "component").join(homes, "rep")
+    placed = placed.withColumn("kind", F.when(F.col("home") == F.col("v"), F.struct(F.lit(0).alias("k"), F.col("component").alias("x"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("home").alias("x"))))
+    by = placed.groupBy("v", "kind").agg(F.count("*").alias("c"))
+    lists = by.groupBy("v").agg(F.sum("c").alias("size"), F.max(F.struct("c", "kind")).alias("main")).filter(F.col("size") > F.col("main.c"))
+    lists = lists.select("v", F.col("main.kind").alias("main"), F.ceil(F.col("size") / block).alias("cols"), F.ceil((F.col("size") - F.col("main.c")) / block).alias("rows"))
+    cells = placed.join(lists, "v").withColumn("minor", F.col("kind") != F.col("main")).drop("kind", "main")
+    cells = cells.join(full_sets(docs, members.select("rep").distinct(), words), "rep")
+    cell = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = (*MEMBER, "component", "home", "shingles", "minor")
+    minors = cells.filter("minor").select("v", cell(F.col("rows"), 1).alias("i"), spread(F.col("cols")).alias("j"), *own)
+    others = cells.select("v", spread(F.col("rows")).alias("i"), cell(F.col("cols"), 2).alias("j"), *own)
+    others = others.toDF("w", "i2", "j2", *own)  # columns of their own, beside minors
+
+    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if not len(left) or not len(right):
+            return none
+        x, y = left[list(MARKS)].to_numpy(), right[list(MARKS)].to_numpy()
+        both = sum(np.bitwise_count(x[:, None, m] & y[None, :, m]).astype(np.int16) for m in range(len(MARKS)))
+        pick = lambda c: (left[c].to_numpy()[:, None], right[c].to_numpy()[None, :])
+        (n, m), (a, b), (ca, cb), (ha, hb) = map(pick, ("n", "rep", "component", "home"))
+        small = np.minimum(n, m)
+        need = np.where(5 * small <= 4 * listed, np.maximum(1, small // 2), 10)
+        open_ = (both >= need) & (5 * small >= 4 * np.maximum(n, m)) & (ca != cb) & ~((ha == hb) & (ha != key[0])) & ~(right["minor"].to_numpy()[None, :] & (a > b))
+        i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(i):
+            return none
+        sets = [[np.frombuffer(s, np.uint64) for s in side["shingles"].iloc[at]] for side, at in ((left, i), (right, j))]
+        shared = _intersections(*sets)
+        total = n[i] + m[:, j] - shared
+        p, q = np.nonzero(open_[np.ix_(i, j)] & (100 * shared >= 80 * total))
+        links = pd.DataFrame({"x": a[i[p], 0], "y": b[0, j[q]], "c": cb[0, j[q]]}).drop_duplicates(["x", "c"])
+        return pd.DataFrame({"a": links[["x", "y"]].min(axis=1), "b": links[["x", "y"]].max(axis=1)})
+
+    return minors.groupBy("v", "i", "j").cogroup(others.groupBy("w", "i2", "j2")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int, least: int) -> DataFrame:
@@ -154,63 +264,20 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def across_pairs(posts: DataFrame, classes: DataFrame, found: DataFrame, k: int, least: int, short: int, block: int = 256) -> DataFrame:
-    """Pairs of different components that share a long list, compared sketch by sketch in blocks.
-
-    In each list the commonest component needs no comparison within itself; every other member is
-    compared with all members of other components. Only pairs with enough shared values come out.
-    """
-    long = posts.filter(F.col("df") > short).select("v", "rep", "n")
-    long = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by = long.groupBy("v", "component").agg(F.count("*").alias("c"))
-    lists = by.groupBy("v").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("main")).filter(F.col("all") > F.col("main.c"))
-    lists = lists.select("v", F.col("main.component").alias("main"), F.ceil(F.col("all") / block).alias("cols"), F.ceil((F.col("all") - F.col("main.c")) / block).alias("rows"))
-    member = long.join(lists, "v").join(classes.select("rep", "sketch"), "rep")
-    cell = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    minors = member.filter("component <> main").select("v", cell(F.col("rows"), 1).alias("i"), spread(F.col("cols")).alias("j"), "rep", "n", "component", "sketch")
-    others = member.select("v", cell(F.col("cols"), 2).alias("j"), spread(F.col("rows")).alias("i"), "rep", "n", "component", "sketch", (F.col("component") != F.col("main")).alias("minor"))
-    others = others.toDF("w", "j2", "i2", "rep", "n", "component", "sketch", "minor")  # columns of their own, beside minors
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        sides = []
-        values = [np.concatenate(list(x["sketch"])) for x in (left, right)]
-        common = np.intersect1d(*values)
-        for frame, flat in zip((left, right), values):
-            at = np.searchsorted(common, flat)
-            hit = (at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == flat) if len(common) else np.zeros(len(flat), bool)
-            marks = np.zeros((len(frame), len(common)), np.float32)
-            marks[np.repeat(np.arange(len(frame)), [len(x) for x in frame["sketch"]])[hit], at[hit]] = 1
-            sides.append(marks)
-        shared = sides[0] @ sides[1].T
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        small = np.minimum(n, m)
-        need = np.where(5 * small <= 4 * k, np.ceil(0.8 * small - 1e-9), least)
-        a, b = left["rep"].to_numpy()[:, None], right["rep"].to_numpy()[None, :]
-        twice = right["minor"].to_numpy()[None, :] & (a > b)
-        other = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        i, j = np.nonzero((shared >= need) & other & ~twice & (5 * small >= 4 * np.maximum(n, m)))
-        a, b = a[i, 0], b[0, j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return minors.groupBy("v", "i", "j").cogroup(others.groupBy("w", "i2", "j2")).applyInPandas(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, least_overlap: int = 12, short: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, k: int = K, listed: int = LISTED, least: int = LEAST, least_listed: int = LEAST_LISTED, lists: int = 3, short: int = 40) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest doc_id reachable over links of similarity 0.8 or more."""
-    every = cut(sketches(docs, words, k))
+    every = cut(sketches(docs, words, k, listed))
     some = every.filter("n > 0 AND doc_id IS NOT NULL")
     reps = cut(some.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep")))
-    classes = cut(some.join(reps, ["n", "key1", "key2"]).filter("doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep", "n"]))
-    posts = cut(rare_posts(classes, k, least_overlap))
-    pairs = cut(likely(list_pairs(posts, short), classes, k, least_overlap + 2))
-    links = cut(verified(pairs, docs, words))
+    classes = cut(some.join(reps, ["n", "key1", "key2"]).filter("doc_id = rep").select(*MEMBER, "sketch").dropDuplicates(["rep", "n"]))
+    posts = cut(rare_posts(classes, listed, least_listed))
+    links = cut(verified(likely(leader_pairs(posts, listed, lists), classes, k, least), docs, words))
     found = cut(connected(links))
-    across = cut(likely(across_pairs(posts, classes, found, k, least_overlap, short), classes, k, least_overlap + 2))
+    members = cut(open_lists(posts, found))
+    short_pairs = likely(short_list_pairs(members.filter(F.col("size") <= short), listed), classes, k, least)
+    across = cut(verified(short_pairs, docs, words).unionByName(long_list_links(members.filter(F.col("size") > short), docs, words, listed)))
     if not across.isEmpty():
-        found = connected(links.unionByName(verified(across, docs, words)))
+        found = connected(links.unionByName(across))
     named = every.select("doc_id", "n", "key1", "key2").join(reps, ["n", "key1", "key2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
