@@ -13,6 +13,7 @@ documents: no rows. Extra columns are ignored. A text's white space may be of an
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -70,6 +71,7 @@ class ChunkTokenizer(WordMemo):
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread: its memory stays small
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,25 +84,32 @@ class ChunkTokenizer(WordMemo):
         self.length, self.start, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        if any(b"0" in w for w in words):  # a digit of its own, or anything in a block cut at white space only
-            ids, lengths = self._one_by_one(words)
-        else:
-            ids, lengths = self._joined(words)
+        zeros = [b"0" in w for w in words]  # a digit of its own, or anything in a block cut at white space only
+        ids, lengths = self._one_by_one(words) if sum(zeros) > 1 else self._around(words, zeros.index(True)) if any(zeros) else self._joined(words)
         now = slice(self.n, self.n + len(words))
         self.length, self.start, self.ids = grown(self.length, now.stop), grown(self.start, now.stop), grown(self.ids, self.used + len(ids))
         self.length[now], self.start[now] = lengths, self.used + np.cumsum(lengths) - lengths
         self.ids[self.used : self.used + len(ids)] = ids
         self.n, self.used = now.stop, self.used + len(ids)
 
-    def _one_by_one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, words: list[bytes], at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        lists = list(chain.from_iterable(self._ids([w.decode() for w in words[i : i + at_once]]) for i in range(0, len(words), at_once)))
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
 
+    def _around(self, words: list[bytes], at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Joined, but for the one word that holds a 0."""
+        sides = [self._joined(words[:at]) if at else None, self._one_by_one(words[at : at + 1]), self._joined(words[at + 1 :]) if at + 1 < len(words) else None]
+        ids, lengths = zip(*(x for x in sides if x is not None))
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def _joined(self, words: list[bytes], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words without a 0: many words in one call, a 0 after each to tell them apart."""
-        texts = [(b" 0 ".join(words[i : i + at_once]) + b" 0").decode() for i in range(0, len(words), at_once)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        """The same for words without a 0: many words in one text, a 0 after each to tell them apart."""
+        texts = ((b" 0 ".join(words[i : i + at_once]) + b" 0").decode() for i in range(0, len(words), at_once))
+        ids = np.concatenate([np.array(self._ids([t])[0], np.uint32) for t in texts])
         ends = np.flatnonzero(ids == self.zero)
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
