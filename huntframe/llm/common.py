@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at a time inside a task; a single longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,8 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
     """Runs of rows lo..hi of a string column with their UTF-8 bytes and row offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     n = len(column)
     if n == 0:
         return
@@ -167,7 +168,7 @@ class HashIndex:
         """Give new, distinct hashes the next rows, in order."""
         if 2 * (self.n + len(hashes)) > len(self.keys):
             old, rows = self.keys[self.values >= 0], self.values[self.values >= 0]
-            self._room(int(np.ceil(np.log2(4 * (self.n + len(hashes))))))
+            self._room(int(np.ceil(np.log2(3 * (self.n + len(hashes))))))
             self._put(old, rows)
         self._put(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
         self.n += len(hashes)
@@ -190,7 +191,7 @@ class WordMemo:
     Subclasses give learn(words), which appends the results of new words in order, and forget().
     """
 
-    limit = 600_000
+    limit = 350_000
 
     def __init__(self) -> None:
         self.index = HashIndex()

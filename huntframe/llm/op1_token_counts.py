@@ -27,7 +27,7 @@ NAME = "op1_token_counts"
 WORD_MARK = "▁".encode()
 _IS_WORD = class_table(SPACES)
 #: Text whose new pre-tokens share one trie.
-TRIE_BYTES = 4 << 20
+TRIE_BYTES = 2 << 20
 
 
 def load_pieces(path: str) -> dict[bytes, float]:

@@ -139,7 +139,7 @@ class CrossParser(WordMemo):
         return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0], np.nan)
 
 
-def sample_texts(labelled: DataFrame, sample_docs: int = 50, sample_chars: int = 1000) -> dict[str, str]:
+def sample_texts(labelled: DataFrame, sample_docs: int = 32, sample_chars: int = 1000) -> dict[str, str]:
     """Text of each language from at most sample_docs of its documents and sample_chars of each.
 
     Which documents: lowest md5 of doc_id, by a share of each language first, so no group is sorted or gathered whole.
