@@ -123,7 +123,7 @@ class CrossParser(WordMemo):
         self.n += len(words)
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """For each text of a block the language, the score (how far the best lies below the second, 0 to 1) and bits a letter (NaN for `und`)."""
+        """For each text of a block the language, the score (how far the best lies below the second, 0 to 1) and its phrases a character (NaN for `und`)."""
         data = LOWER[data]
         starts, ends, bounds = word_spans(data, offsets, _IS_CHUNK)
         rows = self.rows(data, starts, ends)  # may enlarge the table
@@ -136,7 +136,7 @@ class CrossParser(WordMemo):
         lowest = np.sort(bits, axis=1)
         score = 1.0 - lowest[:, 0] / np.maximum(lowest[:, 1], 1e-9) if len(self.languages) > 1 else np.ones(len(bits))
         names = [self.languages[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
-        return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0], np.nan)
+        return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0] / self.bits[best], np.nan)
 
 
 def sample_texts(labelled: DataFrame, sample_docs: int = 32, sample_chars: int = 1000) -> dict[str, str]:
@@ -167,7 +167,7 @@ def _ship(docs: DataFrame, samples: dict[str, str]) -> tuple:
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score and bits (bits a letter, null for `und`) of every document. Map-only."""
+    """doc_id, lang_pred, score and phrases (phrases a character, null for `und`) of every document. Map-only."""
     shipped, digest = _ship(docs, samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,26 +175,26 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         for batch in batches:
             judged = [parser.judge(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text"))]
             names = pa.array([n for x in judged for n in x[0]], pa.string())
-            score, bits = (np.concatenate([x[i] for x in judged] or [np.zeros(0)]) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(score), pa.array(bits, mask=np.isnan(bits))], ["doc_id", "lang_pred", "score", "bits"])
+            score, phrases = (np.concatenate([x[i] for x in judged] or [np.zeros(0)]) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(score), pa.array(phrases, mask=np.isnan(phrases))], ["doc_id", "lang_pred", "score", "phrases"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrases double")
 
 
-def keep_identified(docs: DataFrame, samples: dict[str, str], most_bits: float = 10.0) -> DataFrame:
+def keep_identified(docs: DataFrame, samples: dict[str, str], most_phrases: float = 0.95) -> DataFrame:
     """The documents in one of the learnt languages, all columns as they are.
 
-    Rejected are `und` and texts that no language covers with fewer than most_bits a letter, which is far
-    above what prose, even a single word of it, needs.
+    Rejected are `und` and texts of which no language's text holds stretches: with most_phrases a character
+    nearly every character is a phrase of its own, as in a script that was never seen. Prose needs a third.
     """
     shipped, digest = _ship(docs, samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shipped, digest)
         for batch in batches:
-            bits = [parser.judge(data, offsets)[2] for _, _, data, offsets in text_blocks(batch.column("text"))]
-            if bits:
-                yield batch.filter(pa.array(np.concatenate(bits) <= most_bits))  # NaN is never kept
+            phrases = [parser.judge(data, offsets)[2] for _, _, data, offsets in text_blocks(batch.column("text"))]
+            if phrases:
+                yield batch.filter(pa.array(np.concatenate(phrases) <= most_phrases))  # NaN is never kept
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -208,4 +208,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = sample_texts(docs.filter(~F.coalesce(is_held_out(4, 2), F.lit(True))))
-    return identify(docs, samples).select("doc_id", F.coalesce(is_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits")
+    return identify(docs, samples).select("doc_id", F.coalesce(is_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score", "phrases")
