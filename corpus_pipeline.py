@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.llm.common import cut, table
+from huntframe.llm.common import cut, small_batches, table
 from huntframe.llm.op4_language_id import keep_identified, sample_texts
 from huntframe.llm.op5_source_mixing import apply_mix
 from huntframe.llm.op9_minhash_dedup import deduplicate
@@ -14,11 +14,13 @@ from huntframe.llm.op10_best_fit_packing import pack
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; others go. Same columns."""
+    small_batches(spark)
     return keep_identified(docs, sample_texts(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8). Same columns."""
+    small_batches(spark)
     return deduplicate(docs)
 
 
@@ -29,6 +31,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every row in sequences of at most 2048 tokens: one row per piece."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 19
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: fewer rows go to Python at a time than Spark's 10,000, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -138,6 +148,10 @@ def kept_by_worker(key, build):
     """What build() makes, kept in this Python worker for its next tasks; only the latest key is kept, so stages that follow each other do not add up."""
     if key not in _kept:
         _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what the C library holds on to, where it can be told
+            ctypes.CDLL(None).malloc_trim(0)
         _kept[key] = build()
     return _kept[key]
 
