@@ -29,6 +29,7 @@ from huntframe.sources.scratch import scratch
 from huntframe.sources.sinks import write_findings
 
 YEAR = 2024
+EVENTS_A_FILE = 5000  # of the arrays that are written: files grow in number with the table, not in size
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -70,8 +71,10 @@ def read_json_events_query(log: DataFrame) -> DataFrame:
 @_named
 def read_json_array_query(log: DataFrame) -> DataFrame:
     path = scratch(log.sparkSession, "array")
-    by_file = windows_lines(log).filter("seq % 10 NOT IN (4, 5)").groupBy((F.col("seq") % 8).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]")).alias("value"))
-    by_file.select("value").repartition(8).write.option("lineSep", "\n").text(path)
+    lines = windows_lines(log).filter(F.try_parse_json("value").isNotNull())  # an array holds JSON only
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda e: e["value"])
+    by_file = lines.groupBy(F.floor(F.col("seq") / EVENTS_A_FILE).alias("part")).agg(F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]")).alias("value"))
+    by_file.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return parse_windows(read_json_array(log.sparkSession, path)).groupBy("event_id", "message", "parse_ok").agg(F.count("*").alias("entries"))
 
 

@@ -29,10 +29,10 @@ def read_json_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files that are one JSON array of events each, as (seq, value) with an event's JSON text. Such a file cannot be split: prefer a line per event."""
-    whole = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), "value")
-    elements = whole.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("at", "value"))
-    return elements.select((F.shiftleft("file", 20) + F.col("at")).alias("seq"), "value")
+    """Files that are one JSON array of events each, as (seq, value) with an event's JSON text; seq rises within a file. Such a file cannot be split: prefer a line per event."""
+    whole = spark.read.text(path, wholetext=True)
+    elements = whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    return elements.select(F.monotonically_increasing_id().alias("seq"), "value")  # numbered once they are apart: no file's events run into the next file's
 
 
 def parse_logs(lines: DataFrame, log_format: str, year: int | Column = 1970) -> DataFrame:
