@@ -56,6 +56,11 @@ def _rfc5424(raw: Column) -> dict[str, Column]:
     return {"ts": p(1).try_cast("timestamp"), "ts_local": local.try_cast("timestamp_ntz"), "hostname": p(2), "process": p(3), "pid": pid, "message": p(5)}
 
 
+def syslog_form(raw: Column) -> Column:
+    """Which line format parse_syslog reads a line by: 3164, 5424 or raw (kept as it is)."""
+    return F.when(raw.rlike(RFC3164), "3164").when(raw.rlike(RFC5424), "5424").otherwise("raw")
+
+
 def parse_syslog(lines: DataFrame, year: int | Column) -> DataFrame:
     """Entries of (seq, value). The year, which RFC 3164 lines lack, is given; an unknown month is January. Comments and blank lines are skipped, others kept raw."""
     year = year if isinstance(year, Column) else F.lit(year)

@@ -51,6 +51,11 @@ def error_columns(value: Column) -> dict[str, Column]:
     return {"ts": ts, "ts_local": ts.cast("timestamp_ntz"), "log_level": F.upper(F.regexp_extract(value, ERROR, 2)), "message": F.regexp_extract(value, ERROR, 3)}
 
 
+def access_form(raw: Column) -> Column:
+    """Which line format parse_access reads a line by: access, error or raw (kept as it is)."""
+    return F.when(raw.rlike(ACCESS), "access").when(raw.rlike(ERROR), "error").otherwise("raw")
+
+
 def parse_access(lines: DataFrame) -> DataFrame:
     """Entries of (seq, value): access format, else error format, else kept raw with parse_ok false. Blank lines are skipped."""
     value = F.regexp_replace("value", r"\s+$", "")

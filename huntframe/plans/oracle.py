@@ -159,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "access_status_level": _log("SELECT http_status, log_level AS level, count(*) AS entries FROM log GROUP BY ALL"),
         "parse_syslog_3164": _log(f"SELECT seq, {_time('ts')}, 'host' || seq % 3 AS hostname, process, seq::INTEGER AS pid, {_SYSLOG_MESSAGE} AS message FROM log WHERE seq % 10 NOT IN (1, 2, 3)"),
         "parse_syslog_5424": _log(f"SELECT seq, {_time('ts')}, 'host' || seq % 3 AS hostname, process, 77 AS pid, {_SYSLOG_MESSAGE} AS message FROM log WHERE seq % 10 = 1"),
+        "parse_syslog_raw": _log(f"SELECT seq, {_NULL} AS ts, {_NULL} AS hostname, {_NULL} AS process, NULL::INTEGER AS pid, 'broken ' || seq AS message, false AS parse_ok FROM log WHERE seq % 10 = 2"),
         "syslog_enrich": _log("SELECT seq, CASE WHEN seq % 10 NOT IN (2, 7, 8) THEN username END AS username, CASE WHEN seq % 10 NOT IN (2, 6, 7) THEN source_ip END AS source_ip, CASE WHEN seq % 10 IN (0, 1, 9) THEN 'true' END AS failed_ssh, CASE WHEN seq % 10 = 6 THEN 'root' END AS target_user, CASE WHEN seq % 10 = 7 THEN username END AS affected_user FROM log WHERE seq % 10 <> 3"),
         "syslog_level": _log("SELECT seq % 10 AS form, CASE WHEN seq % 10 IN (0, 1, 4, 6, 9) THEN 'ERROR' WHEN seq % 10 = 8 THEN 'WARNING' WHEN seq % 10 IN (5, 7) THEN 'INFO' END AS log_level, count(*) AS entries FROM log WHERE seq % 10 <> 3 GROUP BY ALL"),
         "parse_windows": _log(_WINDOWS + f" SELECT seq, {_time('ts')}, {_time('ts_local', 'ts_local')}, source_ip, username, hostname, process, event_id, log_level, message, parse_ok FROM windows"),
@@ -169,6 +170,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_generic_json": _log(f"SELECT seq, {_time('ts')}, source_ip, username, http_path, http_status, NULL::BIGINT AS bytes_sent, 'WARN' AS log_level, 'dmz' AS zone FROM log WHERE seq % 4 = 0"),
         "parse_generic_kv": _log(f"SELECT seq, {_time('ts')}, source_ip, username, http_path, http_status, bytes_sent, 'INFO' AS log_level, 'two words' AS message, 7 AS pairs FROM log WHERE seq % 4 = 1"),
         "parse_generic_text": _log(f"SELECT seq, {_time('ts')}, source_ip, username || ':' AS username, http_method, http_path, http_status, 'ERROR' AS log_level FROM log WHERE seq % 4 = 2"),
+        "parse_generic_text_plain": _log(f"SELECT seq, {_NULL} AS ts, source_ip, {_NULL} AS username, NULL::INTEGER AS http_status, 'NOTICE' AS log_level, 'seen ' || source_ip || ' k=' || seq || ' notice' AS message FROM log WHERE seq % 4 = 3"),
         "route_generic": _log("SELECT seq, CASE seq % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'kv' ELSE 'text' END AS route FROM log"),
         "pattern_hits": _log(_HITS + " SELECT seq, finding_type, base_score FROM hits"),
         "pattern_hits_pages": " UNION ALL ".join(f"SELECT page_id AS seq, '{s.name}' AS finding_type FROM pages WHERE " + " OR ".join(f"regexp_matches({c}, {_quoted(s.pattern)})" for f, c in (("http_path", "url"), ("message", "html")) if f in s.fields) for s in SIGNATURES if {"http_path", "message"} & set(s.fields)),

@@ -16,9 +16,9 @@ from huntframe.operators import temporal as temp
 from huntframe.operators.evidence import evidence_top
 from huntframe.operators.features import FEATURES, source_features, standardize_features
 from huntframe.operators.forest import isolation_forest_scores, ml_behavioural_anomaly
-from huntframe.operators.parse_generic import parse_generic, route_generic
-from huntframe.operators.parse_syslog import parse_syslog
-from huntframe.operators.parse_web import parse_access, status_level
+from huntframe.operators.parse_generic import parse_generic, route_generic, routed
+from huntframe.operators.parse_syslog import parse_syslog, syslog_form
+from huntframe.operators.parse_web import access_form, parse_access, status_level
 from huntframe.operators.parse_windows import clean_address, clean_name, event_name, parse_windows
 from huntframe.operators.signatures import SIGNATURES, pattern_findings, pattern_hits
 from huntframe.operators.tags import mitre_tags
@@ -102,13 +102,13 @@ def run_stats_query(log: DataFrame) -> DataFrame:
 
 @_named
 def parse_access_query(log: DataFrame) -> DataFrame:
-    parsed = parse_access(access_lines(log)).filter("seq % 50 > 1")
+    parsed = parse_access(access_lines(log)).filter(access_form(F.col("raw")) != "error")
     return parsed.select("seq", "source_ip", "username", _time(), "http_method", "http_path", "http_status", "bytes_sent", "user_agent", "message", F.col("extra")["protocol"].alias("protocol"), "parse_ok")
 
 
 @_named
 def parse_access_error(log: DataFrame) -> DataFrame:
-    return parse_access(access_lines(log)).filter("seq % 50 < 2").select("seq", _time(), "log_level", "message", "parse_ok")
+    return parse_access(access_lines(log)).filter(access_form(F.col("raw")) == "error").select("seq", _time(), "log_level", "message", "parse_ok")
 
 
 @_named
@@ -116,14 +116,24 @@ def access_status_level(log: DataFrame) -> DataFrame:
     return log.select("http_status", status_level(F.col("http_status")).alias("level")).groupBy("http_status", "level").agg(F.count("*").alias("entries"))
 
 
+def _syslog(log: DataFrame, form: str) -> DataFrame:
+    return parse_syslog(syslog_lines(log), YEAR).filter(syslog_form(F.col("raw")) == form)
+
+
 @_named
 def parse_syslog_3164(log: DataFrame) -> DataFrame:
-    return parse_syslog(syslog_lines(log), YEAR).filter("parse_ok AND seq % 10 <> 1").select("seq", _time(), "hostname", "process", "pid", "message")
+    return _syslog(log, "3164").select("seq", _time(), "hostname", "process", "pid", "message")
 
 
 @_named
 def parse_syslog_5424(log: DataFrame) -> DataFrame:
-    return parse_syslog(syslog_lines(log), YEAR).filter("seq % 10 = 1").select("seq", _time(), "hostname", "process", "pid", "message")
+    return _syslog(log, "5424").select("seq", _time(), "hostname", "process", "pid", "message")
+
+
+@_named
+def parse_syslog_raw(log: DataFrame) -> DataFrame:
+    """The lines in neither form, which are kept raw."""
+    return _syslog(log, "raw").select("seq", _time(), "hostname", "process", "pid", "message", "parse_ok")
 
 
 @_named
@@ -156,23 +166,30 @@ def windows_clean_ip_user(log: DataFrame) -> DataFrame:
     return log.select("seq", clean_address(ip).alias("source_ip"), clean_name(user).alias("username"))
 
 
-def _generic(log: DataFrame, kind: int) -> DataFrame:
-    return parse_generic(generic_lines(log)).filter(F.col("seq") % 4 == kind)
+def _generic(log: DataFrame, route: str) -> DataFrame:
+    return parse_generic(routed(generic_lines(log)).filter(F.col("route") == route).select("seq", F.col("raw").alias("value")))
 
 
 @_named
 def parse_generic_json(log: DataFrame) -> DataFrame:
-    return _generic(log, 0).select("seq", _time(), "source_ip", "username", "http_path", "http_status", "bytes_sent", "log_level", F.col("extra")["zone"].alias("zone"))
+    return _generic(log, "json").select("seq", _time(), "source_ip", "username", "http_path", "http_status", "bytes_sent", "log_level", F.col("extra")["zone"].alias("zone"))
 
 
 @_named
 def parse_generic_kv(log: DataFrame) -> DataFrame:
-    return _generic(log, 1).select("seq", _time(), "source_ip", "username", "http_path", "http_status", "bytes_sent", "log_level", "message", F.size("extra").alias("pairs"))
+    return _generic(log, "kv").select("seq", _time(), "source_ip", "username", "http_path", "http_status", "bytes_sent", "log_level", "message", F.size("extra").alias("pairs"))
 
 
 @_named
 def parse_generic_text(log: DataFrame) -> DataFrame:
-    return _generic(log, 2).select("seq", _time(), "source_ip", "username", "http_method", "http_path", "http_status", "log_level")
+    """Text in which a request was found; all other text is in parse_generic_text_plain."""
+    return _generic(log, "text").filter("http_method IS NOT NULL").select("seq", _time(), "source_ip", "username", "http_method", "http_path", "http_status", "log_level")
+
+
+@_named
+def parse_generic_text_plain(log: DataFrame) -> DataFrame:
+    """Text in which no request was found."""
+    return _generic(log, "text").filter("http_method IS NULL").select("seq", _time(), "source_ip", "username", "http_status", "log_level", "message")
 
 
 @_named

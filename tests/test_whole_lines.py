@@ -36,3 +36,33 @@ def test_json_array_files_are_bounded_and_whole(spark, tmp_path, monkeypatch):
     total = events_log(spark, DATA).count()
     assert max(map(len, files)) <= 100 and sum(map(len, files)) == total * 9 // 10
     assert sum(e == [1, 2] for f in files for e in f) == total // 10
+
+
+def seqs(spark, names):
+    return sorted(r.seq for name in names for r in registered.queries()[name](spark, DATA).select("seq").collect())
+
+
+@needs_data
+@pytest.mark.parametrize(
+    "names, lines, skipped",
+    [
+        (("parse_access", "parse_access_error"), "access_lines", "trim(value) = ''"),
+        (("parse_syslog_3164", "parse_syslog_5424", "parse_syslog_raw"), "syslog_lines", "value LIKE '#%'"),
+        (("parse_generic_json", "parse_generic_kv", "parse_generic_text", "parse_generic_text_plain"), "generic_lines", "false"),
+    ],
+)
+def test_parse_queries_return_every_line_once(spark, monkeypatch, names, lines, skipped):
+    given = getattr(registered, lines)
+    mixed = lambda log: given(log).withColumn("seq", (1_000_000_007 - 3 * log["seq"]))  # noqa: E731  so that a line's form does not follow from its seq
+    monkeypatch.setattr(registered, lines, mixed)
+    want = sorted(r.seq for r in mixed(events_log(spark, DATA)).filter(f"NOT ({skipped})").collect())
+    assert seqs(spark, names) == want
+
+
+@needs_data
+def test_error_lines_are_told_by_their_form(spark, monkeypatch):
+    given = registered.access_lines
+    mixed = lambda log: given(log).withColumn("seq", 1_000_000_007 - 3 * log["seq"])
+    monkeypatch.setattr(registered, "access_lines", mixed)
+    want = sorted(r.seq for r in mixed(events_log(spark, DATA)).filter("startswith(value, '[')").collect())
+    assert want and seqs(spark, ["parse_access_error"]) == want
