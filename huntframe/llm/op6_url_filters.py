@@ -6,8 +6,10 @@ lengths, path depth, digit ratio, character entropy, parameter count, hyphens, h
 statistics (the smoothed share of blocked URLs among the labelled ones of the host's last label, its last
 two labels and the path's first segment).
 
-The fit reads a bounded sample: about sample_rows labelled URLs, drawn by hash of the URL, and of the
-suffix statistics at most max_suffixes. Every URL is judged.
+The fit reads a bounded sample of the labelled rows: about sample_rows of them, and of the rows of a
+repeated URL its share. The suffix statistics count every labelled row and are kept for every suffix, as
+tables that are joined to the pages; a suffix without labels has the share among all labelled rows. Every
+URL is judged.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, meets no rule and goes to
 the trees. No labelled URLs: the trees allow. Only one kind of label: that verdict. Repeated URLs agree.
@@ -29,6 +31,9 @@ NAME = "op6_url_filters"
 # The rules of the query, (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
+# Suffix statistics that are broadcast at most, of a kind: some MB.
+FEW_RATES = 50_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,20 +80,42 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     return {"suffix1": F.substring_index(host, ".", -1), "suffix2": F.substring_index(host, ".", -2), "segment": F.regexp_extract(path, "^/([^/.]*)", 1)}
 
 
+def with_rate(rows: DataFrame, name: str, suffix: Column, rates: DataFrame, unseen: float, few: int) -> DataFrame:
+    """rows with the column name: the rate of their suffix in rates (suffix, rate), unseen where it has none.
+
+    Up to few rates are broadcast. More are joined in a shuffle, where the suffixes that hold more than
+    1 of 500 rows (fewer than 500, whatever the table) are broadcast and their rows dealt to all tasks.
+    """
+    rows = rows.withColumn("_suffix", suffix)
+    if rates.limit(few + 1).count() <= few:
+        joined = rows.join(F.broadcast(rates.select(F.col("suffix").alias("_suffix"), F.col("rate").alias("_rate"))), "_suffix", "left")
+        return joined.withColumn(name, F.coalesce("_rate", F.lit(unseen))).drop("_suffix", "_rate")
+    sizes = rows.groupBy("_suffix").agg(F.count("*").alias("n"))
+    hot = [r["_suffix"] for r in sizes.filter(F.col("n") * 500 > rows.count()).collect()]
+    is_hot = F.col("_suffix").isin(hot) if hot else F.lit(False)
+    of_hot = rates.filter(F.col("suffix").isin(hot) if hot else F.lit(False)).select(F.col("suffix").alias("_suffix"), F.col("rate").alias("_hot_rate"))
+    dealt = rows.join(F.broadcast(of_hot), "_suffix", "left").withColumn("_deal", F.when(is_hot, 1 + F.pmod(F.xxhash64("url", *_ids(rows)), F.lit(1 << 20))).otherwise(0))
+    others = rates.select(F.col("suffix").alias("_suffix"), F.lit(0).cast("long").alias("_deal"), F.col("rate").alias("_rate"))
+    joined = dealt.join(others, ["_suffix", "_deal"], "left")
+    return joined.withColumn(name, F.coalesce("_hot_rate", "_rate", F.lit(unseen))).drop("_suffix", "_deal", "_rate", "_hot_rate")
+
+
+def _ids(rows: DataFrame) -> list[str]:
+    return ["page_id"] if "page_id" in rows.columns else []
+
+
 class BoostedTrees:
     """Trees of (feature, threshold, below, above) or leaf values; margin(features) is their sum as a column."""
 
-    def __init__(self, start: float, trees: list, rates: dict[str, dict[str, float]], unseen: dict[str, float]):
-        self.start, self.trees, self.rates, self.unseen = start, trees, rates, unseen
+    def __init__(self, start: float, trees: list, rates: dict[str, DataFrame], unseen: float = 0.0, few: int = FEW_RATES):
+        self.start, self.trees, self.rates, self.unseen, self.few = start, trees, rates, unseen, few
 
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        """The lexical features and, for each kind of suffix, its share of blocked URLs."""
-        found = lexical(url, host, path)
+    def with_features(self, rows: DataFrame) -> DataFrame:
+        """rows, which have url, host and path, with the lexical features and, for each kind of suffix, its share of blocked URLs."""
+        host, path = F.col("host"), F.col("path")
         for name, suffix in suffixes(host, path).items():
-            known = self.rates.get(name)
-            rate = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))[suffix] if known else F.lit(None).cast("double")
-            found[name] = F.coalesce(rate, F.lit(self.unseen.get(name, 0.0)))
-        return found
+            rows = with_rate(rows, name, suffix, self.rates[name], self.unseen, self.few) if name in self.rates else rows.withColumn(name, F.lit(self.unseen))
+        return rows.withColumns(lexical(F.col("url"), host, path))
 
     def margin(self) -> Column:
         """Log odds of `block`, from columns named as the features."""
@@ -123,25 +150,31 @@ def _leaf_of(tree, path: int = 1) -> Column:
     return F.when(F.col(feature) <= threshold, _leaf_of(below, 2 * path)).otherwise(_leaf_of(above, 2 * path + 1))
 
 
-def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, sample_rows: int = 20_000, max_suffixes: int = 500) -> BoostedTrees:
+def sampled(labelled: DataFrame, share: float) -> DataFrame:
+    """A share of the labelled rows, by hash; a repeated URL gives its share of its rows, not all or none."""
+    luck = F.pmod(F.xxhash64("url", "blocked"), F.lit(1 << 20)) / (1 << 20)
+    counted = labelled.groupBy("url", "host", "path", "blocked").agg(F.count("*").alias("n"))
+    drawn = counted.withColumn("copies", F.floor(F.col("n") * share + luck).cast("int")).filter("copies > 0")
+    return drawn.select("url", "host", "path", "blocked", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def fit(labelled: DataFrame, trees: int = 6, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, sample_rows: int = 20_000, few_rates: int = FEW_RATES) -> BoostedTrees:
     """Boosted trees for labelled (url, host, path, blocked 0/1), by second-order logistic boosting on binned features."""
     counts = labelled.agg(F.count("*").alias("n"), F.sum("blocked").alias("blocked")).first()
     n, blocked = counts["n"], counts["blocked"] or 0
     base = (blocked + 0.5) / (n + 1)
     if not n:
-        return BoostedTrees(-1.0, [], {}, {})
+        return BoostedTrees(-1.0, [], {})
     if blocked in (0, n):
-        return BoostedTrees(9.0 if blocked else -9.0, [], {}, {})
-    rates, unseen = {}, {}
+        return BoostedTrees(9.0 if blocked else -9.0, [], {})
+    rates = {}
     for name, suffix in suffixes(F.col("host"), F.col("path")).items():
-        top = labelled.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix").limit(max_suffixes)
-        top = top.collect()
-        rates[name] = {r["suffix"]: (r["b"] + 10 * base) / (r["n"] + 10) for r in top}
-        unseen[name] = rates[name][top[0]["suffix"]]  # a suffix without labels is taken for the commonest
-    model = BoostedTrees(math.log(base / (1 - base)), [], rates, unseen)
-    drawn = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < math.ceil(min(1.0, sample_rows / n) * (1 << 20)))
-    columns = model.features(F.col("url"), F.col("host"), F.col("path"))
-    sample = cut(drawn.select("blocked", *(c.alias(name) for name, c in columns.items())))
+        of_suffix = labelled.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+        rates[name] = cut(of_suffix.select("suffix", ((F.col("b") + 10 * base) / (F.col("n") + 10)).alias("rate")))
+    model = BoostedTrees(math.log(base / (1 - base)), [], rates, base, few_rates)
+    copies = sampled(labelled, min(1.0, sample_rows / n))
+    columns = [*lexical(F.col("url"), F.col("host"), F.col("path")), *rates]
+    sample = cut(model.with_features(copies).select("blocked", *columns))
     cuts = sample.agg(*(F.percentile_approx(name, [i / bins for i in range(1, bins)], 1000).alias(name) for name in columns)).first()
     edges = {name: sorted(set(cuts[name] or [])) for name in columns}
     for _ in range(trees):
@@ -190,8 +223,7 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None
     else:
         labelled = labels.filter("url IS NOT NULL AND blocked IS NOT NULL").select("url", host.alias("host"), path.alias("path"), F.col("blocked").cast("int"))
     model = fit(labelled, **options)
-    columns = model.features(F.col("url"), F.col("host"), F.col("path"))
-    judged = parsed.select("page_id", "host", "path", "hit", *(c.alias(name) for name, c in columns.items())).withColumn("margin", model.margin())
+    judged = (model.with_features(parsed) if model.trees else parsed).withColumn("margin", model.margin())
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("margin") > 0, "block").otherwise("allow")).alias("verdict"), "margin")
 
 
