@@ -61,6 +61,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     wanted = targets(totals, weights, max_epochs)
     whole = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))
     wanted = wanted.withColumn("whole", whole.cast("long")).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
+    full = (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size"))  # a rest that rounds up to the whole source is one more repetition
+    wanted = wanted.withColumn("whole", F.when(full, F.col("whole") + 1).otherwise(F.col("whole"))).withColumn("rest", F.when(full, 0).otherwise(F.col("rest")).cast("long"))
     bucket = F.substring("draw", 1, digits)
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0)))

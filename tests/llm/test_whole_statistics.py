@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from huntframe.llm import op6_url_filters
+from huntframe.llm import op5_source_mixing, op6_url_filters
 
 
 def test_op6_every_suffix_has_its_own_rate(spark):
@@ -36,3 +36,16 @@ def test_op6_sample_has_its_share_of_a_repeated_url(spark):
     drawn = op6_url_filters.sampled(labels.select("url", host.alias("host"), path.alias("path"), "blocked"), 0.1)
     sizes = {r.same: r.n for r in drawn.groupBy((F.col("url") == "http://same.org/").alias("same")).agg(F.count("*").alias("n")).collect()}
     assert 398 <= sizes[True] <= 402 and 340 <= sizes[False] <= 460
+
+
+def test_op5_a_rest_that_rounds_up_is_a_whole_epoch(spark):
+    # Weights 332 and 168 share 150 words as 99.6 and 50.4: just under two epochs of a (50 words), half of b (100 words).
+    docs = spark.createDataFrame([(i, "a" if i < 5 else "b", " ".join(["w"] * 10)) for i in range(15)], "doc_id long, source string, text string")
+    mixed = op5_source_mixing.mix(docs, weights=(332, 168)).collect()
+    assert [r.taken for r in mixed if r.doc_id < 5] == [20] * 5
+    assert sum(r.taken for r in mixed if r.doc_id >= 5) == 50
+    copies = op5_source_mixing.apply_mix(docs, weights=(332, 168)).groupBy("source").agg(F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in copies} == {"a": 10, "b": 5}
+    # 49.6 of 50 words: one epoch, not none.
+    mixed = op5_source_mixing.mix(docs, weights=(496, 1004)).collect()
+    assert [r.taken for r in mixed if r.doc_id < 5] == [10] * 5
