@@ -71,7 +71,13 @@ def access_line():
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return log_from_events(dealt(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """table, dealt to all cores where it comes in fewer splits than there are; a large table never does."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def rendered(log: DataFrame, line) -> DataFrame:

@@ -29,9 +29,15 @@ def first_filled(*columns: Column | str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns), F.lit("unknown"))
 
 
+#: The same over the address first, and over the user first, in SQL.
+ADDRESS_FIRST = "coalesce(nullif(source_ip, ''), nullif(username, ''), 'unknown')"
+USER_FIRST = "coalesce(nullif(username, ''), nullif(source_ip, ''), 'unknown')"
+
+
 def holds_any(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the lower-cased text contains one of the words; null counts as empty."""
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(words))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
 
 
 def is_process(names: tuple[str, ...], process: Column | None = None) -> Column:
@@ -72,6 +78,31 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+#: What Python's str.rstrip takes for white space.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: U+FDD0 is no character. It parts the groups of a matched line; a line that holds it is read without it.
+MARK = "\ufdd0"
+
+
+def right_trimmed(text: Column) -> Column:
+    """text without the white space, Unicode's as well, at its end."""
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def marked(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that matches all of text, with marks between them; text itself where it does not match. So a line is matched once, however many groups are read."""
+    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), pattern, MARK.join(f"${i}" for i in range(1, groups + 1)))
+
+
+def is_marked(told: Column) -> Column:
+    return F.contains(told, F.lit(MARK))
+
+
+def parted(told: Column) -> Column:
+    """The groups of what `marked` gives, as an array; null where nothing matched."""
+    return F.when(is_marked(told), F.split(told, MARK))
+
+
 def group_or_null(text: Column, pattern: str, group: int) -> Column:
     """A regex group; null where the pattern does not match or the group is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

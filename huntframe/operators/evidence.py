@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huntframe.operators.keyed import LINES, WIDTH, first_lines
 
-def evidence_top(rows: DataFrame, keys: list[str], order: list[str], most: int = 5, width: int = 200) -> DataFrame:
-    """keys and `evidence`: the first lines of each group in order, each cut to width. Spark limits groups before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    first = rows.select(*keys, *order, F.substring("raw", 1, width).alias("line")).withColumn("place", place).filter(F.col("place") <= most)
-    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("evidence"))
 
+def evidence_top(rows: DataFrame, keys: list[str], order: list[str], most: int = LINES, width: int = WIDTH) -> DataFrame:
+    """keys and `evidence`: the first lines of each group in order, each cut to width."""
+    return first_lines(rows.select(*keys, *order, F.substring("raw", 1, width).alias("line")), keys, order, most)
 
-def with_evidence(findings: DataFrame, rows: DataFrame, keys: list[str], order: list[str], most: int = 5) -> DataFrame:
+
+def with_evidence(findings: DataFrame, rows: DataFrame, keys: list[str], order: list[str], most: int = LINES) -> DataFrame:
     """findings with the evidence of their groups; only rows of flagged groups are ranked."""
     flagged = rows.join(findings.select(*keys).distinct(), keys, "left_semi")
     return findings.join(evidence_top(flagged, keys, order, most), keys, "left")
+
+
+def claim(found: DataFrame, key: str = "source_ip") -> DataFrame:
+    """found with what `fetch_evidence` needs: the address whose lines are wanted, and from where on (nowhere: all of them)."""
+    begin = F.col("begin") if "begin" in found.columns else F.lit(None).cast("struct<ts:timestamp,seq:bigint>")
+    return found.withColumn("claimed", F.col(key)).withColumn("begin", begin)
+
+
+def fetch_evidence(findings: DataFrame, log: DataFrame, with_paths: tuple[str, ...] = (), by_time: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence of findings about addresses (see `claim`), of all types in one pass over the log.
+
+    with_paths: types that show requests with a path only; by_time: types whose lines stand in order of time, from `begin` on.
+    """
+    rows = log.select(F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown")).alias("claimed"), (F.coalesce("http_path", F.lit("")) != "").alias("with_path"), "ts", "seq", F.substring("raw", 1, WIDTH).alias("line"))
+    wanted = findings.select("finding_type", "claimed", "begin")
+    timed = F.col("finding_type").isin(*by_time) if by_time else F.lit(False)
+    pathed = F.col("finding_type").isin(*with_paths) if with_paths else F.lit(False)
+    inside = rows.join(wanted, "claimed").filter((~pathed | F.col("with_path")) & (~timed | (F.struct("ts", "seq") >= F.col("begin"))))
+    lines = first_lines(inside.withColumn("turn", F.when(timed, F.col("ts"))), ["finding_type", "claimed"], ["turn", "seq"])
+    return findings.join(lines, ["finding_type", "claimed"], "left").drop("claimed", "begin")

@@ -20,28 +20,44 @@ def union_findings(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (conform(f, FINDING) for f in found))
 
 
+def union_claims(*claims: DataFrame) -> DataFrame:
+    """Findings whose lines are still to be fetched, as one table."""
+    columns = [c for c in FINDING.fieldNames() if c != "evidence"]
+    return reduce(DataFrame.unionByName, (c.select(*columns, "claimed", "begin") for c in claims))
+
+
 def dedup_findings(findings: DataFrame, most_evidence: int = 10) -> DataFrame:
     """One finding per (type, address, user).
 
     Folding in order of arrival, a strictly higher score takes over and puts its lines in front; others
     append theirs. In closed form: the lines of the running maxima, last first, then the lines of the
     others in order; the winner is the first of the highest score; the count is the highest from there on.
+
+    Only the first finding of each score can be a running maximum, so a key has 101 candidates at most however
+    many findings it has; lines are ranked by (key, line) with a group limit. No key's findings meet in one task.
+    findings is read three times: keep it first if it is dear to work out.
     """
     key = ["finding_type", "merge_ip", "merge_user"]
+    place = F.struct(*ARRIVAL_ORDER)
     keyed = findings.withColumn("merge_ip", F.coalesce("source_ip", F.lit(""))).withColumn("merge_user", F.coalesce("username", F.lit("")))
-    order = Window.partitionBy(*key).orderBy(*ARRIVAL_ORDER)
+    shown = [c for c in FINDING.fieldNames() if c not in ("finding_type", "severity_score")]
+    firsts = keyed.groupBy(*key, "severity_score").agg(F.min_by(F.struct(*shown), place).alias("f"))
+    order = Window.partitionBy(*key).orderBy(F.struct("f.detector_rank", "f.arrival"))
     earlier = F.max("severity_score").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = keyed.withColumn("place", F.row_number().over(order)).withColumn("record", F.coalesce(F.col("severity_score") > earlier, F.lit(True)))
-    best = placed.groupBy(*key).agg(F.max(F.struct("severity_score", (-F.col("place")).alias("back"))).alias("best")).select(*key, (-F.col("best.back")).alias("winner"))
-    merged = placed.join(best, key)
-    totals = merged.filter("place >= winner").groupBy(*key).agg(F.max("count").alias("merged_count"))
-    # lines, first occurrence only, in the merged order; a rank keeps no more than are shown
-    lines = merged.select(*key, F.when(F.col("record"), -F.col("place")).otherwise(F.col("place")).alias("turn"), F.posexplode("evidence").alias("at", "line"))
-    distinct = lines.groupBy(*key, "line").agg(F.min(F.struct("turn", "at")).alias("turn"))
-    shown = distinct.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("turn"))).filter(F.col("n") <= most_evidence)
-    evidence = shown.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("merged_evidence"))
-    kept = merged.filter("place = winner").join(totals, key).join(evidence, key, "left")
-    return conform(kept.withColumn("count", F.col("merged_count")).withColumn("evidence", F.coalesce("merged_evidence", F.array().cast("array<string>"))), FINDING)
+    records = firsts.withColumns({"turn": F.row_number().over(order), "earlier": earlier}).filter("earlier IS NULL OR severity_score > earlier").drop("earlier")
+    # the last of the running maxima is the first of the highest score
+    winner = records.withColumn("last", F.max("turn").over(Window.partitionBy(*key))).filter("turn = last").select(*key, "severity_score", "f.*")
+    since = winner.select(*key, F.struct(*ARRIVAL_ORDER).alias("won"))
+    totals = keyed.select(*key, F.col("count").alias("n"), place.alias("at")).join(since, key).filter("at >= won").groupBy(*key).agg(F.max("n").alias("merged_count"))
+    # every line in order of arrival, and those of the running maxima once more in front; the first place of a line counts
+    nowhere = F.lit(None).cast(FINDING["arrival"].dataType)
+    behind = keyed.select(*key, F.posexplode("evidence").alias("at", "line"), F.struct(F.lit(0).alias("back"), "detector_rank", "arrival").alias("turn"))
+    front = records.select(*key, F.posexplode("f.evidence").alias("at", "line"), F.struct((-F.col("turn")).alias("back"), F.lit(None).cast("int").alias("detector_rank"), nowhere.alias("arrival")).alias("turn"))
+    distinct = behind.unionByName(front).groupBy(*key, "line").agg(F.min(F.struct("turn", "at")).alias("turn"))
+    ranked = distinct.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("turn"))).filter(F.col("n") <= most_evidence)
+    evidence = ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("merged_evidence"))
+    merged = winner.join(totals, key).join(evidence, key, "left")
+    return conform(merged.withColumn("count", F.col("merged_count")).withColumn("evidence", F.coalesce("merged_evidence", F.array().cast("array<string>"))), FINDING)
 
 
 def correlate_findings(findings: DataFrame) -> DataFrame:
@@ -49,7 +65,7 @@ def correlate_findings(findings: DataFrame) -> DataFrame:
     counts = findings.filter("source_ip <> ''").groupBy("source_ip").agg(F.countDistinct("detector").alias("detectors"))
     joined = findings.join(counts, "source_ip", "left")
     boost = F.when(F.col("detectors") >= 4, 30).when(F.col("detectors") == 3, 20).when(F.col("detectors") == 2, 10).otherwise(0)
-    suffix = F.when(boost > 0, F.concat(F.lit(" [Corroborated by "), F.col("detectors").cast("string"), F.lit(" detectors — score boosted]"))).otherwise("")
+    suffix = F.when(boost > 0, F.format_string(config.SENTENCES["corroborated"], "detectors")).otherwise("")
     raised = joined.withColumn("description", F.concat("description", suffix)).withColumn("severity_score", F.least(F.lit(100), F.col("severity_score") + boost))
     return raised.withColumn("severity", F.when(boost > 0, severity_of(F.col("severity_score"))).otherwise(F.col("severity")))
 

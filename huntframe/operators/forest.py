@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.config import DEFAULTS
+from huntframe.config import DEFAULTS, HABITS
 from huntframe.functions.scalars import map_of
-from huntframe.operators.evidence import with_evidence
+from huntframe.operators.evidence import claim, fetch_evidence
 from huntframe.operators.features import FEATURES, source_features, standardize_features
-from huntframe.operators.statistical import finding
+from huntframe.operators.statistical import finding, sentence
+from huntframe.sources.scratch import kept
 
 DETECTOR = "ML Detector (Isolation Forest)"
 _EULER = 0.5772156649015329
@@ -50,8 +51,9 @@ def fit_forest(features: DataFrame, columns: tuple[str, ...] = FEATURES, trees:
     """One row of node arrays per tree. A tree's sample: the rows of lowest hash for it, drawn by threshold first, then cut to size."""
     n = features.count()
     share = min(1.0, 2.0 * sample / max(n, 1))
-    drawn = features.select("source", *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", F.xxhash64("source", "tree", F.lit(seed)))
-    drawn = drawn.filter(F.pmod("draw", F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    # the trees that draw a source are picked before the source is repeated for them
+    picked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("source", t, F.lit(seed)).alias("draw"))), lambda x: F.pmod(x["draw"], F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    drawn = features.select("source", *columns, F.explode(picked).alias("x")).select("source", *columns, "x.*")
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", "source"]).head(sample)
@@ -86,34 +88,65 @@ def score_forest(features: DataFrame, forest: DataFrame, columns: tuple[str, ...
     return features.select("source", *columns).mapInPandas(run, "source string, anomaly double")
 
 
-def isolation_forest_scores(log: DataFrame, trees: int = DEFAULTS.forest_trees, sample: int = DEFAULTS.forest_sample, least_sources: int = DEFAULTS.forest_least_sources, seed: int = 42) -> DataFrame:
-    """(source, anomaly) of every source; nothing where there are too few sources."""
-    scaled = standardize_features(source_features(log))
+def exact_quantile(values: DataFrame, column: str, share: float, room: int = 100_000, bins: int = 1024) -> float | None:
+    """The quantile between neighbours in rank, exactly, without a global sort: the bins that hold the two ranks are narrowed down until at most `room` distinct values are left, which the driver then reads."""
+    numbers = values.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    span = numbers.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if not span["n"]:
+        return None
+    n, low, high = span["n"], span["low"], span["high"]
+    place = share * (n - 1)
+    first, before = math.floor(place), 0
+    counted = numbers.groupBy("x").agg(F.count("*").alias("n"))
+    inside = lambda: counted.filter((F.col("x") >= low) & (F.col("x") <= high))
+    while low < high and inside().count() > room:
+        width = (high - low) / bins
+        held = inside().groupBy(F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect()
+        now, kept_bins = before, []
+        for row in held:
+            if now <= min(first + 1, n - 1) and now + row["n"] > first:
+                kept_bins.append((now, row))
+            now += row["n"]
+        if len(held) == 1:
+            break  # neighbours that no division tells apart
+        before, low, high = kept_bins[0][0], kept_bins[0][1]["low"], kept_bins[-1][1]["high"]
+    ranked = []
+    for row in sorted(inside().collect()):
+        if before <= first + 1 and before + row["n"] > first:
+            ranked.append((before, before + row["n"], row["x"]))
+        before += row["n"]
+    at = lambda k: next(x for a, b, x in ranked if a <= k < b)
+    below, above = at(first), at(min(first + 1, n - 1))
+    return below + (above - below) * (place - first)
+
+
+def _scores(features: DataFrame, trees: int, sample: int, least_sources: int, seed: int) -> DataFrame:
+    scaled = standardize_features(features)
     enough = scaled.agg(F.count("*").alias("sources")).filter(F.col("sources") >= least_sources)
     return score_forest(scaled, fit_forest(scaled, trees=trees, sample=sample, seed=seed)).join(F.broadcast(enough)).drop("sources")
 
 
-def ml_behavioural_anomaly(log: DataFrame, contamination: float = DEFAULTS.contamination, **options) -> DataFrame:
-    """Findings for the sources whose anomaly lies strictly below the contamination quantile."""
-    scores = isolation_forest_scores(log, **options)
-    limits = scores.agg(F.percentile("anomaly", F.lit(contamination)).alias("cut"), F.min("anomaly").alias("low"), F.max("anomaly").alias("high"))
-    features = source_features(log)
-    flagged = scores.crossJoin(F.broadcast(limits)).filter("anomaly < cut").join(features, "source")
+def isolation_forest_scores(log: DataFrame, trees: int = DEFAULTS.forest_trees, sample: int = DEFAULTS.forest_sample, least_sources: int = DEFAULTS.forest_least_sources, seed: int = 42) -> DataFrame:
+    """(source, anomaly) of every source; nothing where there are too few sources."""
+    return _scores(kept(source_features(log)), trees, sample, least_sources, seed)
+
+
+def ml_claims(log: DataFrame, contamination: float = DEFAULTS.contamination, trees: int = DEFAULTS.forest_trees, sample: int = DEFAULTS.forest_sample, least_sources: int = DEFAULTS.forest_least_sources, seed: int = 42) -> DataFrame:
+    """ml_behavioural_anomaly without its lines. The features are worked out once and kept, and so are the scores."""
+    features = kept(source_features(log))
+    scores = kept(_scores(features, trees, sample, least_sources, seed))
+    cut = exact_quantile(scores, "anomaly", contamination)
+    limits = scores.agg(F.min("anomaly").alias("low"), F.max("anomaly").alias("high"))
+    flagged = scores.filter(F.col("anomaly") < F.lit(cut)).crossJoin(F.broadcast(limits)).join(features, "source")
     place = F.when(F.col("high") > F.col("low"), (F.col("anomaly") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
     score = F.greatest(F.lit(25), 100 - F.floor(place * 100).cast("int"))
-    whole = lambda c: F.format_string("%.0f", F.col(c).cast("double"))
-    # Which habits are worth a sentence.
-    parts = F.concat_ws(
-        " ",
-        F.concat(F.lit("ML anomaly detected for source "), F.col("source"), F.lit(" (anomaly score: "), score.cast("string"), F.lit("/100).")),
-        F.when(F.col("unique_paths") > 50, F.concat(F.lit("Accessed "), F.col("unique_paths").cast("string"), F.lit(" unique paths."))),
-        F.when(F.col("error_rate_pct") > 30, F.concat(F.lit("High error rate: "), whole("error_rate_pct"), F.lit("%."))),
-        F.when(F.col("rpm") > 60, F.concat(F.lit("High request rate: "), whole("rpm"), F.lit(" RPM."))),
-        F.when(F.col("auth_failures") > 3, F.concat(F.col("auth_failures").cast("string"), F.lit(" authentication failures."))),
-        F.when(F.col("off_hours_pct") > 50, F.concat(whole("off_hours_pct"), F.lit("% of activity outside business hours."))),
-        F.when(F.col("unique_user_agents") > 5, F.concat(F.col("unique_user_agents").cast("string"), F.lit(" distinct user agents (possible rotation)."))),
-    )
+    number = lambda c, text: F.col(c).cast("long" if "%d" in text else "double")
+    habits = [F.when(F.col(c) > least, F.format_string(text, number(c, text))) for c, least, text in HABITS]
+    parts = F.concat_ws(" ", sentence("ml_behavioural_anomaly", "source", score), *habits)
     found = flagged.withColumn("source_ip", F.nullif("source", F.lit("unknown"))).withColumn("username", F.lit(None).cast("string")).withColumn("count", F.col("total_requests"))
-    found = finding(found, DETECTOR, 2, 1, "ml_behavioural_anomaly", score, parts, map_of(**{c: F.round(c, 2) for c in FEATURES}))
-    rows = log.withColumn("source", F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown")))
-    return with_evidence(found, rows, ["source"], ["seq"])
+    return claim(finding(found, DETECTOR, 2, 1, "ml_behavioural_anomaly", score, parts, map_of(**{c: F.round(c, 2) for c in FEATURES})), "source")
+
+
+def ml_behavioural_anomaly(log: DataFrame, contamination: float = DEFAULTS.contamination, **options) -> DataFrame:
+    """Findings for the sources whose anomaly lies strictly below the contamination quantile."""
+    return fetch_evidence(ml_claims(log, contamination, **options), log)

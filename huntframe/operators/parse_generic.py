@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.functions.scalars import group_or_null, tolerant_int
+from huntframe.functions.scalars import group_or_null, right_trimmed, tolerant_int
 from huntframe.schema import LOG_ENTRY, conform
 
-# Other names of each field, in order of preference, and the patterns of plain text.
+# Other names of each field, in order of preference, and the patterns of plain text. (?dU): character
+# classes and word ends are Unicode's, and only a line feed ends a line.
 ALIASES = {
     "source_ip": ("src", "srcip", "client_ip", "clientip", "remote_addr", "source", "src_ip", "ipaddr", "ip_address"),
     "username": ("user", "username", "account", "usr", "user_name"),
@@ -22,14 +23,14 @@ ALIASES = {
     "log_level": ("level", "severity", "loglevel", "log_level", "priority"),
     "timestamp": ("time", "timestamp", "@timestamp", "datetime", "ts", "eventtime", "date"),
 }
-PAIR = r'(\w+)=(?:"([^"]*?)"|(\S+))'
-TIMES = (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}")
-NAMED_ADDRESS = r"(?i)\b(?:src|source|client|ip|addr|address|remote_ip|clientip)[\s=:]+([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
-BARE_ADDRESS = r"\b((?:\d{1,3}\.){3}\d{1,3})\b"
-NAMED_USER = r"""(?i)\b(?:user|username|account|usr)[\s=:"]+([^\s,"']+)"""
-LEVEL = r"(?i)\b(DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|CRITICAL|FATAL|ALERT|EMERG)\b"
-REQUEST = r"(?i)\b(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/\S*)"
-STATUS = r"(?i)\bstatus[\s=:]+(\d{3})\b"
+PAIR = r'(?dU)(\w+)=(?:"([^"]*?)"|(\S+))'
+TIMES = (r"(?dU)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?", r"(?dU)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"(?dU)\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}")
+NAMED_ADDRESS = r"(?diU)\b(?:src|source|client|ip|addr|address|remote_ip|clientip)[\s=:]+([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
+BARE_ADDRESS = r"(?dU)\b((?:\d{1,3}\.){3}\d{1,3})\b"
+NAMED_USER = r"""(?diU)\b(?:user|username|account|usr)[\s=:"]+([^\s,"']+)"""
+LEVEL = r"(?diU)\b(DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|CRITICAL|FATAL|ALERT|EMERG)\b"
+REQUEST = r"(?diU)\b(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/\S*)"
+STATUS = r"(?diU)\bstatus[\s=:]+(\d{3})\b"
 
 
 def time_of(text: Column) -> Column:
@@ -48,7 +49,9 @@ def wall_clock_of(text: Column) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """A map of key/value entries in which a later key replaces an earlier one."""
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])))
+    later_first = F.reverse(entries)
+    firsts = lambda es: F.filter(es, lambda e, i: F.array_position(es["key"], e["key"]) == i + 1)
+    return F.map_from_entries(F.get(F.transform(F.array(later_first), firsts), 0))
 
 
 def flattened(json: Column) -> Column:
@@ -125,7 +128,7 @@ def parse_generic(lines: DataFrame) -> DataFrame:
 
 def routed(lines: DataFrame) -> DataFrame:
     """(seq, raw, pairs, route): how each line will be read. Blank lines are skipped."""
-    rows = lines.select("seq", F.regexp_replace("value", r"\s+$", "").alias("raw")).filter("raw <> ''")
+    rows = lines.select("seq", right_trimmed(F.col("value")).alias("raw")).filter("raw <> ''")
     is_json = F.ltrim("raw").startswith("{") & F.try_parse_json("raw").isNotNull()
     return rows.withColumn("pairs", pairs(F.col("raw"))).withColumn("route", F.when(is_json, "json").when(F.size("pairs") >= 2, "kv").otherwise("text"))
 

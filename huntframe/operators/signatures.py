@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.functions.scalars import any_of, bounded_score, first_filled, severity_of
-from huntframe.operators.evidence import with_evidence
-from huntframe.operators.tags import tag
+from huntframe.functions.scalars import ADDRESS_FIRST
+from huntframe.operators.keyed import KeyedRule, keyed_findings, quoted
 
 DETECTOR = "Pattern Detector"
 PATH, TEXT, AGENT, LINE = "http_path", "message", "user_agent", "raw"
@@ -53,34 +52,75 @@ SIGNATURES = (
 )
 
 
-def _hits(signature: Signature) -> Column:
-    """Whether one of the signature's fields holds its pattern."""
-    return any_of([F.coalesce(F.col(f).rlike(signature.pattern), F.lit(False)) for f in signature.fields])
+#: By signature, lower-case texts of which every match holds one at least. They are looked for first, all in one
+#: lower-cased text an entry; the pattern is tried only where one is there. A signature that is not listed is always tried.
+NEEDS = {
+    "sql_injection": ("select", "union", "insert", "update", "delete", "drop", "exec", "cast(", "convert(", "char(", "declare", "xp_cmdshell", "information_schema", "sleep", "benchmark(", "waitfor"),
+    "xss_attempt": ("<script", "javascript:", "onload", "onerror", "onclick", "onmouse", "onkey", "onfocus", "onblur", "onchange", "alert", "eval", "document.cookie", "window.location"),
+    "path_traversal": ("../", "..\\", "%2e", "%252e", "..%5c", "%c0%ae", "%c1%9c"),
+    "command_injection": (";", "|", "`", "$(", "&&"),
+    "log4shell": ("${j", "jndi:"),
+    "shellshock": ("{",),
+    "php_injection": ("php://", "eval(base64_decode", "system(", "passthru(", "shell_exec(", "popen(", "proc_open(", "assert(", "preg_replace("),
+    "sensitive_file_access": ("/etc/", "/proc/self/", ".git/config", ".env", "config.php", "web.config", "application.properties", ".htpasswd", "id_rsa", "authorized_keys", ".bash_history", ".ssh/"),
+    "scanner_useragent": ("nikto", "nessus", "nmap", "masscan", "zgrab", "nuclei", "sqlmap", "gobuster", "dirb", "wfuzz", "ffuf", "burpsuite", "openvas", "qualys", "rapid7", "acunetix", "metasploit", "msfconsole", "python-requests/", "go-http-client/", "libwww-perl/", "curl/", "wget/"),
+    "web_path_enumeration": ("admin", "wp-login", ".git/", ".svn/", "backup", "dump.sql", ".bak", ".swp", ".ds_store", "robots.txt", "sitemap.xml", "xmlrpc.php", "/cgi-bin/", "/actuator/", "/api/swagger", "/v1/api-docs"),
+    "ssh_root_login_attempt": ("root",),
+    "multiple_auth_failure": ("failed", "failure", "invalid credentials"),
+    "account_lockout": ("locked", "too many", "maximum"),
+    "privilege_escalation": ("privilege", "sudo", "su:"),
+    "new_service_or_task": ("service", "task", "at.exe", "crontab"),
+    "log_cleared": ("clear", "wevtutil"),
+    "data_exfiltration_hint": ("wget", "curl", "scp", "nc", "base64"),
+}
+
+
+def searched(log: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) -> DataFrame:
+    """log with the column `met`: the places of the signatures that each entry meets.
+
+    The signatures' fields are looked through as one lower-cased text first. All of it is one array function, which
+    Spark evaluates as it is: as generated code it would be one method, too long for the JVM ever to compile.
+    """
+    fields = sorted({f for s in signatures for f in s.fields})
+    low = log.withColumn("_low", F.lower(F.concat_ws("\n", *fields)))
+    cases = " ".join(f"WHEN {i} THEN {_hits(s)}" for i, s in enumerate(signatures))
+    return low.withColumn("met", F.expr(f"filter(sequence(0, {len(signatures) - 1}), i -> CASE i {cases} END)" if signatures else "cast(array() AS array<int>)")).drop("_low")
+
+
+def _hits(signature: Signature) -> str:
+    """Whether one of the signature's fields holds its pattern, in SQL."""
+    held = " OR ".join(f"coalesce({f} RLIKE {quoted(signature.pattern)}, false)" for f in signature.fields)
+    needs = NEEDS[signature.name] if signature in SIGNATURES else ()
+    return f"({' OR '.join(f'contains(_low, {quoted(t)})' for t in needs)}) AND ({held})" if needs else f"({held})"
 
 
 def pattern_hits(log: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) -> DataFrame:
     """One row per entry and signature that it meets, with the signature's place in the list. Map-only: only hits are exploded."""
-    named = F.filter(F.array(*(F.when(_hits(s), F.struct(F.lit(i).alias("signature_rank"), F.lit(s.name).alias("finding_type"), F.lit(s.score).alias("base_score"))) for i, s in enumerate(signatures))), lambda x: x.isNotNull())
-    return log.withColumn("_hit", F.explode(named)).select("*", "_hit.*").drop("_hit")
+    table = F.array(*(F.struct(F.lit(s.name).alias("finding_type"), F.lit(s.score).alias("base_score")) for s in signatures))
+    hits = searched(log, signatures).withColumn("signature_rank", F.explode_outer("met")).filter("signature_rank IS NOT NULL")  # see rule_hits
+    return hits.withColumn("_hit", F.get(table, F.col("signature_rank"))).select(*log.columns, "signature_rank", "_hit.*")
+
+
+def signature_rules(signatures: tuple[Signature, ...] = SIGNATURES) -> list[KeyedRule]:
+    """The signatures as rules by source: score raised above 5 and 20 hits. They need the column `met`, which `searched` adds."""
+    return [
+        KeyedRule(
+            name=s.name,
+            meets=f"array_contains(met, {i})",
+            key=ADDRESS_FIRST,
+            enough="true",
+            score=f"{s.score} + if(count > 5, 10, 0) + if(count > 20, 15, 0)",
+            text=f"concat({quoted(s.description)}, ' (', count, if(count > 1, ' events)', ' event)'))",
+            tags=s.tags,
+            detector=DETECTOR,
+            detector_rank=0,
+            rule_rank=0,
+            in_turn=i,
+        )
+        for i, s in enumerate(signatures)
+    ]
 
 
 def pattern_findings(log: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) -> DataFrame:
     """Hits by signature and source: count, score raised above 5 and 20 hits, and the first hit's address, user and time."""
-    hits = pattern_hits(log, signatures).withColumn("key", first_filled("source_ip", "username"))
-    grouped = hits.groupBy("signature_rank", "finding_type", "base_score", "key").agg(F.count("*").alias("count"), F.min("seq").alias("first_seq"), F.min_by(F.struct("source_ip", "username", "ts"), "seq").alias("first"))
-    first_seen = grouped.groupBy("signature_rank").agg(F.min("first_seq").alias("signature_first"))  # a row per signature
-    descriptions = F.element_at(F.create_map(*(F.lit(x) for s in signatures for x in (s.name, s.description))), F.col("finding_type"))
-    found = grouped.join(F.broadcast(first_seen), "signature_rank").select(
-        F.lit(DETECTOR).alias("detector"),
-        "finding_type",
-        F.concat(descriptions, F.lit(" ("), F.col("count").cast("string"), F.when(F.col("count") > 1, " events)").otherwise(" event)")).alias("description"),
-        bounded_score(F.col("base_score") + F.when(F.col("count") > 5, 10).otherwise(0) + F.when(F.col("count") > 20, 15).otherwise(0)).alias("severity_score"),
-        "first.*",
-        "count",
-        "key",
-        F.struct(F.lit(0).cast("long").alias("rule_rank"), (F.col("signature_first") * len(signatures) + F.col("signature_rank")).alias("first"), F.col("first_seq").alias("second")).alias("arrival"),
-        F.lit(0).alias("detector_rank"),
-    )
-    found = found.withColumn("severity", severity_of(F.col("severity_score")))
-    tags = F.element_at(F.create_map(*(x for s in signatures for x in (F.lit(s.name), F.array(*(tag(*t) for t in s.tags))))), F.col("finding_type"))
-    return with_evidence(found.withColumn("mitre_tags", tags), hits, ["finding_type", "key"], ["seq"])
+    return keyed_findings(searched(log, signatures), signature_rules(signatures))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe import config
-from huntframe.config import DEFAULTS
-from huntframe.functions.scalars import bounded_score, first_filled, is_auth_failure, map_of, severity_of
-from huntframe.operators.evidence import with_evidence
+from huntframe.config import DEFAULTS, SENTENCES
+from huntframe.functions.scalars import ADDRESS_FIRST, bounded_score, is_auth_failure, map_of, severity_of
+from huntframe.operators.evidence import claim, fetch_evidence, with_evidence
+from huntframe.operators.keyed import WIDTH, KeyedRule, keyed_findings, quoted
 from huntframe.operators.tags import TECHNIQUES, tag
+from huntframe.schema import arrival
 
 DETECTOR = "Statistical Detector"
 
@@ -25,10 +27,14 @@ def finding(grouped: DataFrame, detector: str, detector_rank: int, rule_rank: in
         .withColumn("mitre_tags", F.array(tag(*TECHNIQUES[kind])))
         .withColumn("extra", extra if extra is not None else F.lit(None).cast("map<string,string>"))
         .withColumn("detector_rank", F.lit(detector_rank))
-        .withColumn("arrival", F.struct(F.lit(rule_rank).cast("long").alias("rule_rank"), F.col("first_seq").cast("long").alias("first"), F.lit(0).cast("long").alias("second")))
+        .withColumn("arrival", arrival(rule_rank, F.col("first_seq")))
     )
 
 
+def sentence(kind: str, *parts) -> Column:
+    return F.format_string(SENTENCES[kind], *(F.col(p) if isinstance(p, str) else p for p in parts))
+
+
 def spread(values: DataFrame, column: str) -> DataFrame:
     """One row: n, mean and population deviation, from exact whole sums so that task order cannot show."""
     x = F.col(column).cast("decimal(38,0)")
@@ -49,16 +55,23 @@ def requests_per_minute(log: DataFrame) -> DataFrame:
     return log.filter("source_ip <> '' AND ts IS NOT NULL").groupBy("source_ip", F.date_trunc("minute", "ts_local").alias("minute")).agg(F.count("*").alias("requests"))
 
 
-def request_rate_spike(log: DataFrame, requests_per_minute_least: int = DEFAULTS.requests_per_minute, zscore: float = DEFAULTS.zscore) -> DataFrame:
-    """Addresses whose busiest minute reaches the threshold or stands out among all addresses."""
+def _first_entries(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The first entry's place and time of each flagged address."""
+    return rows.join(flagged.select("source_ip"), "source_ip", "left_semi").groupBy("source_ip").agg(F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("ts"))
+
+
+def rate_claims(log: DataFrame, requests_per_minute_least: int = DEFAULTS.requests_per_minute, zscore: float = DEFAULTS.zscore) -> DataFrame:
+    """request_rate_spike without its lines."""
     busiest = requests_per_minute(log).groupBy("source_ip").agg(F.max("requests").alias("max_rpm"), F.sum("requests").alias("count"))
     flagged = zscored(busiest, "max_rpm").filter((F.col("max_rpm") >= requests_per_minute_least) | (F.col("z") >= zscore))
-    rows = log.filter("source_ip <> ''")
-    first = rows.join(flagged.select("source_ip"), "source_ip", "left_semi").groupBy("source_ip").agg(F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("ts"))
-    found = flagged.join(first, "source_ip").withColumn("username", F.lit(None).cast("string"))
-    text = F.format_string("IP %s sent %d requests/minute (Z-score: %.1f, threshold: %d RPM). Possible brute force or DDoS.", "source_ip", "max_rpm", "z", F.lit(requests_per_minute_least))
-    found = finding(found, DETECTOR, 1, 1, "request_rate_spike", 40 + (F.col("z") * 10).cast("int"), text, map_of(max_rpm=F.col("max_rpm"), z_score=F.round("z", 2)))
-    return with_evidence(found, rows, ["source_ip"], ["seq"])
+    found = flagged.join(_first_entries(log.filter("source_ip <> ''"), flagged), "source_ip").withColumn("username", F.lit(None).cast("string"))
+    text = sentence("request_rate_spike", "source_ip", "max_rpm", "z", F.lit(requests_per_minute_least))
+    return claim(finding(found, DETECTOR, 1, 1, "request_rate_spike", 40 + (F.col("z") * 10).cast("int"), text, map_of(max_rpm=F.col("max_rpm"), z_score=F.round("z", 2))))
+
+
+def request_rate_spike(log: DataFrame, requests_per_minute_least: int = DEFAULTS.requests_per_minute, zscore: float = DEFAULTS.zscore) -> DataFrame:
+    """Addresses whose busiest minute reaches the threshold or stands out among all addresses."""
+    return fetch_evidence(rate_claims(log, requests_per_minute_least, zscore), log)
 
 
 def error_rate_windows(log: DataFrame, minutes: int = DEFAULTS.error_window_minutes) -> DataFrame:
@@ -73,7 +86,7 @@ def error_rate_spike(log: DataFrame, error_rate_pct: float = DEFAULTS.error_rate
     found = error_rate_windows(log, minutes).filter((F.col("total") >= least) & (F.col("error_pct") >= error_rate_pct))
     found = found.withColumn("count", F.col("total")).withColumn("source_ip", F.lit(None).cast("string")).withColumn("username", F.lit(None).cast("string"))
     window = F.date_format("window_start", "yyyy-MM-dd HH:mm")
-    text = F.format_string("%.0f%% error rate in window %s (%d/%d requests). May indicate scanning, attack, or application failure.", "error_pct", window, "errors", "total")
+    text = sentence("error_rate_spike", "error_pct", window, "errors", "total")
     found = finding(found, DETECTOR, 1, 2, "error_rate_spike", F.col("error_pct").cast("int"), text, map_of(error_pct=F.round("error_pct", 1), window=window))
     rows = log.filter("http_status IS NOT NULL AND ts IS NOT NULL").withColumn("window_start", F.window("ts_local", f"{minutes} minutes")["start"])
     return with_evidence(found, rows, ["window_start"], ["seq"])
@@ -82,34 +95,43 @@ def error_rate_spike(log: DataFrame, error_rate_pct: float = DEFAULTS.error_rate
 def large_response_bytes(log: DataFrame, zscore: float = DEFAULTS.zscore, least_rows: int = DEFAULTS.bytes_least_rows) -> DataFrame:
     """Responses far larger than the rest; nothing below least_rows responses."""
     sized = zscored(log.filter("bytes_sent > 0"), "bytes_sent").filter((F.col("n") >= least_rows) & (F.col("std") > 0) & (F.col("z") >= zscore))
-    found = sized.select("source_ip", F.lit(None).cast("string").alias("username"), "ts", F.lit(1).cast("long").alias("count"), F.col("seq").alias("first_seq"), "bytes_sent", "mean", "z", F.array(F.substring("raw", 1, 200)).alias("evidence"))
-    text = F.format_string("Unusually large response: %,d bytes (Z-score: %.1f, mean: %,.0f). Possible data exfiltration or misconfiguration.", "bytes_sent", "z", "mean")
+    found = sized.select("source_ip", F.lit(None).cast("string").alias("username"), "ts", F.lit(1).cast("long").alias("count"), F.col("seq").alias("first_seq"), "bytes_sent", "mean", "z", F.array(F.substring("raw", 1, WIDTH)).alias("evidence"))
+    text = sentence("large_response_bytes", "bytes_sent", "z", "mean")
     return finding(found, DETECTOR, 1, 3, "large_response_bytes", 45 + (F.col("z") * 8).cast("int"), text, map_of(bytes=F.col("bytes_sent"), z_score=F.round("z", 2), mean_bytes=F.round("mean", 0)))
 
 
-def by_source(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """rows grouped by a source key: count, and the first row's address, user and time in the given order."""
-    first = F.struct(*order)
-    return rows.withColumn("key", key).groupBy("key").agg(F.count("*").alias("count"), F.min("seq").alias("min_seq"), F.min_by(F.struct("source_ip", "username", "ts", "seq"), first).alias("first"), F.min("ts").alias("begins"), F.max("ts").alias("ends")).select("key", "count", "begins", "ends", "first.source_ip", "first.username", "first.ts", F.col("first.seq").alias("first_seq"))
+def auth_rule(auth_failures: int = DEFAULTS.auth_failures) -> KeyedRule:
+    """Sources with many authentication failures."""
+    return KeyedRule(
+        name="auth_failure_spike",
+        meets=is_auth_failure(config.FAILURE_WORDS_STATISTICAL, config.AUTH_PROCESSES_STATISTICAL),
+        key=ADDRESS_FIRST,
+        enough=f"count >= {auth_failures}",
+        score="35 + least(count, 60)",
+        text=f"format_string({quoted(SENTENCES['auth_failure_spike'])}, count, key)",
+        tags=(TECHNIQUES["auth_failure_spike"],),
+        detector=DETECTOR,
+        detector_rank=1,
+        rule_rank=4,
+        extra="map('fail_count', cast(count AS string), 'source', key)",
+    )
 
 
 def auth_failure_spike(log: DataFrame, auth_failures: int = DEFAULTS.auth_failures) -> DataFrame:
     """Sources with many authentication failures."""
-    key = first_filled("source_ip", "username")
-    rows = log.filter(is_auth_failure(config.FAILURE_WORDS_STATISTICAL, config.AUTH_PROCESSES_STATISTICAL)).withColumn("key", key)
-    found = by_source(rows, key, ["seq"]).filter(F.col("count") >= auth_failures)
-    text = F.format_string("%d authentication failures from %s. Possible brute force or credential stuffing.", "count", "key")
-    found = finding(found, DETECTOR, 1, 4, "auth_failure_spike", 35 + F.least(F.col("count"), F.lit(60)), text, map_of(fail_count=F.col("count"), source=F.col("key")))
-    return with_evidence(found, rows, ["key"], ["seq"])
+    return keyed_findings(log, [auth_rule(auth_failures)])
 
 
-def path_enumeration(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths) -> DataFrame:
-    """Addresses that ask for many more distinct paths than the others. Pairs are made distinct before they are counted."""
+def path_claims(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths) -> DataFrame:
+    """path_enumeration without its lines. Pairs are made distinct before they are counted."""
     rows = log.filter("source_ip <> '' AND http_path <> ''")
     paths = rows.select("source_ip", "http_path").distinct().groupBy("source_ip").agg(F.count("*").alias("count"))
     flagged = zscored(paths, "count").filter((F.col("z") >= zscore) & (F.col("count") >= unique_paths))
-    first = rows.join(flagged.select("source_ip"), "source_ip", "left_semi").groupBy("source_ip").agg(F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("ts"))
-    found = flagged.join(first, "source_ip").withColumn("username", F.lit(None).cast("string"))
-    text = F.format_string("IP %s accessed %d unique paths (Z-score: %.1f). Consistent with directory/content scanning.", "source_ip", "count", "z")
-    found = finding(found, DETECTOR, 1, 5, "path_enumeration", 40 + (F.col("z") * 8).cast("int"), text, map_of(unique_paths=F.col("count"), z_score=F.round("z", 2)))
-    return with_evidence(found, rows, ["source_ip"], ["seq"])
+    found = flagged.join(_first_entries(rows, flagged), "source_ip").withColumn("username", F.lit(None).cast("string"))
+    text = sentence("path_enumeration", "source_ip", "count", "z")
+    return claim(finding(found, DETECTOR, 1, 5, "path_enumeration", 40 + (F.col("z") * 8).cast("int"), text, map_of(unique_paths=F.col("count"), z_score=F.round("z", 2))))
+
+
+def path_enumeration(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths) -> DataFrame:
+    """Addresses that ask for many more distinct paths than the others."""
+    return fetch_evidence(path_claims(log, zscore, unique_paths), log, with_paths=("path_enumeration",))

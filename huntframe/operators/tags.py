@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def technique_url(technique_id: str) -> str:
+    """A technique's address; a sub-technique's dot is a slash there."""
+    return f"https://attack.mitre.org/techniques/{technique_id.replace('.', '/')}/"
+
+
 def tag(technique_id: str, name: str, tactic: str) -> Column:
-    """One tag; a sub-technique's dot is a slash in its address."""
-    url = f"https://attack.mitre.org/techniques/{technique_id.replace('.', '/')}/"
-    return F.struct(F.lit(technique_id).alias("technique_id"), F.lit(name).alias("technique_name"), F.lit(tactic).alias("tactic"), F.lit(url).alias("url"))
+    """One tag."""
+    return F.struct(F.lit(technique_id).alias("technique_id"), F.lit(name).alias("technique_name"), F.lit(tactic).alias("tactic"), F.lit(technique_url(technique_id)).alias("url"))
 
 
 # The technique of each finding that is no signature hit.

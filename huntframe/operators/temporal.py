@@ -2,92 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntframe import config
-from huntframe.config import DEFAULTS
-from huntframe.functions.scalars import first_filled, format_duration, is_auth_failure, is_off_hours, is_process, is_weekend_sensitive, map_of
-from huntframe.operators.evidence import with_evidence
-from huntframe.operators.statistical import by_source, finding
+from huntframe.config import DEFAULTS, SENTENCES
+from huntframe.functions.scalars import ADDRESS_FIRST, USER_FIRST, is_auth_failure, is_off_hours, is_process, is_weekend_sensitive, map_of
+from huntframe.operators.evidence import claim, fetch_evidence
+from huntframe.operators.keyed import WIDTH, KeyedRule, keyed_findings, quoted
+from huntframe.operators.statistical import finding, sentence
+from huntframe.operators.tags import TECHNIQUES
 
 DETECTOR = "Temporal Detector"
-ORDER = ["ts", "seq"]
+#: Seconds of a stretch of time that one task sees of one source.
+STRETCH = 3600
 
 
-def off_hours_auth_activity(log: DataFrame, day_begins: int = DEFAULTS.day_begins, day_ends: int = DEFAULTS.day_ends, least: int = DEFAULTS.off_hours_events) -> DataFrame:
+def _rule(name: str, rule_rank: int, meets: Column, key: str, enough: str, score: str, parts: str, extra: str = "NULL") -> KeyedRule:
+    return KeyedRule(name, F.col("ts").isNotNull() & meets, key, enough, score, f"format_string({quoted(SENTENCES[name])}, {parts})", (TECHNIQUES[name],), DETECTOR, 3, rule_rank, extra, by_time=True)
+
+
+def off_hours_rule(day_begins: int = DEFAULTS.day_begins, day_ends: int = DEFAULTS.day_ends, least: int = DEFAULTS.off_hours_events) -> KeyedRule:
     """Authentication and sensitive events outside business hours, by source."""
     touchy = is_process(config.AUTH_PROCESSES_TEMPORAL) | is_process(config.SENSITIVE_PROCESSES) | F.coalesce(F.col("event_id").isin(*config.OFF_HOURS_EVENTS), F.lit(False))
-    key = first_filled("source_ip", "username")
-    rows = log.filter(F.col("ts").isNotNull() & is_off_hours(day_begins, day_ends) & touchy).withColumn("key", key)
-    found = by_source(rows, key, ORDER).filter(F.col("count") >= least)
-    text = F.format_string("%d authentication/sensitive events outside business hours (%02d:00–%02d:00) from %s.", "count", F.lit(day_begins), F.lit(day_ends), "key")
-    return with_evidence(finding(found, DETECTOR, 3, 1, "off_hours_auth_activity", 45 + 2 * F.col("count"), text), rows, ["key"], ORDER)
+    return _rule("off_hours_auth_activity", 1, is_off_hours(day_begins, day_ends) & touchy, ADDRESS_FIRST, f"count >= {least}", "45 + 2 * count", f"count, {day_begins}, {day_ends}, key")
 
 
-def request_burst(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds) -> DataFrame:
-    """The first time that an address sends `events` requests within `seconds`.
+def weekend_rule() -> KeyedRule:
+    """Account, service and audit changes on a weekend, by user first."""
+    return _rule("weekend_sensitive_activity", 4, is_weekend_sensitive(), USER_FIRST, "true", "35 + 3 * count", "count, key")
 
-    A row ends such a window if the row events-1 before it is near enough; only (address, time, order) is sorted.
-    """
-    rows = log.filter("source_ip <> '' AND ts IS NOT NULL")
-    back = Window.partitionBy("source_ip").orderBy(*ORDER)
-    narrow = rows.select("source_ip", "ts", "seq").withColumn("begin", F.lag(F.struct("ts", "seq"), events - 1).over(back))
-    micros = F.unix_micros("ts") - F.unix_micros("begin.ts")
-    hits = narrow.filter(F.col("begin").isNotNull() & (micros <= seconds * 1_000_000))
-    first = hits.groupBy("source_ip").agg(F.min_by("begin", F.struct(*ORDER)).alias("begin"))
-    found = first.select("source_ip", F.lit(None).cast("string").alias("username"), F.col("begin.ts").alias("ts"), F.col("begin.seq").alias("first_seq"), F.lit(events).cast("long").alias("count"))
-    text = F.format_string("IP %s sent %d requests in %d seconds. Possible DDoS, brute force, or automated scanner.", "source_ip", "count", F.lit(seconds))
-    found = finding(found, DETECTOR, 3, 2, "request_burst", 50 + F.col("count"), text, map_of(window_seconds=F.lit(seconds)))
-    begins = found.select("source_ip", F.struct("ts", F.col("first_seq").alias("seq")).alias("begin"))
-    inside = rows.join(begins, "source_ip").filter(F.struct(*ORDER) >= F.col("begin")).drop("begin")
-    return with_evidence(found, inside, ["source_ip"], ORDER)
-
-
-def hot_burst(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, chunk_seconds: int = 3600) -> DataFrame:
-    """(source_ip, ts, seq) of the first burst of each address, for logs where one address holds most rows.
-
-    Rows are windowed by address and stretch of time; a row of the last `seconds` of a stretch is copied
-    into the next, where it can begin a window but end none. Exact as long as a stretch is no shorter than the window.
-    """
-    if chunk_seconds < seconds:
-        raise ValueError("a stretch of time must hold a whole window")
-    rows = log.filter("source_ip <> '' AND ts IS NOT NULL").select("source_ip", "ts", "seq", F.unix_micros("ts").alias("us"))
-    span, size = seconds * 1_000_000, chunk_seconds * 1_000_000
-    chunk = F.floor(F.col("us") / size)
-    late = F.pmod(F.col("us"), F.lit(size)) >= size - span
-    dealt = rows.withColumn("place", F.explode(F.when(late, F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("copy")), F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("copy")))))).select("source_ip", "ts", "seq", "us", "place.*")
-    back = Window.partitionBy("source_ip", "chunk").orderBy("us", "seq")
-    hits = dealt.withColumn("begin", F.lag(F.struct("us", "ts", "seq"), events - 1).over(back)).filter(~F.col("copy") & (F.col("us") - F.col("begin.us") <= span))
-    return hits.groupBy("source_ip").agg(F.min_by("begin", F.struct("us", "seq")).alias("begin")).select("source_ip", "begin.ts", "begin.seq")
-
-
-def impossible_travel(log: DataFrame, seconds: int = DEFAULTS.travel_seconds) -> DataFrame:
-    """Consecutive events of one user from different addresses, not more than `seconds` apart."""
-    rows = log.filter("username <> '' AND source_ip <> '' AND ts IS NOT NULL")
-    before = F.lag(F.struct("source_ip", "ts", "raw", "seq")).over(Window.partitionBy("username").orderBy(*ORDER))
-    micros = F.unix_micros("ts") - F.unix_micros("before.ts")
-    moved = rows.select("username", "source_ip", "ts", "seq", "raw").withColumn("before", before).filter((F.col("before.source_ip") != F.col("source_ip")) & (micros <= seconds * 1_000_000))
-    gap = F.floor(micros / 1_000_000).cast("int")
-    found = moved.select("username", "source_ip", "ts", F.col("seq").alias("first_seq"), F.lit(2).cast("long").alias("count"), F.col("before.source_ip").alias("ip_a"), gap.alias("delta_seconds"), F.array(F.substring("before.raw", 1, 200), F.substring("raw", 1, 200)).alias("evidence"))
-    text = F.format_string("User '%s' active from %s then %s within %d seconds. Possible account sharing, credential theft, or VPN switch.", "username", "ip_a", "source_ip", "delta_seconds")
-    return finding(found, DETECTOR, 3, 3, "impossible_travel", F.lit(70), text, map_of(ip_a=F.col("ip_a"), ip_b=F.col("source_ip"), delta_seconds=F.col("delta_seconds")))
+
+def slow_rule(failures: int = DEFAULTS.slow_failures, minutes: int = DEFAULTS.slow_minutes) -> KeyedRule:
+    """Sources whose failures are many but spread over at least `minutes`."""
+    lasted = "(unix_micros(ends) - unix_micros(begins))"
+    whole = f"({lasted} div 60000000)"  # minutes
+    duration = f"concat(if({whole} >= 60, concat({whole} div 60, 'h '), ''), {whole} % 60, 'm')"
+    meets = is_auth_failure(config.FAILURE_WORDS_TEMPORAL, config.AUTH_PROCESSES_TEMPORAL)
+    return _rule("slow_brute_force", 5, meets, ADDRESS_FIRST, f"count >= {failures} AND {lasted} >= {minutes} * 60000000", "50 + count", f"count, key, {duration}", f"map('duration_minutes', cast({whole} AS string))")
+
+
+def off_hours_auth_activity(log: DataFrame, day_begins: int = DEFAULTS.day_begins, day_ends: int = DEFAULTS.day_ends, least: int = DEFAULTS.off_hours_events) -> DataFrame:
+    """Authentication and sensitive events outside business hours, by source."""
+    return keyed_findings(log, [off_hours_rule(day_begins, day_ends, least)])
 
 
 def weekend_sensitive_activity(log: DataFrame) -> DataFrame:
     """Account, service and audit changes on a weekend, by user first."""
-    key = first_filled("username", "source_ip")
-    rows = log.filter(F.col("ts").isNotNull() & is_weekend_sensitive()).withColumn("key", key)
-    text = F.format_string("%d sensitive operations on a weekend by %s. User account changes, service installs, or audit policy changes outside working days warrant investigation.", "count", "key")
-    return with_evidence(finding(by_source(rows, key, ORDER), DETECTOR, 3, 4, "weekend_sensitive_activity", 35 + 3 * F.col("count"), text), rows, ["key"], ORDER)
+    return keyed_findings(log, [weekend_rule()])
 
 
 def slow_brute_force(log: DataFrame, failures: int = DEFAULTS.slow_failures, minutes: int = DEFAULTS.slow_minutes) -> DataFrame:
     """Sources whose failures are many but spread over at least `minutes`."""
-    key = first_filled("source_ip", "username")
-    rows = log.filter(F.col("ts").isNotNull() & is_auth_failure(config.FAILURE_WORDS_TEMPORAL, config.AUTH_PROCESSES_TEMPORAL)).withColumn("key", key)
-    lasted = (F.unix_micros("ends") - F.unix_micros("begins")) / 1_000_000
-    found = by_source(rows, key, ORDER).filter((F.col("count") >= failures) & (lasted >= minutes * 60))
-    text = F.concat(F.col("count").cast("string"), F.lit(" auth failures from "), F.col("key"), F.lit(" spread over "), format_duration(lasted), F.lit(". Low-rate brute force designed to evade rate-limit detection."))
-    found = finding(found, DETECTOR, 3, 5, "slow_brute_force", 50 + F.col("count"), text, map_of(duration_minutes=F.floor(lasted / 60).cast("long")))
-    return with_evidence(found, rows, ["key"], ORDER)
+    return keyed_findings(log, [slow_rule(failures, minutes)])
+
+
+def in_stretches(rows: DataFrame, key: str, seconds: int, stretch: int = STRETCH) -> tuple[DataFrame, Window]:
+    """rows with us, chunk and copy, and the window (key, chunk) in order of time: what looks back `seconds` at most sees all it needs there.
+
+    A source is cut into stretches of time, so no task sorts all rows of one that holds most of them. The rows
+    of the last `seconds` of a stretch are copied into the next one, where they are looked back at (copy is
+    true) but stand for nothing themselves. Exact, since a stretch is no shorter than `seconds`.
+    """
+    size, span = max(stretch, seconds) * 1_000_000, seconds * 1_000_000
+    timed = rows.withColumn("us", F.unix_micros("ts"))
+    chunk = F.floor((F.col("us") - F.pmod("us", F.lit(size))) / size)
+    own = F.struct(chunk.alias("chunk"), F.lit(False).alias("copy"))
+    late = F.pmod("us", F.lit(size)) >= size - span
+    dealt = timed.withColumn("place", F.explode(F.when(late, F.array(own, F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("copy")))).otherwise(F.array(own))))
+    return dealt.select(*timed.columns, "place.*"), Window.partitionBy(key, "chunk").orderBy("us", "seq")
+
+
+def bursts(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, stretch: int = STRETCH) -> DataFrame:
+    """(source_ip, begin): where the first `events` requests of an address within `seconds` begin, as (ts, seq). A row ends such a run if the row events-1 before it is near enough."""
+    dealt, back = in_stretches(log.filter("source_ip <> '' AND ts IS NOT NULL").select("source_ip", "ts", "seq"), "source_ip", seconds, stretch)
+    begun = F.lag(F.struct("us", "ts", "seq"), events - 1).over(back) if events > 1 else F.struct("us", "ts", "seq")
+    hits = dealt.withColumn("begin", begun).filter(~F.col("copy") & (F.col("us") - F.col("begin.us") <= seconds * 1_000_000))
+    return hits.groupBy("source_ip").agg(F.min_by(F.struct("begin.ts", "begin.seq"), F.struct("us", "seq")).alias("begin"))
+
+
+def burst_claims(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, stretch: int = STRETCH) -> DataFrame:
+    """request_burst without its lines."""
+    found = bursts(log, events, seconds, stretch).select("source_ip", F.lit(None).cast("string").alias("username"), F.col("begin.ts").alias("ts"), F.col("begin.seq").alias("first_seq"), F.lit(events).cast("long").alias("count"), "begin")
+    text = sentence("request_burst", "source_ip", "count", F.lit(seconds))
+    return claim(finding(found, DETECTOR, 3, 2, "request_burst", 50 + F.col("count"), text, map_of(window_seconds=F.lit(seconds))))
+
+
+def request_burst(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, stretch: int = STRETCH) -> DataFrame:
+    """The first time that an address sends `events` requests within `seconds`."""
+    return fetch_evidence(burst_claims(log, events, seconds, stretch), log, by_time=("request_burst",))
+
+
+def impossible_travel(log: DataFrame, seconds: int = DEFAULTS.travel_seconds, stretch: int = STRETCH) -> DataFrame:
+    """Consecutive events of one user from different addresses, not more than `seconds` apart."""
+    rows = log.filter("username <> '' AND source_ip <> '' AND ts IS NOT NULL").select("username", "source_ip", "ts", "seq", F.substring("raw", 1, WIDTH).alias("line"))
+    dealt, back = in_stretches(rows, "username", seconds, stretch)
+    before = F.lag(F.struct("source_ip", "us", "line")).over(back)
+    micros = F.col("us") - F.col("before.us")
+    moved = dealt.withColumn("before", before).filter(~F.col("copy") & (F.col("before.source_ip") != F.col("source_ip")) & (micros <= seconds * 1_000_000))
+    gap = F.floor(micros / 1_000_000).cast("int")
+    found = moved.select("username", "source_ip", "ts", F.col("seq").alias("first_seq"), F.lit(2).cast("long").alias("count"), F.col("before.source_ip").alias("ip_a"), gap.alias("delta_seconds"), F.array("before.line", "line").alias("evidence"))
+    text = sentence("impossible_travel", "username", "ip_a", "source_ip", "delta_seconds")
+    return finding(found, DETECTOR, 3, 3, "impossible_travel", F.lit(70), text, map_of(ip_a=F.col("ip_a"), ip_b=F.col("source_ip"), delta_seconds=F.col("delta_seconds")))

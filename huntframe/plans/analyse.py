@@ -2,66 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
 from huntframe.config import DEFAULTS, Thresholds
 from huntframe.operators import findings as fnd
 from huntframe.operators import statistical as stat
 from huntframe.operators import temporal as temp
-from huntframe.operators.forest import ml_behavioural_anomaly
-from huntframe.operators.signatures import SIGNATURES, pattern_findings
+from huntframe.operators.evidence import fetch_evidence
+from huntframe.operators.forest import ml_claims
+from huntframe.operators.keyed import keyed_findings
+from huntframe.operators.signatures import SIGNATURES, searched, signature_rules
 from huntframe.sources.lines import parse_logs, run_stats
+from huntframe.sources.scratch import discard, kept
 
 ENABLED = ("pattern", "statistical", "ml", "temporal")
-
-
-def detectors(t: Thresholds = DEFAULTS, signatures: tuple = SIGNATURES) -> dict[str, list[Callable[[DataFrame], DataFrame]]]:
-    """The detectors of each family, with a run's thresholds, in the order in which their findings arrive."""
-    return {
-        "pattern": [lambda log: pattern_findings(log, signatures)],
-        "statistical": [
-            lambda log: stat.request_rate_spike(log, t.requests_per_minute, t.zscore),
-            lambda log: stat.error_rate_spike(log, t.error_rate_pct, t.error_window_least, t.error_window_minutes),
-            lambda log: stat.large_response_bytes(log, t.zscore, t.bytes_least_rows),
-            lambda log: stat.auth_failure_spike(log, t.auth_failures),
-            lambda log: stat.path_enumeration(log, t.zscore, t.unique_paths),
-        ],
-        "ml": [lambda log: ml_behavioural_anomaly(log, t.contamination, trees=t.forest_trees, sample=t.forest_sample, least_sources=t.forest_least_sources)],
-        "temporal": [
-            lambda log: temp.off_hours_auth_activity(log, t.day_begins, t.day_ends, t.off_hours_events),
-            lambda log: temp.request_burst(log, t.burst_events, t.burst_seconds),
-            lambda log: temp.impossible_travel(log, t.travel_seconds),
-            temp.weekend_sensitive_activity,
-            lambda log: temp.slow_brute_force(log, t.slow_failures, t.slow_minutes),
-        ],
-    }
+#: How each family is called in a run's record.
+CALLED = {"pattern": "Pattern", "statistical": "Statistical", "ml": "ML", "temporal": "Temporal"}
 
 
 def detect(log: DataFrame, enabled: tuple[str, ...] = ENABLED, thresholds: Thresholds = DEFAULTS, signatures: tuple = SIGNATURES) -> DataFrame:
-    """Raw findings of the enabled families."""
-    families = detectors(thresholds, signatures)
-    return fnd.union_findings(*(f(log) for family in ENABLED if family in enabled for f in families[family]))
+    """Raw findings of the enabled families.
+
+    What the detectors share is done once: all rules that judge an entry by itself in one pass, and the evidence
+    of all findings about addresses in another. log is read about ten times, a few columns at a time: give a
+    table on disk (`kept`), not a plan that is dear to work out.
+    """
+    t = thresholds
+    rules, claims, others = [], [], []
+    if "pattern" in enabled:
+        log_searched = searched(log, signatures)
+        rules += signature_rules(signatures)
+    else:
+        log_searched = log
+    if "statistical" in enabled:
+        rules.append(stat.auth_rule(t.auth_failures))
+        claims += [stat.rate_claims(log, t.requests_per_minute, t.zscore), stat.path_claims(log, t.zscore, t.unique_paths)]
+        others += [stat.error_rate_spike(log, t.error_rate_pct, t.error_window_least, t.error_window_minutes), stat.large_response_bytes(log, t.zscore, t.bytes_least_rows)]
+    if "ml" in enabled:
+        claims.append(ml_claims(log, t.contamination, trees=t.forest_trees, sample=t.forest_sample, least_sources=t.forest_least_sources))
+    if "temporal" in enabled:
+        rules += [temp.off_hours_rule(t.day_begins, t.day_ends, t.off_hours_events), temp.weekend_rule(), temp.slow_rule(t.slow_failures, t.slow_minutes)]
+        claims.append(temp.burst_claims(log, t.burst_events, t.burst_seconds))
+        others.append(temp.impossible_travel(log, t.travel_seconds))
+    if rules:
+        others.append(keyed_findings(log_searched, rules))
+    if claims:
+        claimed = kept(fnd.union_claims(*claims))
+        others.append(fetch_evidence(claimed, log, with_paths=("path_enumeration",), by_time=("request_burst",)))
+    return fnd.union_findings(*others) if others else log.sparkSession.createDataFrame([], fnd.FINDING)
 
 
 @dataclass
 class Run:
-    """What one analysis gives; every table is lazy but the entries, which are kept while the run is used."""
+    """What one analysis gives. entries, raw and merged are tables in the shared folder; `close` removes them."""
 
     entries: DataFrame
+    raw: DataFrame
+    merged: DataFrame
     stats: DataFrame
-    findings: DataFrame
-    summary: DataFrame
-    top_sources: DataFrame
-    risk: DataFrame
     detectors: tuple[str, ...]
 
+    @property
+    def findings(self) -> DataFrame:
+        """Merged and correlated findings, ranked: the one global sort, over findings only."""
+        return fnd.rank_findings(self.merged)
+
+    @property
+    def summary(self) -> DataFrame:
+        return fnd.severity_summary(self.merged)
+
+    @property
+    def top_sources(self) -> DataFrame:
+        return fnd.top_source_ips(self.merged)
+
+    @property
+    def risk(self) -> DataFrame:
+        return fnd.overall_risk(self.merged)
+
+    def close(self) -> None:
+        discard(self.entries, self.raw, self.merged)
+
 
-def analyse(lines: DataFrame, log_format: str, year: int | Column = 1970, enabled: tuple[str, ...] = ENABLED, thresholds: Thresholds = DEFAULTS) -> Run:
-    """Parse (seq, value) lines and hunt in them. Entries are persisted once, since every detector reads them; unpersist Run.entries when done."""
-    entries = parse_logs(lines, log_format, year).persist(StorageLevel.MEMORY_AND_DISK)
-    found = fnd.process_findings(detect(entries, enabled, thresholds))
-    return Run(entries, run_stats(lines, entries), found, fnd.severity_summary(found), fnd.top_source_ips(found), fnd.overall_risk(found), enabled)
+def analyse(lines: DataFrame, log_format: str, year: int | Column | None = None, enabled: tuple[str, ...] = ENABLED, thresholds: Thresholds = DEFAULTS, signatures: tuple = SIGNATURES) -> Run:
+    """Parse (seq, value) lines and hunt in them. The jobs run here: entries, raw findings and merged findings are each written once and read by all that follows."""
+    entries = kept(parse_logs(lines, log_format, year))
+    raw = kept(detect(entries, enabled, thresholds, signatures))
+    merged = kept(fnd.correlate_findings(fnd.dedup_findings(raw)))
+    return Run(entries, raw, merged, run_stats(lines, entries, log_format), tuple(CALLED[f] for f in ENABLED if f in enabled))

@@ -25,7 +25,7 @@ from huntframe.operators.tags import mitre_tags
 from huntframe.plans.analyse import detect
 from huntframe.plans.lines import access_lines, generic_lines, syslog_lines, windows_lines
 from huntframe.sources.lines import parse_logs, read_json_array, read_json_events, read_lines, run_stats
-from huntframe.sources.scratch import scratch
+from huntframe.sources.scratch import kept, scratch
 from huntframe.sources.sinks import write_findings
 
 YEAR = 2024
@@ -94,7 +94,7 @@ def write_findings_query(log: DataFrame) -> DataFrame:
 @_named
 def run_stats_query(log: DataFrame) -> DataFrame:
     lines = access_lines(log)
-    return run_stats(lines, parse_access(lines))
+    return run_stats(lines, parse_access(lines), "apache")
 
 
 # Parse jobs
@@ -297,8 +297,9 @@ def source_features_query(log: DataFrame) -> DataFrame:
 
 
 def _some_findings(log: DataFrame) -> DataFrame:
-    """Findings with many repeats of a key and differing scores: what merging and correlation work on."""
-    return fnd.union_findings(stat.large_response_bytes(log), stat.auth_failure_spike(log), temp.impossible_travel(log))
+    """Findings with many repeats of a key and differing scores, written once: what merging and correlation work on."""
+    log = kept(log)
+    return kept(fnd.union_findings(stat.large_response_bytes(log), stat.auth_failure_spike(log), temp.impossible_travel(log)))
 
 
 @_named
@@ -351,7 +352,7 @@ def mitre_tags_query(log: DataFrame) -> DataFrame:
 @_named
 def all_detectors(log: DataFrame) -> DataFrame:
     """Every detector but the forest, whose scores hang on its random trees."""
-    return detect(log, ("pattern", "statistical", "temporal")).groupBy("finding_type", "severity").agg(F.count("*").alias("findings"))
+    return detect(kept(log), ("pattern", "statistical", "temporal")).groupBy("finding_type", "severity").agg(F.count("*").alias("findings"))
 
 
 # Windows
@@ -364,7 +365,8 @@ def request_burst(log: DataFrame) -> DataFrame:
 
 @_named
 def request_burst_hot(log: DataFrame) -> DataFrame:
-    return temp.hot_burst(log, events=3, seconds=3600, chunk_seconds=7200).select("source_ip", _time())
+    """The same with stretches of another length."""
+    return temp.bursts(log, events=3, seconds=3600, stretch=7200).select("source_ip", F.date_format("begin.ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @_named

@@ -27,8 +27,8 @@ LOG_ENTRY = T.StructType(
 
 TAG = T.StructType([T.StructField(c, T.StringType()) for c in ("technique_id", "technique_name", "tactic", "url")])
 
-#: Place of a finding in the order in which findings are merged: group's first row, then row.
-ARRIVAL = T.StructType([T.StructField(c, T.LongType()) for c in ("rule_rank", "first", "second")])
+#: Place of a finding in the order in which findings are merged: its rule, then up to three places within it.
+ARRIVAL = T.StructType([T.StructField(c, T.LongType()) for c in ("rule_rank", "first", "second", "third")])
 
 FINDING = T.StructType(
     [
@@ -46,6 +46,12 @@ FINDING = T.StructType(
 )
 
 
+def arrival(rule_rank, first, second=0, third=0):
+    """An arrival struct of columns or numbers."""
+    parts = zip(ARRIVAL.fieldNames(), (rule_rank, first, second, third))
+    return F.struct(*((F.lit(x) if isinstance(x, int) else x).cast("long").alias(n) for n, x in parts))
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df with exactly the columns of schema: cast where they are there, null where they are not."""
     have = set(df.columns)

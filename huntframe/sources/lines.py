@@ -5,38 +5,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huntframe.functions.scalars import right_trimmed
 from huntframe.operators.parse_generic import parse_generic
 from huntframe.operators.parse_syslog import parse_syslog
 from huntframe.operators.parse_web import parse_access
-from huntframe.operators.parse_windows import parse_windows
+from huntframe.operators.parse_windows import parse_windows, windows_errors
 
+#: Where a line also ends if asked to: vertical tab, form feed, the separators 1C-1E, next line, line and paragraph separator.
+SEPARATORS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
-def read_lines(spark: SparkSession, path: str, split_separators: bool = False) -> DataFrame:
-    """Text files as (seq, value, file): blank lines stay, trailing white space goes. seq rises within a file.
+
+def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
+    """rows (file, block, ...) with seq: rising by file name, then by place in the file.
+
+    A file's rows are numbered from where its block begins. A block of b bytes holds at most b rows, and Spark
+    gives a file's full blocks a task each, so the numbers of a file's blocks cannot meet.
+    """
+    shift = 63 - len(files).bit_length()
+    if not files:
+        return rows.withColumn("seq", F.lit(0).cast("long"))
+    names = rows.sparkSession.createDataFrame([(name, at << shift) for at, name in enumerate(sorted(files))], "file string, first long")  # the listing that the driver holds for any scan
+    placed = rows.withColumn("place", F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return placed.join(F.broadcast(names) if len(files) <= 100_000 else names, "file").withColumn("seq", F.col("first") + F.col("place"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], split_separators: bool = False) -> DataFrame:
+    """Text files as (seq, value, file, modified): blank lines stay, trailing white space goes. seq rises by file name and place.
 
     split_separators also ends lines at vertical tabs, form feeds and the Unicode line separators.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value"), F.col("_metadata.file_path").alias("file"))
+    read = spark.read.text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"))
     if split_separators:
-        cut = F.split("value", "[\u000b\u000c\u001c-\u001e\u0085  ]")
-        lines = lines.select("seq", F.posexplode(cut).alias("part", "value"), "file").withColumn("seq", F.struct("seq", "part"))
-    return lines.withColumn("value", F.regexp_replace("value", r"\s+$", ""))
+        lines = lines.withColumn("value", F.explode(F.split("value", SEPARATORS)))
+    return _numbered(lines, read.inputFiles()).select("seq", right_trimmed(F.col("value")).alias("value"), "file", "modified")
 
 
-def read_json_events(spark: SparkSession, path: str) -> DataFrame:
+def read_json_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A file of one JSON event a line, as entries."""
     return parse_windows(read_lines(spark, path))
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files that are one JSON array of events each, as (seq, value) with an event's JSON text; seq rises within a file. Such a file cannot be split: prefer a line per event."""
-    whole = spark.read.text(path, wholetext=True)
-    elements = whole.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
-    return elements.select(F.monotonically_increasing_id().alias("seq"), "value")  # numbered once they are apart: no file's events run into the next file's
+def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files that are one JSON array of events each, as (seq, value, file, modified) with an event's JSON text. seq rises by file name and place. Such a file cannot be split: prefer a line per event."""
+    read = spark.read.text(path, wholetext=True)
+    whole = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    elements = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "value"), "file", "modified")
+    files = read.inputFiles()
+    shift = 63 - max(1, len(files).bit_length())
+    names = spark.createDataFrame([(name, at << shift) for at, name in enumerate(sorted(files))], "file string, first long")
+    return elements.join(F.broadcast(names) if len(files) <= 100_000 else names, "file").select((F.col("first") + F.col("place")).alias("seq"), "value", "file", "modified")
+
+
+def read_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Windows event exports as (seq, value, file, modified): a file that is one JSON array gives its elements, any other its lines.
+
+    Only files whose first filled line begins with a bracket are read whole; one that then is no array keeps its lines.
+    """
+    lines = read_lines(spark, path)
+    begin = lines.filter("value <> ''").groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "seq").alias("sign"))
+    maybe = [r["file"] for r in begin.filter("sign = '['").collect()]  # file names, which the driver lists anyway
+    if not maybe:
+        return lines
+    arrays = read_json_array(spark, maybe)
+    text = spark.read.text(maybe, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").isNotNull().alias("sound"))
+    sound = text.filter("sound").select("file").distinct()
+    return lines.join(sound, "file", "left_anti").select("seq", "value", "file", "modified").unionByName(arrays.join(sound, "file", "left_semi").select("seq", "value", "file", "modified"))
+
+
+def read_log(spark: SparkSession, path: str | list[str], log_format: str, split_separators: bool = False) -> DataFrame:
+    """The lines of log files in a named format, ready for parse_logs and analyse."""
+    return read_windows(spark, path) if log_format == "windows_event" else read_lines(spark, path, split_separators)
 
 
-def parse_logs(lines: DataFrame, log_format: str, year: int | Column = 1970) -> DataFrame:
-    """Entries of (seq, value) lines in a named format; a name that is not known is read as generic. year is for syslog."""
+def parse_logs(lines: DataFrame, log_format: str, year: int | Column | None = None) -> DataFrame:
+    """Entries of (seq, value) lines in a named format; a name that is not known is read as generic. year is for syslog: by default that of the file, else the current one."""
     if log_format == "apache":
         return parse_access(lines)
     if log_format == "syslog":
@@ -44,8 +87,9 @@ def parse_logs(lines: DataFrame, log_format: str, year: int | Column = 1970) ->
     return parse_windows(lines) if log_format == "windows_event" else parse_generic(lines)
 
 
-def run_stats(lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """(log_format, total_lines, parsed_lines, parse_errors): parsed counts every entry, errors those kept raw."""
-    counts = entries.groupBy("log_format").agg(F.count("*").alias("parsed_lines"), F.count_if(~F.col("parse_ok")).alias("parse_errors"))
+def run_stats(lines: DataFrame, entries: DataFrame, log_format: str) -> DataFrame:
+    """(log_format, total_lines, parsed_lines, parse_errors), one row whatever the input: parsed counts every entry, errors the lines kept raw and, for Windows events, those that are JSON but no object and give no entry."""
+    counts = entries.agg(F.count("*").alias("parsed_lines"), F.count_if(~F.col("parse_ok")).alias("kept_raw"))
     total = lines.agg(F.count("*").alias("total_lines"))
-    return counts.crossJoin(F.broadcast(total)).select("log_format", "total_lines", "parsed_lines", "parse_errors")
+    errors = windows_errors(lines) if log_format == "windows_event" else counts.select(F.col("kept_raw").alias("errors"))
+    return total.crossJoin(counts).crossJoin(errors).select(F.lit(log_format).alias("log_format"), "total_lines", "parsed_lines", F.col("errors").alias("parse_errors"))

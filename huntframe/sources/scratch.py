@@ -1,16 +1,44 @@
-"""A folder that all executors share, for queries that write and read back."""
+"""A folder that all executors share, and tables kept there: lineage cuts that outlive executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set: one of our own on a single machine, an error on a cluster, whose executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the session's checkpoint folder; under one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again. `discard` removes it once nothing reads it any more."""
+    path = scratch(df.sparkSession, "kept")
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `kept` wrote; others are left alone."""
+    for table in tables:
+        path = table.__dict__.get("kept_at")
+        if path:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

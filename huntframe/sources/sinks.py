@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,12 @@ def write_findings(findings: DataFrame, path: str, run_id: str, run_date: str, k
     findings.withColumn("run_id", F.lit(run_id)).withColumn("run_date", F.lit(run_date)).write.mode(mode).partitionBy("run_date").format(kind).save(path)
 
 
-def write_run(stats: DataFrame, path: str, run_id: str, detectors: list[str], run_date: str) -> None:
-    """A run's record: counts and the detectors used."""
-    stats.withColumn("run_id", F.lit(run_id)).withColumn("detectors", F.array(*map(F.lit, detectors))).withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
+def write_run(stats: DataFrame, findings: DataFrame, path: str, run_id: str, detectors: tuple[str, ...], run_date: str) -> None:
+    """A run's record: line counts, number of findings, the detectors used and when it was written."""
+    record = stats.crossJoin(findings.agg(F.count("*").alias("findings"))).withColumn("run_id", F.lit(run_id)).withColumn("detectors", F.array(*map(F.lit, detectors)).cast("array<string>"))
+    record.withColumn("analysed_at", F.current_timestamp()).withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, run_date, log_format, total_lines, parsed_lines, parse_errors, findings, detectors, analysed_at) of every run written to path."""
+    return spark.read.parquet(path).select("run_id", F.col("run_date").cast("string").alias("run_date"), "log_format", "total_lines", "parsed_lines", "parse_errors", "findings", "detectors", "analysed_at")

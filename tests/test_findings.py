@@ -3,7 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from huntframe.operators import findings as fnd
@@ -11,7 +10,7 @@ from huntframe.operators import statistical as stat
 from huntframe.operators import temporal as temp
 from huntframe.operators.forest import average_path, isolation_forest_scores, ml_behavioural_anomaly
 from huntframe.operators.signatures import SIGNATURES, pattern_findings, pattern_hits
-from huntframe.schema import FINDING, LOG_ENTRY, conform
+from huntframe.schema import FINDING, LOG_ENTRY, arrival, conform
 
 START = datetime(2024, 1, 6, 2, 0, 0)  # a Saturday night
 
@@ -41,9 +40,8 @@ def test_burst_matches_a_sliding_window(spark):
                 break
     got = {r.source_ip: (r.ts, r.arrival.first) for r in temp.request_burst(df, 5, 20).collect()}
     assert got == expected and expected
-    assert {r.source_ip: (r.ts, r.seq) for r in temp.hot_burst(df, 5, 20, 30).collect()} == expected
-    with pytest.raises(ValueError):
-        temp.hot_burst(df, 5, 20, 10)
+    for stretch in (10, 20, 30):  # never shorter than the window
+        assert {r.source_ip: tuple(r.begin) for r in temp.bursts(df, 5, 20, stretch).collect()} == expected
 
 
 def test_dedup_is_the_sequential_fold(spark):
@@ -63,7 +61,7 @@ def test_dedup_is_the_sequential_fold(spark):
             old[1] = list(dict.fromkeys(old[1] + evidence))
             old[2] = max(old[2], count)
     df = spark.createDataFrame(rows, "finding_type string, source_ip string, username string, severity_score int, evidence array<string>, count long, i long")
-    df = conform(df.withColumn("detector_rank", F.lit(0)).withColumn("arrival", F.struct(F.lit(0).cast("long").alias("rule_rank"), F.col("i").alias("first"), F.lit(0).cast("long").alias("second"))), FINDING)
+    df = conform(df.withColumn("detector_rank", F.lit(0)).withColumn("arrival", arrival(0, F.col("i"))), FINDING)
     got = {(r.finding_type, r.source_ip or "", r.username or ""): [r.severity_score, r.evidence, r["count"]] for r in fnd.dedup_findings(df.repartition(3)).collect()}
     assert got == {k: [s, list(dict.fromkeys(e))[:10], c] for k, (s, e, c) in seen.items()}
 

@@ -91,7 +91,7 @@ def test_files_and_counts(spark, tmp_path):
     (tmp_path / "a.log").write_text("x  \n\ny=1 z=2\n")
     read = read_lines(spark, str(tmp_path / "a.log"))
     assert [r.value for r in rows(read)] == ["x", "", "y=1 z=2"]
-    stats = run_stats(read, parse_logs(read, "unheard of")).first()
+    stats = run_stats(read, parse_logs(read, "unheard of"), "generic").first()
     assert (stats.log_format, stats.total_lines, stats.parsed_lines, stats.parse_errors) == ("generic", 3, 2, 0)
     (tmp_path / "b.json").write_text('[{"EventID": "4624"},\n {"EventID": "1"}]')
     assert [r.event_id for r in rows(parse_windows(read_json_array(spark, str(tmp_path / "b.json"))))] == ["4624", "1"]
