@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +18,31 @@ from huntframe.operators.parse_windows import parse_windows, windows_errors
 SEPARATORS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
+def _named(files: list[str], spark: SparkSession) -> DataFrame:
+    """(place_of, first): for each file of a listing, by name, the first of its numbers. The driver holds the listing for any scan."""
+    shift = 63 - max(1, len(files).bit_length())
+    names = [(_SCHEME.sub(r"\1:/", name), at << shift) for at, name in enumerate(sorted(files))]
+    table = spark.createDataFrame(names, "place_of string, first long")
+    return F.broadcast(table) if len(files) <= 100_000 else table
+
+
+#: A listing writes file:///x where a row's metadata has file:/x.
+_SCHEME = re.compile("^([A-Za-z0-9+.-]+):/+")
+
+
+def _place_of() -> Column:
+    return F.regexp_replace("file", _SCHEME.pattern, "$1:/").alias("place_of")
+
+
 def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
     """rows (file, block, ...) with seq: rising by file name, then by place in the file.
 
     A file's rows are numbered from where its block begins. A block of b bytes holds at most b rows, and Spark
     gives a file's full blocks a task each, so the numbers of a file's blocks cannot meet.
     """
-    shift = 63 - len(files).bit_length()
-    if not files:
-        return rows.withColumn("seq", F.lit(0).cast("long"))
-    names = rows.sparkSession.createDataFrame([(name, at << shift) for at, name in enumerate(sorted(files))], "file string, first long")  # the listing that the driver holds for any scan
-    placed = rows.withColumn("place", F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    return placed.join(F.broadcast(names) if len(files) <= 100_000 else names, "file").withColumn("seq", F.col("first") + F.col("place"))
+    names = _named(files, rows.sparkSession)
+    placed = rows.withColumn("place", F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).withColumn("place_of", _place_of())
+    return placed.join(names, "place_of").withColumn("seq", F.col("first") + F.col("place"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], split_separators: bool = False) -> DataFrame:
@@ -50,11 +66,9 @@ def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files that are one JSON array of events each, as (seq, value, file, modified) with an event's JSON text. seq rises by file name and place. Such a file cannot be split: prefer a line per event."""
     read = spark.read.text(path, wholetext=True)
     whole = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    elements = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "value"), "file", "modified")
-    files = read.inputFiles()
-    shift = 63 - max(1, len(files).bit_length())
-    names = spark.createDataFrame([(name, at << shift) for at, name in enumerate(sorted(files))], "file string, first long")
-    return elements.join(F.broadcast(names) if len(files) <= 100_000 else names, "file").select((F.col("first") + F.col("place")).alias("seq"), "value", "file", "modified")
+    elements = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "value"), "file", "modified").withColumn("place_of", _place_of())
+    names = _named(read.inputFiles(), spark)
+    return elements.join(names, "place_of").select((F.col("first") + F.col("place")).alias("seq"), "value", "file", "modified")
 
 
 def read_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,12 +78,12 @@ def read_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     lines = read_lines(spark, path)
     begin = lines.filter("value <> ''").groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "seq").alias("sign"))
-    maybe = [r["file"] for r in begin.filter("sign = '['").collect()]  # file names, which the driver lists anyway
+    maybe = [unquote(r["file"]) for r in begin.filter("sign = '['").collect()]  # file names, which the driver lists anyway
     if not maybe:
         return lines
     arrays = read_json_array(spark, maybe)
-    text = spark.read.text(maybe, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").isNotNull().alias("sound"))
-    sound = text.filter("sound").select("file").distinct()
+    text = spark.read.text(maybe, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>").alias("held"))
+    sound = text.filter("size(held) = 1").select("file").distinct()  # in brackets: an array with more behind it is no array
     return lines.join(sound, "file", "left_anti").select("seq", "value", "file", "modified").unionByName(arrays.join(sound, "file", "left_semi").select("seq", "value", "file", "modified"))
 
 

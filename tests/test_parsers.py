@@ -2,13 +2,14 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
 
 from huntframe.operators.parse_generic import parse_generic, route_generic
 from huntframe.operators.parse_syslog import parse_syslog
 from huntframe.operators.parse_web import parse_access
 from huntframe.operators.parse_windows import parse_windows, windows_errors
 from huntframe.schema import LOG_ENTRY
-from huntframe.sources.lines import parse_logs, read_json_array, read_lines, run_stats
+from huntframe.sources.lines import parse_logs, read_json_array, read_lines, read_log, run_stats
 
 
 def lines(spark, *texts):
@@ -100,3 +101,36 @@ def test_files_and_counts(spark, tmp_path):
 def test_empty_input(spark):
     for name in ("apache", "syslog", "windows_event", "generic"):
         assert parse_logs(spark.createDataFrame([], "seq long, value string"), name).count() == 0
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "b 1%.log").write_text("b0\nb1\x0bb2\n\nb3\n")
+    (tmp_path / "a.log").write_text("".join(f"a{i}\n" for i in range(50)))
+    for split, bs in ((False, ["b0", "b1\x0bb2", "", "b3"]), (True, ["b0", "b1", "b2", "", "b3"])):
+        read = read_lines(spark, str(tmp_path), split)
+        got = rows(read)
+        assert [r.value for r in got] == [f"a{i}" for i in range(50)] + bs
+        assert len({r.seq for r in got}) == len(got)
+        assert parse_logs(read, "generic").count() == len([b for b in bs if b]) + 50
+    assert {r.ts.year for r in parse_logs(read.withColumn("value", F.lit("Mar  5 03:22:14 web cron: x")), "syslog").collect()} == {datetime.now().year}
+
+
+def test_windows_files_are_arrays_or_lines(spark, tmp_path):
+    (tmp_path / "array file.json").write_text('\n [{"EventID": "4624"},\n {"EventID": 1}, 5]')
+    (tmp_path / "lines.json").write_text('[1]\n{"EventID": "2"}\nbroken')
+    read = read_log(spark, str(tmp_path), "windows_event")
+    entries = parse_logs(read, "windows_event")
+    assert [r.event_id for r in rows(entries)] == ["4624", "1", "2", None]
+    stats = run_stats(read, entries, "windows_event").first()
+    assert (stats.total_lines, stats.parsed_lines, stats.parse_errors) == (6, 4, 3)  # 5, [1] and broken
+    none = spark.createDataFrame([], "seq long, value string")
+    assert tuple(run_stats(none, parse_logs(none, "syslog"), "syslog").first()) == ("syslog", 0, 0, 0)
+
+
+def test_classes_are_those_of_unicode(spark):
+    a = rows(parse_syslog(lines(spark, "Jän 10 03:22:14 web cron: x\u00a0"), 2024))[0]
+    assert (a.ts, a.message, a.parse_ok) == (datetime(2024, 1, 10, 3, 22, 14), "x", True)  # no such month is January
+    b = rows(parse_generic(lines(spark, "usér=x src=1.2.3.4 user=bob\u2028y")))[0]
+    assert b.extra["usér"] == "x" and (b.source_ip, b.username) == ("1.2.3.4", "bob")
+    c = rows(parse_access(lines(spark, '1.2.3.4\u00a0- - [10/Oct/2024:13:55:36 +0000] "GET /a\ufdd0b HTTP/1.1" 200 5 "-" "x\u2028y"')))[0]
+    assert (c.http_path, c.user_agent, c.parse_ok) == ("/ab", "x\u2028y", True)  # U+FDD0 is no character
