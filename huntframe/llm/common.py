@@ -5,13 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from huntframe.sources.scratch import discard, kept as cut
+
+__all__ = ["cut", "discard"]  # tables in the shared folder, written and removed
 
 #: Text handled at a time inside a task; a single longer document is a block of its own.
 BLOCK_BYTES = 1 << 19
@@ -28,28 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+def parts(df: DataFrame) -> int:
+    """Shuffle partitions of the session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Ids that are broadcast at most, to pick rows by: about 100 MB.
+FEW_IDS = 2_000_000
 
 
-def parts(df: DataFrame) -> int:
-    """Shuffle partitions of the session."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is in ids (one column, distinct). Few ids are broadcast, so that no other row is shuffled; more are joined."""
+    ids = ids.toDF(column)
+    return rows.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, column, "left_semi")
+
+
+def join_dealt(rows: DataFrame, side: DataFrame, key: str, other: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined to side, which has one row a key, without a hot key.
+
+    A key that holds more rows than a quarter of a task's share is dealt to several tasks by the column other, and
+    its row of side is repeated for each. There are at most four such keys a task, whatever the table, so they are
+    broadcast. rows is read twice; sizes (key, n) are its counts by key, where they are known.
+    """
+    n = rows.count()
+    share = max(64, n // (4 * parts(rows)))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes.select(key, "n")
+    hubs = sizes.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("long").alias("_deals")).collect()
+    if not hubs:
+        return rows.join(side, key, how)
+    table = F.broadcast(rows.sparkSession.createDataFrame(hubs, sizes.select(key).schema.add("_deals", "long")))
+    dealt = rows.join(table, key, "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), "_deals")).cast("long")).drop("_deals")
+    repeated = side.join(table, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(repeated, [key, "_deal"], how).drop("_deal")
 
 
 def class_table(separators: bytes) -> np.ndarray:

@@ -3,14 +3,20 @@
 For each language a suffix automaton of labelled text gives longest-match lengths. A word, with the
 spaces around it, is cut greedily into the longest stretches that the language's text contains; a
 character it never saw is a phrase of its own. Phrases are normalised by the code length of a pointer
-into that language's text and by the document's letters; the language that needs fewest bits wins.
+into that language's words and by the document's letters; the language that needs fewest bits wins.
 
-The automata are fitted on a bounded sample of the labelled rows (sample_docs per language, of each
-at most sample_chars characters, chosen by hash of doc_id); every document is judged on its whole text.
+A phrase ends with its word, so that a word's phrases are worked out once a task however often it
+stands in the corpus. No match then reaches beyond a word of the labelled text either, and the automaton
+of its distinct words, each between two spaces, gives the same lengths as that of the text itself.
+
+The automata are fitted on a bounded sample of the labelled rows: sample_docs whole texts a language,
+those of lowest md5 of doc_id, of at most most_languages languages (more raise an error: none is left
+out). Every document is judged on its whole text.
 
 Defined results: null text or text without a letter is `und` with score 0. Ties go to the language
-first by code point. No labelled rows at all: every document is `und`. Rows are judged one by one, so
-repeated rows agree; extra columns are ignored.
+first by code point. No labelled rows at all: every document is `und`. A labelled row with a null doc_id
+is not learnt from. Rows are judged one by one, so repeated rows agree; extra columns are ignored
+(identify) or kept (keep_identified).
 """
 
 from __future__ import annotations
@@ -37,74 +43,115 @@ _IS_CHUNK = class_table(bytes(b for b in range(128) if not 0x61 <= b <= 0x7A))
 
 
 class CharAutomaton:
-    """Suffix automaton of one text."""
-
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in text:
-            new = len(length)
-            self.next.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            at = last
-            while at >= 0 and c not in self.next[at]:
-                self.next[at][c] = new
-                at = link[at]
-            if at >= 0:
-                to = self.next[at][c]
-                if length[to] == length[at] + 1:
-                    link[new] = to
-                else:
-                    clone = len(length)
-                    self.next.append(dict(self.next[to]))
-                    length.append(length[at] + 1)
-                    link.append(link[to])
-                    while at >= 0 and self.next[at].get(c) == to:
-                        self.next[at][c] = clone
-                        at = link[at]
-                    link[to] = link[new] = clone
-            last = new
-
-    def phrases(self, words: list[str]) -> list[int]:
-        """Phrases of each word's greedy parse, a phrase being the longest stretch from its start that the text contains.
-
-        Words come sorted, so a word goes on from the state after the prefix that it shares with the last one.
-        """
-        nxt, root, out = self.next, self.next[0], []
-        states, counts, last = [0], [0], ""
+    """Generalised suffix automaton of a language's words, each between two spaces; arcs in sorted arrays."""
+
+    def __init__(self, words: list[str]):
+        arcs, link, length = [{}], [-1], [0]
+
+        def split(parent: int, c: int, to: int) -> int:
+            """The state for parent's longest stretch and c, split off `to` where that is longer."""
+            if length[to] == length[parent] + 1:
+                return to
+            clone = len(length)
+            arcs.append(dict(arcs[to]))
+            length.append(length[parent] + 1)
+            link.append(link[to])
+            link[to] = clone
+            while parent >= 0 and arcs[parent].get(c) == to:
+                arcs[parent][c] = clone
+                parent = link[parent]
+            return clone
+
         for word in words:
-            shared = 0
-            for a, b in zip(word, last):
-                if a != b:
-                    break
-                shared += 1
-            del states[shared + 1 :], counts[shared + 1 :]
-            state, count = states[-1], counts[-1]
-            for c in word[shared:]:
-                to = nxt[state].get(c)
-                if to is None:
-                    count += 1  # the phrase so far ends, or c itself was never seen
-                    if state:
-                        to = root.get(c)
-                        if to is None:
-                            count += 1
-                    to = to or 0
-                state = to
-                states.append(state)
-                counts.append(count)
-            out.append(count + (state > 0))
-            last = word
+            last = 0
+            for c in map(ord, f" {word} "):
+                to = arcs[last].get(c)
+                if to is not None:
+                    last = split(last, c, to)
+                    continue
+                new, parent = len(length), last
+                arcs.append({})
+                length.append(length[last] + 1)
+                link.append(0)
+                while parent >= 0 and c not in arcs[parent]:
+                    arcs[parent][c] = new
+                    parent = link[parent]
+                if parent >= 0:
+                    link[new] = split(parent, c, arcs[parent][c])
+                last = new
+        n = sum(map(len, arcs))
+        key = np.fromiter((s << 21 | c for s, out in enumerate(arcs) for c in out), np.int64, n)
+        to = np.fromiter((x for out in arcs for x in out.values()), np.int32, n)
+        order = np.argsort(key)
+        self.key, self.to = key[order], to[order]
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states that the characters lead to, or -1."""
+        key = state.astype(np.int64) << 21 | c
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.to[at], -1)
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """Phrases of each word's greedy parse, a phrase being the longest stretch from its start that the words contain. All words go forward together, a character at a time; the few that are long go on alone."""
+        if not len(self.key) or not words:
+            return np.array([len(w) for w in words], np.int64)
+        lengths = np.array([len(w) for w in words])
+        order = np.argsort(-lengths, kind="stable")
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin, size = (np.concatenate(([0], np.cumsum(lengths)[:-1])))[order], lengths[order]
+        state, count = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64)
+        active, at = len(words), 0
+        while active > 0 and at < size[0]:
+            active = int(np.searchsorted(-size, -at, "left"))  # words longer than at
+            if active < 16 and at > 64:
+                break
+            c = points[begin[:active] + at]
+            to = self._step(state[:active], c)
+            stuck = np.flatnonzero(to < 0)
+            if len(stuck):
+                open_ = state[stuck] > 0
+                count[stuck] += 1  # the phrase so far ends, or the character itself was never seen
+                again = np.zeros(len(stuck), np.int32)
+                fresh = self._step(np.zeros(len(stuck), np.int32), c[stuck])
+                again[open_] = np.maximum(fresh[open_], 0)
+                count[stuck] += open_ & (fresh < 0)
+                to[stuck] = again
+            state[:active] = to
+            at += 1
+        if active > 0 and at < size[0]:
+            arcs = dict(zip(self.key.tolist(), self.to.tolist()))
+            for i in range(int(np.searchsorted(-size, -at, "left"))):
+                now, n = int(state[i]), int(count[i])
+                for c in points[begin[i] + at : begin[i] + size[i]].tolist():
+                    to_ = arcs.get(now << 21 | c)
+                    if to_ is None:
+                        n += 1
+                        if now:
+                            to_ = arcs.get(c)
+                            n += to_ is None
+                        to_ = to_ or 0
+                    now = to_
+                state[i], count[i] = now, n
+        out = np.empty(len(words), np.int64)
+        out[order] = count + (state > 0)
         return out
 
 
+class Languages:
+    """The automata by language, and the code length of a pointer into each."""
+
+    def __init__(self, words: dict[str, list[str]]):
+        self.names = sorted(words)
+        self.automata = [CharAutomaton(sorted(words[x])) for x in self.names]
+        self.bits = np.array([math.log2(2 + sum(len(w) + 1 for w in words[x])) for x in self.names])
+        self.digest = hashlib.md5(repr([(x, sorted(words[x])) for x in self.names]).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 class CrossParser(WordMemo):
     """The languages' automata and the phrases of the chunks parsed so far."""
 
-    def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
-        self.automata = [CharAutomaton(samples[x]) for x in self.languages]
-        self.bits = np.array([math.log2(2 + len(samples[x])) for x in self.languages])
+    def __init__(self, learnt: Languages):
+        self.languages, self.automata, self.bits = learnt.names, learnt.automata, learnt.bits
         super().__init__()
 
     def forget(self) -> None:
@@ -139,36 +186,47 @@ class CrossParser(WordMemo):
         return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), np.where(known, lowest[:, 0] / self.bits[best], np.nan)
 
 
-def sample_texts(labelled: DataFrame, sample_docs: int = 32, sample_chars: int = 1000) -> dict[str, str]:
-    """Text of each language from at most sample_docs of its documents and sample_chars of each.
+def learn(labelled: DataFrame, sample_docs: int = 320, most_languages: int = 256) -> Languages:
+    """The automata of each language's distinct words in the whole texts of sample_docs of its documents, or of all it has.
 
     Which documents: lowest md5 of doc_id, by a share of each language first, so no group is sorted or gathered whole.
     """
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} labelled languages: raise most_languages, whose automata must fit a worker")
     if not counts:
-        return {}
+        return Languages({})
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample_docs / n) if n > sample_docs else 2.0)))
-    picked = labelled.select("lang", "doc_id", draw.alias("draw"), F.substring("text", 1, sample_chars).alias("text")).filter(F.col("draw") < share[F.col("lang")]).collect()
-    found: dict[str, list] = {}
-    for row in sorted(picked, key=lambda r: (r.draw, r.doc_id)):
-        found.setdefault(row.lang, []).append(row.text)
-    return {lang: " " + " ".join(_LETTERS.findall(" ".join(texts[:sample_docs]).lower())) + " " for lang, texts in found.items()}
+    of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("lang")]
+    enough = sample_docs + 5 * math.sqrt(sample_docs) + 20  # that fewer are drawn than wanted does not happen
+    share = {lang: enough / n for lang, n in counts.items()}
+    drawn: dict[str, list[float]] = {}
+    for row in labelled.select("lang", draw.alias("draw")).filter(F.col("draw") < of(share)).collect():
+        drawn.setdefault(row["lang"], []).append(row["draw"])
+    last = {lang: sorted(draws)[:sample_docs][-1] for lang, draws in drawn.items()}
+    picked = labelled.filter(draw <= of(last)).select("lang", "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                found = sorted(set(_LETTERS.findall(text.as_py().lower())))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "word"])
+
+    distinct = picked.mapInArrow(words, "lang string, word string").distinct().toArrow()  # of sample_docs texts a language
+    found: dict[str, list[str]] = {lang: [] for lang in last}
+    for lang, word in zip(distinct.column("lang").to_pylist(), distinct.column("word").to_pylist()):
+        found[lang].append(word)
+    return Languages(found)
 
 
 def _parser(shipped, digest: str) -> CrossParser:
     return kept_by_worker(("languages", digest), lambda: CrossParser(shipped.value))
 
 
-def _ship(docs: DataFrame, samples: dict[str, str]) -> tuple:
-    """The samples, bounded by sample_docs * sample_chars a language, as a broadcast, and a name for them."""
-    return docs.sparkSession.sparkContext.broadcast(samples), hashlib.md5(repr(sorted(samples.items())).encode()).hexdigest()
-
-
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+def identify(docs: DataFrame, learnt: Languages) -> DataFrame:
     """doc_id, lang_pred, score and phrases (phrases a character, null for `und`) of every document. Map-only."""
-    shipped, digest = _ship(docs, samples)
+    shipped, digest = docs.sparkSession.sparkContext.broadcast(learnt), learnt.digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shipped, digest)
@@ -181,13 +239,13 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, phrases double")
 
 
-def keep_identified(docs: DataFrame, samples: dict[str, str], most_phrases: float = 0.95) -> DataFrame:
+def keep_identified(docs: DataFrame, learnt: Languages, most_phrases: float = 0.95) -> DataFrame:
     """The documents in one of the learnt languages, all columns as they are.
 
     Rejected are `und` and texts of which no language's text holds stretches: with most_phrases a character
     nearly every character is a phrase of its own, as in a script that was never seen. Prose needs a third.
     """
-    shipped, digest = _ship(docs, samples)
+    shipped, digest = docs.sparkSession.sparkContext.broadcast(learnt), learnt.digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shipped, digest)
@@ -207,5 +265,5 @@ def is_held_out(folds: int, fold: int) -> F.Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    samples = sample_texts(docs.filter(~F.coalesce(is_held_out(4, 2), F.lit(True))))
-    return identify(docs, samples).select("doc_id", F.coalesce(is_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score", "phrases")
+    learnt = learn(docs.filter(~F.coalesce(is_held_out(4, 2), F.lit(True))))
+    return identify(docs, learnt).select("doc_id", F.coalesce(is_held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score", "phrases")

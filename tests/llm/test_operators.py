@@ -161,22 +161,37 @@ def test_op4_predicts_held_out_languages(spark, docs, empty, sf_dir):
     assert sum(right) > 0.95 * len(right)
     assert [got[d].lang_pred for d in (200, 201, 204)] == ["und"] * 3 and got[200].score == 0
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1 for d, r in got.items())
-    assert op4_language_id.identify(empty, op4_language_id.sample_texts(empty)).count() == 0
-    assert {r.lang_pred for r in op4_language_id.identify(docs, {}).collect()} == {"und"}
-    kept = op4_language_id.keep_identified(docs, op4_language_id.sample_texts(docs))
+    assert op4_language_id.identify(empty, op4_language_id.learn(empty)).count() == 0
+    assert {r.lang_pred for r in op4_language_id.identify(docs, op4_language_id.Languages({})).collect()} == {"und"}
+    kept = op4_language_id.keep_identified(docs, op4_language_id.learn(docs))
     assert kept.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {200, 201, 204}
 
 
 def test_op4_phrases_are_greedy():
     rng = random.Random(4)
-    text = "".join(rng.choice("abc ") for _ in range(200))
-    automaton = op4_language_id.CharAutomaton(text)
-    for word in sorted("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 15))) for _ in range(200)):
+    known = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["ab" * 90]
+    text = " " + " ".join(known) + " "
+    automaton = op4_language_id.CharAutomaton(known)
+    asked = [f" {''.join(rng.choice('abcd') for _ in range(rng.randint(1, 15)))} " for _ in range(200)] + [" " + "abd" * 150 + " ", " " + "ba" * 200 + " ", " ", "\U0001f600"]
+    want = []
+    for word in asked:
         count, rest = 0, word
         while rest:
             n = max((k for k in range(1, len(rest) + 1) if rest[:k] in text), default=1)
             rest, count = rest[n:], count + 1
-        assert automaton.phrases([word]) == [count]
+        want.append(count)
+    assert automaton.phrases(asked).tolist() == want
+    assert op4_language_id.CharAutomaton([]).phrases(["abc"]).tolist() == [3]
+
+
+def test_op4_learns_whole_texts_of_so_many_rows(spark):
+    rows = [(i, ("alpha " * 3000 + f"zebra{chr(97 + i)}"), "en") for i in range(9)] + [(None, "never", "en")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, every = op4_language_id.learn(labelled, sample_docs=2), op4_language_id.learn(labelled, sample_docs=9)
+    zebras = lambda learnt: sum(int(learnt.automata[0].phrases([f"zebra{chr(97 + i)}"])[0] == 1) for i in range(9))
+    assert (zebras(few), zebras(every)) == (2, 9)  # the last word of a long text
+    with pytest.raises(ValueError):
+        op4_language_id.learn(labelled.union(labelled.withColumn("lang", F.lit("fr"))), most_languages=1)
 
 
 def fill(sizes, weights):
