@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from huntframe.llm.common import cut, small_batches, table
-from huntframe.llm.op4_language_id import keep_identified, sample_texts
+from huntframe.llm.op4_language_id import keep_identified, learn
 from huntframe.llm.op5_source_mixing import apply_mix
 from huntframe.llm.op9_minhash_dedup import deduplicate
 from huntframe.llm.op10_best_fit_packing import pack
@@ -15,7 +15,7 @@ from huntframe.llm.op10_best_fit_packing import pack
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; others go. Same columns."""
     small_batches(spark)
-    return keep_identified(docs, sample_texts(docs))
+    return keep_identified(docs, learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
