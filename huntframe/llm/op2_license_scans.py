@@ -1,8 +1,11 @@
 """License scans: matching statistics against a generalised suffix automaton of licence words.
 
 The automaton holds every template's words. A text is streamed through it once; at each word the
-longest stretch of template words that ends there is known. Short base phrases are read off the
-suffix links, long stretches are chained into spans that cover a template.
+longest stretch of template words that ends there is known. Base phrases are read off the suffix links.
+Wherever a place in a template cannot be followed any further, its stretch is kept, also where other
+templates go on; stretches of a template are chained into spans. A chain may jump a few words, in text
+and template, but none that tells licences of one family apart (what templates of different labels that
+share most words differ in). Of spans that overlap the one with the best cover stands, with those of its label.
 
 Defined results: a null or empty text has no words, no places, empty label strings and score 0.
 Words never cross rows; repeated rows and ties are handled row by row; extra columns are ignored.
@@ -10,6 +13,7 @@ Words never cross rows; repeated rows and ties are handled row by row; extra col
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,9 +41,16 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
@@ -147,6 +158,17 @@ class Scanner:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
         self.automaton = WordAutomaton([[ids[w] for w in ws] for _, ws in [*self.templates, *phrase_words]])
+        self.shortest = min((len(ws) for _, ws in phrase_words), default=2)
+        told: set[bytes] = set()
+        for at, (label, ws) in enumerate(self.templates):
+            for other, others in self.templates[:at]:
+                if label != other and 2 * len(set(ws) & set(others)) > max(len(set(ws)), len(set(others))):
+                    told |= set(ws) ^ set(others)
+        self.telling = np.zeros(len(vocabulary) + 1, np.int64)  # the last is for words of no template
+        self.telling[[ids[w] for w in told]] = 1
+        #: telling words of each template before each place
+        self.told_before = [np.concatenate(([0], np.cumsum(self.telling[[ids[w] for w in ws]]))) for _, ws in self.templates]
+        self.occurrences: dict[int, dict[tuple[int, int], int]] = {}
         own: dict[int, list[tuple[int, str]]] = {}
         for label, ws in phrase_words:
             own.setdefault(self.automaton.find([ids[w] for w in ws]), []).append((len(ws), label))
@@ -173,49 +195,59 @@ class Scanner:
         out = Scan(len(ids))
         matches: dict[int, list[tuple[int, int, int]]] = {}
         known = ids >= 0
-        pairs = known[:-1] & known[1:]  # a stretch of two known words at least
-        if not pairs.any():
+        # stretches of known words, of two at least unless a phrase has one
+        runs = known if self.shortest < 2 else np.concatenate((known[:-1] & known[1:], [False])) if len(known) else known
+        if not runs.any():
             return out
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], pairs.view(np.int8), [0]))))
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], runs.view(np.int8), [0]))))
+        told = np.concatenate(([0], np.cumsum(self.telling[ids])))
         for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            run = ids[lo : hi + 1].tolist()
-            held = (0, 0)
+            run = ids[lo : hi + (self.shortest > 1)].tolist()
+            held: dict[tuple[int, int], int] = {}
             for at, (state, size) in enumerate(self.automaton.statistics(run), lo):
                 for length, label in self.phrases_at[state]:
                     if length <= size:
                         out.places.append((at - length + 1, label))
-                if size <= held[1]:
-                    self._keep(matches, held, at - 1)
-                held = (state, size)
-            self._keep(matches, held, hi)
+                now = self._where(state, size) if size >= self.min_match else {}
+                for (which, end), length in held.items():
+                    if (which, end + 1) not in now:
+                        matches.setdefault(which, []).append((at - 1, end, length))
+                held = now
+            for (which, end), length in held.items():
+                matches.setdefault(which, []).append((lo + len(run) - 1, end, length))
         for which, found in matches.items():
-            self._chain(out, which, found)
+            self._chain(out, which, found, told)
+        out.spans = _best_covered(out.spans)
         return out
 
-    def _keep(self, matches: dict, held: tuple[int, int], at: int) -> None:
-        """A stretch that could not grow: remember where it stands in each template."""
-        state, size = held
-        if size >= self.min_match:
-            for which, end in self.automaton.ends[state]:
-                if which < len(self.templates):
-                    matches.setdefault(which, []).append((at, end, size))
+    def _where(self, state: int, size: int) -> dict[tuple[int, int], int]:
+        """Where the words that end here stand in templates, as (template, end), with the length of the stretch."""
+        if state not in self.occurrences:
+            found: dict[tuple[int, int], int] = {}
+            up = state
+            while up > 0 and self.automaton.length[up] >= self.min_match:
+                for place in self.automaton.ends[up]:
+                    if place[0] < len(self.templates):
+                        found.setdefault(place, self.automaton.length[up])
+                up = self.automaton.link[up]
+            self.occurrences[state] = found
+        return {place: min(length, size) for place, length in self.occurrences[state].items()}
 
-    def _chain(self, out: Scan, which: int, found: list[tuple[int, int, int]]) -> None:
-        """Chain stretches that follow each other in text and template, gaps of max_gap words at most."""
+    def _chain(self, out: Scan, which: int, found: list[tuple[int, int, int]], told: np.ndarray) -> None:
+        """Chain stretches that follow each other in text and template, gaps of max_gap words at most and none over a telling word."""
         label, words = self.templates[which]
+        before = self.told_before[which]
         found.sort()
         best: list[tuple[int, int]] = []  # covered words, first word of the chain
-        recent = 0
         top: dict[int, tuple[int, int, int]] = {}
         for i, (at, end, size) in enumerate(found):
             covered, first = size, at - size + 1
-            while found[recent][0] < at - size - self.max_gap:
-                recent += 1
-            for j in range(recent, i):
+            for j in range(bisect_left(found, (at - size - self.max_gap,)), i):
                 at_j, end_j, _ = found[j]
                 if at_j < at and end_j < end and end - size - end_j <= self.max_gap:
+                    begin, start = max(at_j + 1, at - size + 1), max(end_j + 1, end - size + 1)
                     gain = min(size, at - at_j, end - end_j)
-                    if best[j][0] + gain > covered:
+                    if told[begin] == told[at_j + 1] and before[start] == before[end_j + 1] and best[j][0] + gain > covered:
                         covered, first = best[j][0] + gain, best[j][1]
             best.append((covered, first))
             if covered > top.get(first, (0, 0, 0))[0]:
@@ -226,6 +258,15 @@ class Scanner:
                 out.spans.append((label, first, last, share))
 
 
+def _best_covered(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """The spans less those that overlap a better covered one of another label; ties go to the longer, then by label."""
+    kept: list[tuple[str, int, int, float]] = []
+    for span in sorted(set(spans), key=lambda s: (-s[3], s[1] - s[2], s[0], s[1])):
+        if not any(k[0] != span[0] and k[1] <= span[2] and span[1] <= k[2] for k in kept):
+            kept.append(span)
+    return sorted(kept, key=lambda s: (s[1], s[2], s[0]))
+
+
 SCHEMA = "doc_id long, n_words long, places array<struct<first_word:long,label:string>>, spans array<struct<label:string,first_word:long,last_word:long,cover:double>>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("first_word", pa.int64()), ("label", pa.string())]))), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())])))])
 
