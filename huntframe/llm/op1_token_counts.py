@@ -5,11 +5,12 @@ them. The distinct pre-tokens that a batch brings anew go into a trie. A node's
 log-probability of any piece sequence that spells its prefix, and how many pieces that takes) depends on
 the prefix alone, so it is computed once, whichever words share it; terminal nodes hold the words' counts.
 
-Piece probabilities are not trained: they follow from the vocabulary's rank order by the Zipf-Mandelbrot
+Piece probabilities are not trained, as tokenizers are not here: they follow from the vocabulary's rank order by the Zipf-Mandelbrot
 rule 1 / (rank + 2.7). A byte that no piece covers is a fallback piece of a probability below all others.
 
 Defined results: null or empty text has no words, no tokens and score 0. Equal texts have equal counts;
-ties between piece sequences of one score go to fewer pieces. Extra columns are ignored.
+ties between piece sequences of one score go to fewer pieces. One row per input row, whatever its doc_id
+(repeated or null). No rows: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from huntframe.llm.common import SPACES, WordMemo, class_table, grown, kept_by_w
 NAME = "op1_token_counts"
 WORD_MARK = "▁".encode()
 _IS_WORD = class_table(SPACES)
+#: How far down the trie a node's score is kept for the words that share it; deeper, a word goes on alone, so that one of megabytes takes no more memory.
+SHARED_BYTES = 512
 #: Text whose new pre-tokens share one trie.
 TRIE_BYTES = 2 << 20
 
@@ -86,15 +89,18 @@ class PieceCounter(WordMemo):
         base, last, ends = len(path), b"", []
         for word in words:
             shared = 0
-            for a, b in zip(word, last):
+            for a, b in zip(word, last[:SHARED_BYTES]):
                 if a != b:
                     break
                 shared += 1
             del path[base + shared :]
-            for byte in word[shared:]:
+            for byte in word[shared:SHARED_BYTES]:
                 path.append(self._step(path[-1], byte))
+            state = path[-1]
+            for byte in word[SHARED_BYTES:]:  # a state holds the pieces that are open, no more
+                state = self._step(state, byte)
             last = word
-            ends.append(path[-1][:2])
+            ends.append(state[:2])
         self.tokens, self.scores = grown(self.tokens, self.n + len(words)), grown(self.scores, self.n + len(words))
         self.scores[self.n : self.n + len(words)], self.tokens[self.n : self.n + len(words)] = zip(*ends)
         self.n += len(words)
