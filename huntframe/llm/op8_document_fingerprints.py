@@ -4,8 +4,8 @@ A k-mer of characters is kept when the smallest of its s-mers lies at its first
 decided inside the k-mer alone, so a passage gives the same anchors wherever it stands, and an edit
 moves only the anchors that touch it. The fingerprint is the `size` lowest distinct anchor hashes, in
 fixed-width hex: equal texts have equal fingerprints, and the share of the lowest hashes of two
-fingerprints' union that both hold estimates how many anchors the texts share. Anchors with their
-positions are there for matching passages (`anchors`).
+fingerprints' union that both hold estimates how many anchors the texts share. The fingerprint is a sketch of
+fixed size; passages are matched by all anchors with their positions (`shared_spans`).
 
 Defined results: null text is empty; a text shorter than k is its own single anchor; an empty text has
 the empty fingerprint, and two empty fingerprints are alike (1.0). Rows with the same doc_id stand next
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import mix, parts, table
+from huntframe.llm.common import cut, discard, join_dealt, mix, parts, table
 
 NAME = "op8_document_fingerprints"
 K, S, SIZE = 16, 7, 64
@@ -161,6 +161,34 @@ def fingerprint_neighbours(docs: DataFrame, k: int = K, s: int = S, size: int =
     return dealt.mapInArrow(run, SCHEMA).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
+def anchor_table(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    """(anchor, doc_id, position) of every closed syncmer of every text. Map-only; rows without a doc_id have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                at, value = anchors(text.as_py(), k, s)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.full(len(at), doc_id.as_py(), np.int64)), pa.array(at.astype(np.int64))], ["anchor", "doc_id", "position"])
+
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, position long")
+
+
+def shared_spans(docs: DataFrame, least_anchors: int = 8, k: int = K, s: int = S) -> DataFrame:
+    """(doc_id, other, offset, first, last, anchors): passages that a document shares with one of smaller doc_id, by anchors that stand at one offset.
+
+    An anchor that several documents hold belongs to the first place of the smallest of them; the others meet that
+    place alone, so a passage with n copies gives n - 1 spans, not all pairs, and an anchor's rows are dealt to
+    several tasks however frequent it is. first and last are positions of anchors in doc_id; the passage runs on to last + k.
+    """
+    every = cut(anchor_table(docs, k, s))
+    owners = cut(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "position")).alias("own")).filter("n > 1"))
+    met = join_dealt(every, owners.select("anchor", "own"), "anchor", "position", owners.select("anchor", "n")).filter("doc_id > own.doc_id")
+    spans = met.groupBy("doc_id", F.col("own.doc_id").alias("other"), (F.col("position") - F.col("own.position")).alias("offset")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("anchors"))
+    found = cut(spans.filter(F.col("anchors") >= least_anchors))
+    discard(every, owners)
+    return found
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, beside those of their edited texts."""
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
