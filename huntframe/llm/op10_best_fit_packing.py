@@ -7,7 +7,7 @@ beside it, and branches over them with multiplicities; a node is pruned when the
 lead to fewer sequences than the best solution known, which starts as best-fit decreasing. Spark then
 ranks the pieces of a length and hands each rank its place in the plan.
 
-Defined results: null or empty text is the end token alone. Equal rows are packed one by one. No
+Defined results: null or empty text is the end token alone. Equal rows, and rows of one or of no doc_id, are packed one by one. No
 documents: no rows. Extra columns are ignored. A text's white space may be of any kind.
 """
 
@@ -193,73 +193,86 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(n, lengths) for room in rooms for n, lengths in groups[room]]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int = 6, steps: int = 4000) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of a room, least waste first: no piece left fits in what remains, nor could
-    one of the filling give its place to a longer one. At most `most`, within so many search steps."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each i, as bits of a number, the sums up to room that pieces of lengths[i:] can make."""
+    mask, bits = (1 << (room + 1)) - 1, 1
+    out = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        x, n, step = lengths[i], min(counts[lengths[i]], room // lengths[i]), 1
+        while n:  # so many times x, in doubling steps
+            take = min(step, n)
+            bits |= (bits << (x * take)) & mask
+            n, step = n - take, 2 * step
+        out[i] = bits
+    return out
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings of a room with the pieces left, least waste first, one at a time: no piece left fits in
+    what remains, nor could one of the filling give its place to a longer one. Only sums that can be made are followed."""
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    ascending = lengths[::-1]
+    reach = _reach(lengths, counts, room)
     used: Counter = Counter()
     chosen: list[int] = []
-    budget = steps
 
     def free(low: int, high: int) -> bool:
         """Is a piece of a length from low to high left over?"""
         at = bisect_left(ascending, low)
         return any(counts[x] > used[x] for x in ascending[at : bisect_left(ascending, high + 1)])
 
-    ascending = lengths[::-1]
-
-    def search(start: int, left: int) -> bool:
-        nonlocal budget
-        budget -= 1
-        if budget < 0:
-            return True
-        fits = False
+    def exactly(start: int, left: int) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield tuple(chosen)
+            return
         for i in range(start, len(lengths)):
+            if not reach[i] >> left & 1:
+                return  # nor can anything further down
             x = lengths[i]
-            if x <= left and counts[x] > used[x]:
-                fits = True
+            if x <= left and counts[x] > used[x] and reach[i] >> (left - x) & 1:
                 chosen.append(x)
                 used[x] += 1
-                over = search(i, left - x)
+                yield from exactly(i, left - x)
                 used[x] -= 1
                 chosen.pop()
-                if over:
-                    return True
-        if not fits and not free(1, left) and not any(free(x + 1, x + left) for x in set(chosen)):
-            found.append((left, tuple(chosen)))
-            return left == 0 or len(found) >= most
-        return False
 
-    at = 0
-    while at < len(lengths) and lengths[at] > room:
-        at += 1
-    search(at, room)
-    return sorted(found)
+    for waste in range(min(most_waste, room) + 1):
+        if reach[0] >> (room - waste) & 1:
+            for filling in exactly(0, room - waste):
+                if not free(1, waste) and not any(free(x + 1, x + waste) for x in set(chosen)):
+                    yield waste, filling
+
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by the sum of the lengths, and by the pieces of which no two fit together."""
+    total = sum(length * n for length, n in histogram.items())
+    return max(-(-total // capacity), sum(n for length, n in histogram.items() if 2 * length > capacity))
 
-def bin_completion(histogram: dict[int, int], capacity: int, nodes: int = 3000) -> Plan:
+
+def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None = -1) -> Plan:
     """As few sequences as the search finds within so many nodes; never more than best-fit decreasing.
 
     The bound: sequences so far and what is left over the capacity. The waste that a better solution
-    may have in all is therefore fixed, and a branch that wastes more is cut off.
+    may have in all is therefore fixed, and a branch that wastes more is cut off. nodes: by default 3000 and 20 for
+    each distinct length; None searches to the end, a sequence at a time, so what it gives is the least (for small
+    histograms: the search is exponential). The search stops as soon as the lower bound is met.
     """
     counts = {length: n for length, n in histogram.items() if n > 0}
     total = sum(length * n for length, n in counts.items())
-    least = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
+    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for n, _ in best)
+    one_by_one = nodes is None
+    budget = float("inf") if nodes is None else 3000 + 20 * len(counts) if nodes < 0 else nodes
 
     # depth-first, by hand: each frame holds the fillings still to try and what to undo
     plan: Plan = []
     waste = 0
 
-    def options() -> tuple[int, list]:
+    def options() -> tuple[int, Iterator]:
         longest = max(counts)
-        counts[longest] -= 1
-        room = capacity - longest
-        found = fillings(counts, sorted((x for x, n in counts.items() if n and x <= room), reverse=True), room) if room else [(0, ())]
-        counts[longest] += 1
-        return longest, found
+        left = {**counts, longest: counts[longest] - 1}
+        return longest, fillings(left, capacity - longest, (best_n - 1) * capacity - total - waste)
 
     def take(n: int, lengths: tuple[int, ...], sign: int) -> None:
         for length, k in Counter(lengths).items():
@@ -267,35 +280,33 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int = 3000)
             if not counts[length]:
                 del counts[length]
 
-    frames: list[list] = [[*options(), 0, None]] if counts and best_n > least else []
-    while frames and nodes and best_n > least:
-        longest, found, at, done = frames[-1]
+    frames: list[list] = [[*options(), None]] if counts and best_n > least else []
+    while frames and budget > 0 and best_n > least:
+        longest, found, done = frames[-1]
         if done is not None:  # back from below: undo
             n, lengths, lost = done
             plan.pop()
             waste -= lost
             take(n, lengths, -1)
-            frames[-1][3] = None
-        if at == len(found):
+            frames[-1][2] = None
+        left, filling = next(found, (None, ()))
+        allowed = (best_n - 1) * capacity - total - waste
+        if left is None or left > allowed:  # least waste first: what follows wastes no less
             frames.pop()
             continue
-        nodes -= 1
-        frames[-1][2] += 1
-        left, filling = found[at]
+        budget -= 1
         lengths = (longest, *filling)
-        need = Counter(lengths)
-        n = min(counts[x] // k for x, k in need.items())
-        allowed = (best_n - 1) * capacity - total - waste
-        if left:
-            n = min(n, allowed // left) if allowed >= left else 0
+        n = min(counts[x] // k for x, k in Counter(lengths).items())
+        n = min(n, allowed // left) if left else n
+        n = min(n, 1) if one_by_one else n
         if n <= 0:
             continue
         take(n, lengths, 1)
         plan.append((n, lengths))
         waste += n * left
-        frames[-1][3] = (n, lengths, n * left)
+        frames[-1][2] = (n, lengths, n * left)
         if counts:
-            frames.append([*options(), 0, None])
+            frames.append([*options(), None])
         else:
             best, best_n = list(plan), sum(k for k, _ in plan)
     return best
@@ -344,7 +355,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return salted.withColumn("_own", F.row_number().over(own)).join(sizes, ["length", "_salt"]).select(*pieces.columns, (F.col("_own") - 1 + F.col("_before")).alias("rank"))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 3000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int | None = -1) -> DataFrame:
     """Tokenise, cut and pack all documents: one row per piece with its sequence and offset.
 
     The pieces' digests are written once to the shared folder, since both the histogram and the ranks read them.
