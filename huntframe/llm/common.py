@@ -40,10 +40,10 @@ def parts(df: DataFrame) -> int:
 FEW_IDS = 2_000_000
 
 
-def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose column is in ids (one column, distinct). Few ids are broadcast, so that no other row is shuffled; more are joined."""
+def only(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose column is in ids (one column, distinct; left_anti: is not). Few ids are broadcast, so that no row is shuffled; more are joined."""
     ids = ids.toDF(column)
-    return rows.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, column, "left_semi")
+    return rows.join(F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids, column, how)
 
 
 def join_dealt(rows: DataFrame, side: DataFrame, key: str, other: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:

@@ -1,21 +1,24 @@
-"""LM scoring with a log-bilinear model, trained by noise-contrastive estimation on corpus-wide counts.
+"""LM scoring with a log-bilinear model, trained by noise-contrastive estimation on the whole corpus.
 
-Tokens are words and an end of text. The model predicts a token's class from the token before it: the
+Tokens are words and an end of text. The model predicts a token's class from the three tokens before it: the
 commonest words are classes of their own, all others share classes by their last two bytes, and a word
-within a shared class has its add-one share of the class. Score of class w after h: r_h C . q_w + b_w.
+within a shared class has its add-one share of the class. Score of class w after h1 h2 h3 (nearest first):
+(r_h1 C1 + r_h2 C2 + r_h3 C3) . q_w + b_w, with a matrix for each position.
 
-Training sees every training token: Spark sums the pairs (class, next class) over the corpus, a table
-bounded by classes squared. On it the noise-contrastive objective is evaluated with all noise classes at
-once (its expectation over noise samples), as matrix products in numpy. Scoring normalises exactly: one
-batched matrix product per worker gives log-probabilities of all classes after each class.
+Training reads every training token: each task goes on from the model of the round before, over the part of
+its texts that the round takes, in batches with noise samples from a seeded generator; the models are then
+averaged by tokens, in a tree. Rounds part the texts between them, so a token is seen once in all (a task
+with few tokens goes over them again). Scoring normalises exactly: batched matrix products over all classes
+give each context's normaliser, once for a context while a task remembers it.
 
 A word's corpus count is needed too. The words above a count that at most `head_words` words reach go to
-the workers as arrays; every other word is rare by construction and meets its count in a join, so no
-shuffle key is hot and nothing sent out grows with the corpus. Words are known by 64-bit hashes.
+the workers as arrays. Every other word gives one row (row, word, n) with how often its text has it; those
+meet their counts in a join that deals hot words (unseen in training, frequent elsewhere) to several tasks.
+Words are known by 64-bit hashes.
 
-Defined results: null or empty text is its end alone. No training documents: N and all counts are 0 and
-the score is the uniform one. Rows with the same doc_id are parts of one document: one row with sums. A
-null doc_id is scored but not learnt from. Extra columns are ignored.
+Defined results: one row per input row, whatever its doc_id (repeated or null; a null doc_id is scored but not
+learnt from). Null or empty text is its end alone. No training documents: N and all counts are 0 and
+the score is the uniform one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, kept_by_worker, mix, row_sums, span_hashes, table, text_blocks, word_spans
+from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, discard, grown, join_dealt, kept_by_worker, mix, row_sums, span_hashes, table, text_blocks, word_spans
 
 NAME = "op3_lm_scoring"
 _IS_WORD = class_table(SPACES)
@@ -129,102 +133,216 @@ def _classes(hashes: np.ndarray, shared: np.ndarray, own: HashIndex, n_own: int)
     return np.where(at >= 0, at, n_own + shared)
 
 
-def pair_counts(texts: DataFrame, lex: Lexicon, hold: int = 1 << 22) -> np.ndarray:
-    """How often each class follows each over all texts; every text begins after an end."""
-    n = lex.end + 1
-    shipped = texts.sparkSession.sparkContext.broadcast(lex.words[: lex.n_own])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = HashIndex()
-        own.add(shipped.value)
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            counts = np.bincount(np.concatenate(held), minlength=n * n)
-            at = np.flatnonzero(counts)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "c"])
-
-        for batch in batches:
-            for _, _, data, offsets in text_blocks(batch.column("text")):
-                before, after = with_ends(*_words(data, offsets), own, n)
-                held.append(before * n + after)
-                size += len(after)
-                if size > hold:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+CONTEXT = 3  # tokens before
 
-    summed = texts.select("text").mapInArrow(run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # classes squared rows at most
-    counts = np.zeros(n * n)
-    counts[summed.column("pair").to_numpy()] = summed.column("c").to_numpy()
-    return counts.reshape(n, n)
 
-
-def with_ends(hashes: np.ndarray, shared: np.ndarray, bounds: np.ndarray, own: HashIndex, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class before and class of every token of a block, each row's end after its words."""
+def with_contexts(hashes: np.ndarray, shared: np.ndarray, bounds: np.ndarray, own: HashIndex, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the tokens before (nearest first) and of every token of a block, each row's end after its words; before a text stand ends."""
     after = np.insert(_classes(hashes, shared, own, n - 1 - SHARED), bounds[1:], n - 1)
-    return np.concatenate(([n - 1], after[:-1])), after
+    starts = bounds[:-1] + np.arange(len(bounds) - 1)
+    place = np.arange(len(after)) - np.repeat(starts, np.diff(bounds) + 1)
+    before = np.full((len(after), CONTEXT), n - 1, np.int64)
+    for i in range(CONTEXT):
+        at = np.flatnonzero(place > i)
+        before[at, i] = after[at - 1 - i]
+    return before, after
 
 
 @dataclass
 class LogBilinear:
     context: np.ndarray  # r
-    turn: np.ndarray  # C
+    turns: np.ndarray  # C, one for each position
     target: np.ndarray  # q
     bias: np.ndarray
 
-    def log10_probabilities(self, rows: int = 256) -> np.ndarray:
-        """log10 P(class | class before), normalised over all classes, in batches of matrix products."""
-        out = np.empty((len(self.context), len(self.target)), np.float32)
+    def predicted(self) -> np.ndarray:
+        """r C for each position and class."""
+        return np.stack([self.context @ turn for turn in self.turns])
+
+    def normalisers(self, hidden: np.ndarray, rows: int = 2048) -> np.ndarray:
+        """log of the sum over all classes for each predicted vector, in batches of matrix products."""
+        out = np.empty(len(hidden), np.float32)
         for lo in range(0, len(out), rows):
-            scores = (self.context[lo : lo + rows] @ self.turn) @ self.target.T + self.bias
+            scores = hidden[lo : lo + rows] @ self.target.T
+            scores += self.bias
             top = scores.max(1, keepdims=True)
-            out[lo : lo + rows] = (scores - top - np.log(np.exp(scores - top).sum(1, keepdims=True))) / np.log(10)
+            scores -= top
+            np.exp(scores, out=scores)
+            out[lo : lo + rows] = top[:, 0] + np.log(scores.sum(1))
         return out
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.context, self.turns, self.target, self.bias]
 
-def train(pairs: np.ndarray, dim: int = 24, noise: float = 32.0, steps: int = 120, rate: float = 0.05, seed: int = 7) -> LogBilinear:
-    """Noise-contrastive estimation on pair counts, by Adam on the whole table.
+    def to_bytes(self) -> bytes:
+        return np.concatenate([a.ravel() for a in self.arrays()]).astype(np.float32).tobytes()
 
-    A pair seen c times is data; under the noise distribution (unigram classes) it comes noise * c(h) * P(w)
-    times. The classifier's log odds are the score less log(noise * P(w)).
-    """
+    def from_vector(self, vector: np.ndarray) -> LogBilinear:
+        """A model of this one's shapes."""
+        parts_, at = [], 0
+        for a in self.arrays():
+            parts_.append(vector[at : at + a.size].reshape(a.shape).astype(np.float32))
+            at += a.size
+        return LogBilinear(*parts_)
+
+
+def first_model(unigram: np.ndarray, dim: int, seed: int) -> LogBilinear:
+    """Small random vectors; the bias alone gives the classes' own shares."""
     rng = np.random.default_rng(seed)
-    n, total = len(pairs), max(1.0, pairs.sum())
-    unigram = (pairs.sum(0) + 0.5) / (total + 0.5 * n)
-    data = (pairs / total).astype(np.float32)
-    against = (noise * data.sum(1, keepdims=True) * unigram).astype(np.float32)
-    offset = np.log(noise * unigram).astype(np.float32)
-    weights = [rng.normal(0, 0.1, (n, dim)).astype(np.float32), np.eye(dim, dtype=np.float32), rng.normal(0, 0.1, (n, dim)).astype(np.float32), np.log(unigram).astype(np.float32)]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    for step in range(1, steps + 1):
-        r, c, q, b = weights
-        hidden = r @ c
-        belief = 1 / (1 + np.exp(np.clip(offset - hidden @ q.T - b, -30, 30)))
-        slope = data - (data + against) * belief
-        to_hidden = slope @ q
-        grads = [to_hidden @ c.T, r.T @ to_hidden, slope.T @ hidden, slope.sum(0)]
-        size = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for w, g, m, v in zip(weights, grads, first, second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w += size * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return LogBilinear(*weights)
-
-
-PARTIAL = "doc_id long, word long, rare boolean, n_tokens long, n_known long, base double, score double"
+    n = len(unigram)
+    vectors = lambda: rng.normal(0, 0.1, (n, dim)).astype(np.float32)
+    return LogBilinear(vectors(), np.stack([np.eye(dim, dtype=np.float32)] * CONTEXT), vectors(), np.log(unigram).astype(np.float32))
+
+
+class Trainer:
+    """Noise-contrastive estimation in batches, by Adagrad: a token against `noise` samples of the unigram, which a batch shares."""
+
+    def __init__(self, model: LogBilinear, unigram: np.ndarray, noise: int = 48, rate: float = 0.08, seed: int = 7):
+        self.weights = [a.copy() for a in model.arrays()]
+        self.squares = [np.full_like(a, 1e-3) for a in self.weights]
+        self.noise, self.rate, self.rng = noise, rate, np.random.default_rng(seed)
+        self.cumulated = np.cumsum(unigram / unigram.sum())
+        self.log_noise = np.log(noise * unigram / unigram.sum()).astype(np.float32)
+
+    def step(self, before: np.ndarray, after: np.ndarray) -> None:
+        r, c, q, b = self.weights
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(self.noise)), len(b) - 1)
+        seen = [r[before[:, i]] for i in range(CONTEXT)]
+        hidden = sum(x @ c[i] for i, x in enumerate(seen))
+        wanted, other = q[after], q[drawn]
+        up = 1 / (1 + np.exp(np.clip((hidden * wanted).sum(1) + b[after] - self.log_noise[after], -30, 30)))
+        down = -1 / (1 + np.exp(np.clip(self.log_noise[drawn] - b[drawn] - hidden @ other.T, -30, 30)))
+        to_hidden = up[:, None] * wanted + down @ other
+        size = np.float32(1 / len(after))
+        grad_q, grad_b, grad_r = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
+        np.add.at(grad_q, after, up[:, None] * hidden)
+        np.add.at(grad_q, drawn, down.T @ hidden)
+        np.add.at(grad_b, after, up)
+        np.add.at(grad_b, drawn, down.sum(0))
+        grad_c = np.empty_like(c)
+        for i, x in enumerate(seen):
+            grad_c[i] = x.T @ to_hidden
+            np.add.at(grad_r, before[:, i], to_hidden @ c[i].T)
+        for w, g, s in zip(self.weights, (grad_r, grad_c, grad_q, grad_b), self.squares):
+            g *= size
+            s += g * g
+            w += self.rate * g / np.sqrt(s)
+
+    def model(self) -> LogBilinear:
+        return LogBilinear(*self.weights)
+
+
+def train_round(texts: DataFrame, lex: Lexicon, model: LogBilinear, unigram: np.ndarray, batch: int = 4096, least_steps: int = 120, seed: int = 7) -> LogBilinear:
+    """The tasks' models after going over their texts, averaged by tokens."""
+    n = lex.end + 1
+    shipped = texts.sparkSession.sparkContext.broadcast((lex.words[: lex.n_own], model, unigram))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start, shares = shipped.value
+        own = HashIndex()
+        own.add(words)
+        trainer = Trainer(start, shares, seed=seed)
+        tokens = steps = size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        first: list[tuple[np.ndarray, np.ndarray]] = []  # the batches of a task that has few
+
+        def steps_over(before: np.ndarray, after: np.ndarray) -> int:
+            for lo in range(0, len(after), batch):
+                now = before[lo : lo + batch], after[lo : lo + batch]
+                trainer.step(*now)
+                if len(first) < least_steps:
+                    first.append(now)
+            return -(-len(after) // batch)
+
+        for arrow in batches:
+            for _, _, data, offsets in text_blocks(arrow.column("text")):
+                held.append(with_contexts(*_words(data, offsets), own, n))
+                size += len(held[-1][1])
+                if size >= 16 * batch:
+                    tokens += size
+                    steps += steps_over(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            tokens += size
+            steps += steps_over(*map(np.concatenate, zip(*held)))
+        for again in range(min(least_steps - steps, 20 * steps) if tokens else 0):
+            trainer.step(*first[again % len(first)])
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([trainer.model().to_bytes()], pa.binary())], ["tokens", "weights"])
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        tokens = rows["tokens"].to_numpy()
+        total = sum(n_ * np.frombuffer(w, np.float32).astype(np.float64) for n_, w in zip(tokens, rows["weights"]))
+        return pd.DataFrame({"tokens": [int(tokens.sum())], "weights": [(total / tokens.sum()).astype(np.float32).tobytes()]})
+
+    schema = "tokens long, weights binary"
+    models = cut(texts.select("text").mapInArrow(run, schema))
+    while (many := models.count()) > 16:  # a tree: no task and not the driver holds more than some models
+        before, models = models, cut(models.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(-(-many // 12)))).groupBy("g").applyInPandas(mean, schema))
+        discard(before)
+    last = models.toPandas()
+    discard(models)
+    return model.from_vector(np.frombuffer(mean(last)["weights"][0], np.float32)) if len(last) else model
+
+
+def class_shares(lex: Lexicon) -> np.ndarray:
+    """Unigram share of each class: own words, shared classes, the end."""
+    counts = np.concatenate((lex.counts[: lex.n_own], lex.shared_total - 1, [lex.documents])) + 0.5
+    return counts / counts.sum()
+
+
+def train(texts: DataFrame, lex: Lexicon, dim: int = 24, rounds: int = 2, seed: int = 7, **options) -> LogBilinear:
+    """A model of all the texts: rounds over parts of them, dealt by hash of the text."""
+    unigram = class_shares(lex)
+    model = first_model(unigram, dim, seed)
+    for at in range(rounds):
+        now = texts.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == at) if rounds > 1 else texts
+        model = train_round(now, lex, model, unigram, seed=seed + at, **options)
+    return model
+
+
+PARTIAL = "row long, doc_id long, word long, n long, n_tokens long, n_known long, base double, score double"
+
+
+class Normalisers:
+    """log normalisers of the contexts seen so far, forgotten and begun anew at `limit`."""
+
+    def __init__(self, model: LogBilinear, limit: int = 1 << 20):
+        self.model, self.limit, self.predicted = model, limit, model.predicted()
+        self.index, self.values = HashIndex(), np.zeros(1024, np.float32)
+
+    def scores(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """log10 P(class | classes before), normalised over all classes."""
+        n = len(self.model.bias)
+        key = np.zeros(len(after), np.uint64)
+        hidden = np.zeros((len(after), self.predicted.shape[2]), np.float32)
+        for i in range(CONTEXT):
+            key = key * np.uint64(n) + before[:, i].astype(np.uint64)
+            hidden += self.predicted[i][before[:, i]]
+        key = mix(key + np.uint64(1))
+        if self.index.n > self.limit:
+            self.index, self.values = HashIndex(), np.zeros(1024, np.float32)
+        at = self.index.find(key)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            distinct, first = np.unique(key[new], return_index=True)
+            n_before = self.index.n
+            self.index.add(distinct)
+            self.values = grown(self.values, self.index.n)
+            self.values[n_before : self.index.n] = self.model.normalisers(hidden[new[first]])
+            at[new] = self.index.find(key[new])
+        plain = (hidden * self.model.target[after]).sum(1) + self.model.bias[after]
+        return ((plain - self.values[at]) / np.log(10)).astype(np.float64)
 
 
 def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBilinear) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every document.
+    """(doc_id, n_tokens, n_known, base_score, score) of every row of docs.
 
-    A text gives one row with all that the head words tell, and a row for each rare word in it; rare words
-    then meet their counts by a join on the word, and sums by document end it.
+    A text gives one row with all that the head words tell, and a row for each distinct rare word in it; rare words
+    then meet their counts by a join on the word, and sums by row end it.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((lex, model))
-    digest = hashlib.md5(lex.words[:1000].tobytes() + model.bias.tobytes() + model.context.tobytes()).hexdigest()
+    digest = hashlib.md5(lex.words[:1000].tobytes() + model.to_bytes()).hexdigest()
     smooth = float(np.log10(lex.total + lex.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +350,13 @@ def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBiline
             lexicon_, model_ = shipped.value
             own = HashIndex()
             own.add(lexicon_.words[: lexicon_.n_own])
-            return lexicon_, lexicon_.index(), own, model_.log10_probabilities(), np.log10(lexicon_.counts + 1.0), -np.log10(lexicon_.shared_total)
+            return lexicon_, lexicon_.index(), own, Normalisers(model_), np.log10(lexicon_.counts + 1.0), -np.log10(lexicon_.shared_total)
 
-        lex_, index, own, table_, logs, shares = kept_by_worker(("lm", digest), build)
+        lex_, index, own, normal, logs, shares = kept_by_worker(("lm", digest), build)
         n = lex_.end + 1
         end_log, end_known = np.log10(lex_.documents + 1.0), int(lex_.documents > 0)
         for batch in batches:
-            doc_ids = batch.column("doc_id")
+            rows, doc_ids = batch.column("row").to_numpy(), batch.column("doc_id")
             for lo, hi, data, offsets in text_blocks(batch.column("text")):
                 hashes, shared, bounds = _words(data, offsets)
                 at = index.find(hashes)
@@ -246,31 +364,34 @@ def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBiline
                 log = np.where(head, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(at))
                 classes = np.where(at >= 0, lex_.own[np.maximum(at, 0)], -1) if len(logs) else at
                 in_class = np.where(classes >= 0, 0.0, log + shares[shared])  # within a shared class; a rare word's count comes later
-                before, after = with_ends(hashes, shared, bounds, own, n)
+                before, after = with_contexts(hashes, shared, bounds, own, n)
                 tokens = np.diff(bounds) + 1
                 token_bounds = np.concatenate(([0], np.cumsum(tokens)))
                 n_known = row_sums(head.astype(np.int64), bounds) + end_known
                 base = row_sums(log, bounds) + end_log - tokens * smooth
-                score = row_sums(table_[before, after].astype(np.float64), token_bounds) + row_sums(in_class, bounds)
+                score = row_sums(normal.scores(before, after), token_bounds) + row_sums(in_class, bounds)
                 rare = np.flatnonzero(~head)
-                row_of = np.repeat(np.arange(lo, hi), np.diff(bounds))
-                m, k = hi - lo, len(rare)
+                of = np.repeat(np.arange(lo, hi), np.diff(bounds))[rare]
+                order = np.lexsort((hashes[rare], of))
+                of, word = of[order], hashes[rare][order]
+                fresh = np.ones(len(of), bool)
+                fresh[1:] = (of[1:] != of[:-1]) | (word[1:] != word[:-1])
+                firsts = np.flatnonzero(fresh)
+                counts = np.diff(np.append(firsts, len(of)))
+                place = np.concatenate((np.arange(lo, hi), of[firsts]))
+                m, k = hi - lo, len(firsts)
                 zeros, none = np.zeros(k), np.zeros(k, np.int64)
-                spread = mix(np.arange(lo, hi, dtype=np.uint64) + np.uint64(hashes[0] if len(hashes) else 0)).view(np.int64)  # joins nothing, on any task
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.take(pa.array(np.concatenate((np.arange(lo, hi), row_of[rare])))),
-                        *(pa.array(np.concatenate(x)) for x in ((spread, hashes[rare].view(np.int64)), (np.zeros(m, bool), np.ones(k, bool)), (tokens, none), (n_known, none), (base, zeros), (score, zeros))),
-                    ],
-                    ["doc_id", "word", "rare", "n_tokens", "n_known", "base", "score"],
-                )
-
-    partial = docs.select("doc_id", "text").mapInArrow(run, PARTIAL)
-    rest = rest.select(F.col("word").alias("rest_word"), F.col("c"))
-    joined = partial.join(rest, (F.col("word") == F.col("rest_word")) & F.col("rare"), "left")
-    late = F.log10(F.coalesce("c", F.lit(0)) + 1.0)
-    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c") > 0, 1).otherwise(0)).alias("n_known"), F.sum(F.col("base") + F.when(F.col("rare"), late).otherwise(0.0)).alias("base_score"), F.sum(F.col("score") + F.when(F.col("rare"), late).otherwise(0.0)).alias("score")]
-    return joined.groupBy("doc_id").agg(*sums)
+                words = pa.array(np.concatenate((np.zeros(m, np.int64), word[firsts].view(np.int64))), mask=np.concatenate((np.ones(m, bool), np.zeros(k, bool))))
+                numbers = ((np.zeros(m, np.int64), counts), (tokens, none), (n_known, none), (base, zeros), (score, zeros))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[place]), doc_ids.take(pa.array(place)), words, *(pa.array(np.concatenate(x)) for x in numbers)], [c.split()[0] for c in PARTIAL.split(", ")])
+
+    partial = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, PARTIAL))
+    known = join_dealt(partial.filter("word IS NOT NULL"), rest.select("word", "c"), "word", "row", how="left").withColumn("c", F.coalesce("c", F.lit(0)))
+    late = F.col("n") * F.log10(F.col("c") + 1.0)
+    rare = known.select("row", "doc_id", "n_tokens", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), late.alias("base"), late.alias("score"))
+    whole = partial.filter("word IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
+    sums = [F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")]
+    return whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *sums).drop("row")
 
 
 def lm_scores(docs: DataFrame, learn_from, own_words: int = 768, head_words: int = 1 << 20, **training) -> DataFrame:
@@ -278,7 +399,7 @@ def lm_scores(docs: DataFrame, learn_from, own_words: int = 768, head_words: int
     texts = docs.filter(learn_from).select("text")
     counts = cut(word_counts(texts))
     lex, rest = lexicon(counts, texts.count(), own_words, head_words)
-    model = train(pair_counts(texts, lex), **training)
+    model = train(texts, lex, **training)
     return score_texts(docs, lex, rest, model).withColumn("train_tokens", F.lit(lex.total).cast("long"))
 
 
