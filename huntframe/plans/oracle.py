@@ -123,6 +123,62 @@ def _keyed(where: str, least: int, more: str = "") -> str:
     return f"(SELECT source_ip, arg_min(username, epoch_us(ts)::HUGEINT * 1000000000 + seq) AS username, min(ts) AS ts, max(ts) AS last, count(*) AS n FROM log WHERE {where} GROUP BY source_ip HAVING count(*) >= {least}{more})"
 
 
+#: Parsed access and syslog lines: the columns that detectors read. Lines tell whole seconds.
+_ACCESS_LOG = """, parsed AS (
+  SELECT seq, CASE WHEN seq % 50 > 3 THEN date_trunc('second', ts) WHEN seq % 50 = 0 THEN TIMESTAMP '2024-10-10 13:55:36' END AS ts, CASE WHEN seq % 50 > 3 THEN source_ip END AS source_ip, CASE WHEN seq % 50 > 3 THEN username END AS username,
+         NULL::VARCHAR AS process, CASE WHEN seq % 50 > 3 THEN http_method || ' ' || http_path || ' HTTP/1.1' WHEN seq % 50 = 2 THEN 'broken ' || seq ELSE message END AS message, CASE WHEN seq % 50 > 3 THEN http_path END AS http_path,
+         CASE WHEN seq % 50 > 3 THEN http_status END AS http_status, CASE WHEN seq % 50 > 3 THEN bytes_sent END AS bytes_sent, CASE WHEN seq % 50 > 3 THEN user_agent END AS user_agent,
+         CASE seq % 50 WHEN 0 THEN '[Thu Oct 10 13:55:36 2024] [error] [pid 12] ' || message WHEN 1 THEN '[Thu Oct 10 13:55:36.123456 2024] [warn] ' || message WHEN 2 THEN 'broken ' || seq ELSE raw END AS raw
+  FROM log WHERE seq % 50 <> 3
+)"""
+_SYSLOG_LOG = f""", told AS (SELECT *, {_SYSLOG_MESSAGE} AS text, 'host' || seq % 3 AS host FROM log WHERE seq % 10 <> 3), parsed AS (
+  SELECT seq, CASE WHEN seq % 10 <> 2 THEN date_trunc('second', ts) END AS ts, CASE WHEN seq % 10 NOT IN (2, 6, 7) THEN source_ip END AS source_ip, CASE WHEN seq % 10 NOT IN (2, 7, 8) THEN username END AS username,
+         CASE WHEN seq % 10 <> 2 THEN process END AS process, CASE WHEN seq % 10 <> 2 THEN text ELSE 'broken ' || seq END AS message, NULL::VARCHAR AS http_path, NULL::INTEGER AS http_status, NULL::BIGINT AS bytes_sent, NULL::VARCHAR AS user_agent,
+         CASE seq % 10 WHEN 1 THEN '<34>1 ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z ' || host || ' ' || process || ' 77 ID47 - ' || text WHEN 2 THEN 'broken ' || seq
+         ELSE strftime(ts, '%b %d %H:%M:%S') || ' ' || host || ' ' || process || '[' || seq || ']: ' || text END AS raw
+  FROM told
+)"""
+
+
+def _hunt(parsed: str) -> str:
+    """A whole run over the table `parsed`, without the forest: merged and correlated findings."""
+    hits = " UNION ALL ".join(f"SELECT seq, '{s.name}' AS kind, {s.score} AS base, {k} AS k FROM parsed WHERE " + " OR ".join(f"coalesce(regexp_matches({f}, {_quoted(s.pattern)}), false)" for f in s.fields) for k, s in enumerate(SIGNATURES))
+    key, first = "coalesce(source_ip, username, 'unknown')", "{'ip': source_ip, 'name': username, 'seq': seq}"
+    in_time = "epoch_us(ts)::HUGEINT * 1000000000000 + seq"
+
+    def by_key(detector: str, kind: str, where: str, least: str, score: str, r: int, rule: int, order: str, by: str = key) -> str:
+        return f"SELECT '{detector}', '{kind}', w.ip, w.name, least(100, {score})::INTEGER, n, {r}, {rule}, w.seq, 0, 0 FROM (SELECT {by} AS key, count(*) AS n, min(ts) AS a, max(ts) AS b, arg_min({first}, {order}) AS w FROM parsed WHERE {where} GROUP BY 1) WHERE {least}"
+
+    fail = lambda words, processes: f"coalesce(lower(process) IN ({', '.join(map(_quoted, processes))}) AND regexp_matches(lower(message), '{'|'.join(words)}'), false)"
+    stat, temp = fail(config.FAILURE_WORDS_STATISTICAL, config.AUTH_PROCESSES_STATISTICAL), fail(config.FAILURE_WORDS_TEMPORAL, config.AUTH_PROCESSES_TEMPORAL)
+    s, t = "Statistical Detector", "Temporal Detector"
+    every = [
+        "SELECT 'Pattern Detector', kind, w.ip, w.name, least(100, base + CASE WHEN n > 5 THEN 10 ELSE 0 END + CASE WHEN n > 20 THEN 15 ELSE 0 END)::INTEGER, n, 0, 0, begun, k, w.seq FROM pattern JOIN (SELECT k, min(w.seq) AS begun FROM pattern GROUP BY 1) USING (k)",
+        f"SELECT '{s}', 'request_rate_spike', source_ip, NULL, least(100, 40 + trunc(z * 10))::INTEGER, n, 1, 1, (SELECT min(seq) FROM parsed p WHERE p.source_ip = x.source_ip), 0, 0 FROM (SELECT *, {_Z.format(x='max_rpm')} FROM busiest, rate_stats) x WHERE max_rpm >= 120 OR z >= 3",
+        f"SELECT '{s}', 'error_rate_spike', NULL, NULL, trunc(errors / total * 100)::INTEGER, total, 1, 2, seq, 0, 0 FROM (SELECT count(*) AS total, count(*) FILTER (http_status >= 400) AS errors, min(seq) AS seq FROM parsed WHERE http_status IS NOT NULL AND ts IS NOT NULL GROUP BY time_bucket(INTERVAL 5 MINUTE, ts)) WHERE total >= 10 AND errors / total * 100 >= 40",
+        f"SELECT '{s}', 'large_response_bytes', source_ip, NULL, least(100, 45 + trunc(z * 8))::INTEGER, 1, 1, 3, seq, 0, 0 FROM (SELECT *, {_Z.format(x='bytes_sent')} FROM (SELECT * FROM parsed WHERE bytes_sent > 0), byte_stats) WHERE n >= 20 AND z >= 3",
+        by_key(s, "auth_failure_spike", stat, "n >= 5", "35 + least(n, 60)", 1, 4, "seq"),
+        f"SELECT '{s}', 'path_enumeration', source_ip, NULL, least(100, 40 + trunc(z * 8))::INTEGER, n, 1, 5, seq, 0, 0 FROM (SELECT p.*, {_Z.format(x='p.n')} FROM paths p, (SELECT mean, std FROM path_stats)) WHERE z >= 3 AND n >= 20",
+        by_key(t, "off_hours_auth_activity", f"{_OFF} AND ({_AUTH} OR {_SENSITIVE})", "n >= 2", "45 + 2 * n", 3, 1, in_time),
+        f"SELECT '{t}', 'impossible_travel', source_ip, username, 70, 2, 3, 3, seq, 0, 0 FROM (SELECT *, lag(source_ip) OVER w AS ip_a, lag(ts) OVER w AS before FROM parsed WHERE username IS NOT NULL AND source_ip IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY username ORDER BY ts, seq)) WHERE ip_a <> source_ip AND epoch_us(ts) - epoch_us(before) <= 300000000",
+        by_key(t, "weekend_sensitive_activity", _WEEKEND, "true", "35 + 3 * n", 3, 4, in_time, "coalesce(username, source_ip, 'unknown')"),
+        by_key(t, "slow_brute_force", f"ts IS NOT NULL AND {temp}", "n >= 10 AND epoch_us(b) - epoch_us(a) >= 1800000000", "50 + n", 3, 5, in_time),
+        f"SELECT '{t}', 'request_burst', source_ip, NULL, 70, 20, 3, 2, arg_min(began, {in_time}), 0, 0 FROM (SELECT *, lag(seq, 19) OVER w AS began, lag(ts, 19) OVER w AS before FROM parsed WHERE source_ip IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY source_ip ORDER BY ts, seq)) WHERE epoch_us(ts) - epoch_us(before) <= 10000000 GROUP BY source_ip",
+    ]
+    return _log(
+        f"""{parsed}, hits AS ({hits}), pattern AS (SELECT k, any_value(kind) AS kind, any_value(base) AS base, {key} AS key, count(*) AS n, arg_min({first}, seq) AS w FROM hits JOIN parsed USING (seq) GROUP BY k, {key}),
+        busiest AS (SELECT source_ip, max(n) AS max_rpm, sum(n) AS n FROM (SELECT source_ip, date_trunc('minute', ts) AS minute, count(*) AS n FROM parsed WHERE source_ip IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) GROUP BY 1),
+        rate_stats AS (SELECT mean, std FROM ({_stats('busiest', 'max_rpm')})), byte_stats AS ({_stats('(SELECT * FROM parsed WHERE bytes_sent > 0)', 'bytes_sent')}),
+        paths AS (SELECT source_ip, count(DISTINCT http_path) AS n, min(seq) AS seq FROM parsed WHERE source_ip IS NOT NULL AND http_path IS NOT NULL GROUP BY 1), path_stats AS ({_stats('paths', 'n')}),
+        found(detector, finding_type, source_ip, username, score, n, r, rule, a, b, c) AS ({' UNION ALL '.join(every)}),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY finding_type, source_ip, username ORDER BY r, rule, a, b, c) AS place FROM found),
+        winners AS (SELECT *, first_value(place) OVER (PARTITION BY finding_type, source_ip, username ORDER BY score DESC, place) AS winner FROM placed),
+        merged AS (SELECT any_value(detector) AS detector, finding_type, source_ip, username, max(score) AS score, max(n) FILTER (place >= winner) AS n FROM winners GROUP BY finding_type, source_ip, username),
+        raised AS (SELECT m.*, coalesce(d.k, 1) AS k, least(100, score + CASE WHEN d.k >= 4 THEN 30 WHEN d.k = 3 THEN 20 WHEN d.k = 2 THEN 10 ELSE 0 END)::INTEGER AS raised FROM merged m LEFT JOIN (SELECT source_ip, count(DISTINCT detector) AS k FROM merged WHERE source_ip IS NOT NULL GROUP BY 1) d USING (source_ip))
+        SELECT finding_type, source_ip, username, raised AS severity_score, {_severity('raised')} AS severity, n::BIGINT AS count, k > 1 AS corroborated FROM raised"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; queries whose result SQL cannot give are left out."""
     hits_grouped = "(SELECT finding_type, k, source_ip, arg_min(username, seq) AS username, arg_min(ts, seq) AS ts, count(*) AS n, least(100, any_value(base_score) + CASE WHEN count(*) > 5 THEN 10 ELSE 0 END + CASE WHEN count(*) > 20 THEN 15 ELSE 0 END) AS score FROM hits JOIN log USING (seq) GROUP BY 1, 2, 3)"
@@ -199,6 +255,11 @@ def oracle_sql() -> dict[str, str]:
         "overall_risk": _log(_FND + " SELECT risk, CASE WHEN risk >= 80 THEN 'CRITICAL RISK' WHEN risk >= 60 THEN 'HIGH RISK' WHEN risk >= 35 THEN 'MEDIUM RISK' WHEN risk >= 10 THEN 'LOW RISK' ELSE 'MINIMAL RISK' END AS label FROM (SELECT least(100, sum(score * CASE severity WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 70 WHEN 'MEDIUM' THEN 40 WHEN 'LOW' THEN 15 ELSE 0 END) // (100 * count(*)))::INTEGER AS risk FROM fs)"),
         "top_source_ips": _log(_FND + " SELECT source_ip, count(*) AS finding_count, max(score)::INTEGER AS max_score, string_agg(DISTINCT finding_type, ',' ORDER BY finding_type) AS finding_types FROM fs GROUP BY 1 ORDER BY max_score DESC, source_ip LIMIT 10"),
         "mitre_tags": _log(_FND + f" SELECT finding_type, count(*) AS findings, technique_id, technique_name, tactic, 'https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') || '/' AS url FROM fs JOIN (VALUES {techniques}) t(finding_type, technique_id, technique_name, tactic) USING (finding_type) GROUP BY ALL"),
+        "analyse_run_apache": _hunt(_ACCESS_LOG),
+        "analyse_run_syslog": _hunt(_SYSLOG_LOG),
+        "runs": _log("SELECT 'r1' AS run_id, '2024-01-31' AS run_date, 'apache' AS log_format, count(*) AS total_lines, count(*) FILTER (seq % 50 <> 3) AS parsed_lines, count(*) FILTER (seq % 50 = 2) AS parse_errors, 'Pattern,Statistical' AS detectors FROM log"),
+        "run_stats_windows": _log("SELECT 'windows_event' AS log_format, count(*) AS total_lines, count(*) FILTER (seq % 10 <> 5) AS parsed_lines, count(*) FILTER (seq % 10 IN (4, 5)) AS parse_errors FROM log"),
+        "read_lines": _log("SELECT CASE seq % 50 WHEN 0 THEN '[Thu Oct 10 13:55:36 2024] [error] [pid 12] ' || message WHEN 1 THEN '[Thu Oct 10 13:55:36.123456 2024] [warn] ' || message WHEN 2 THEN 'broken ' || seq WHEN 3 THEN '' ELSE raw END AS value, count(*) AS lines FROM log GROUP BY ALL"),
         "all_detectors": _log(
             _HITS + _LARGE + _AUTH_SPIKE + _TRAVEL + _SPIKES.replace("stats AS", "stats2 AS").replace("FROM stats)", "FROM stats2)") + _PATHS.replace("stats AS", "stats3 AS").replace("FROM stats)", "FROM stats3)")
             + f" SELECT finding_type, severity, count(*) AS findings FROM (SELECT finding_type, {_severity('score')} AS severity FROM {hits_grouped} "

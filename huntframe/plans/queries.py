@@ -22,11 +22,11 @@ from huntframe.operators.parse_web import access_form, parse_access, status_leve
 from huntframe.operators.parse_windows import clean_address, clean_name, event_name, parse_windows
 from huntframe.operators.signatures import SIGNATURES, pattern_findings, pattern_hits
 from huntframe.operators.tags import mitre_tags
-from huntframe.plans.analyse import detect
+from huntframe.plans.analyse import ENABLED, analyse, detect
 from huntframe.plans.lines import access_lines, generic_lines, syslog_lines, windows_lines
 from huntframe.sources.lines import parse_logs, read_json_array, read_json_events, read_lines, run_stats
 from huntframe.sources.scratch import kept, scratch
-from huntframe.sources.sinks import write_findings
+from huntframe.sources.sinks import list_runs, write_findings, write_run
 
 YEAR = 2024
 EVENTS_A_FILE = 5000  # of the arrays that are written: files grow in number with the table, not in size
@@ -58,7 +58,7 @@ def _brief(found: DataFrame, *more) -> DataFrame:
 def read_lines_query(log: DataFrame) -> DataFrame:
     path = scratch(log.sparkSession, "lines")
     access_lines(log).select("value").write.text(path)
-    return read_lines(log.sparkSession, path).select("seq", "value")
+    return read_lines(log.sparkSession, path).groupBy("value").agg(F.count("*").alias("lines"))
 
 
 @_named
@@ -97,6 +97,49 @@ def run_stats_query(log: DataFrame) -> DataFrame:
     return run_stats(lines, parse_access(lines), "apache")
 
 
+@_named
+def run_stats_windows(log: DataFrame) -> DataFrame:
+    lines = windows_lines(log)
+    return run_stats(lines, parse_windows(lines), "windows_event")
+
+
+@_named
+def runs(log: DataFrame) -> DataFrame:
+    """The record of a run, written and read back."""
+    run = analyse(access_lines(log), "apache", enabled=("pattern", "statistical"))
+    path = scratch(log.sparkSession, "runs")
+    write_run(run.stats, run.merged, path, "r1", run.detectors, "2024-01-31")
+    return list_runs(log.sparkSession, path).select("run_id", "run_date", "log_format", "total_lines", "parsed_lines", "parse_errors", F.array_join("detectors", ",").alias("detectors"))
+
+
+def _run(lines: DataFrame, log_format: str, enabled: tuple[str, ...] = ("pattern", "statistical", "temporal")) -> DataFrame:
+    found = analyse(lines, log_format, YEAR, enabled).findings
+    return found.select("finding_type", "source_ip", "username", "severity_score", "severity", "count", F.contains("description", F.lit("[Corroborated by ")).alias("corroborated"))
+
+
+@_named
+def analyse_run_apache(log: DataFrame) -> DataFrame:
+    """Lines to ranked findings by all detectors but the forest, whose scores hang on its random trees."""
+    return _run(access_lines(log), "apache")
+
+
+@_named
+def analyse_run_syslog(log: DataFrame) -> DataFrame:
+    return _run(syslog_lines(log), "syslog")
+
+
+@_named
+def analyse_run_windows(log: DataFrame) -> DataFrame:
+    """All four families."""
+    return _run(windows_lines(log), "windows_event", ENABLED)
+
+
+@_named
+def analyse_run_generic(log: DataFrame) -> DataFrame:
+    """All four families."""
+    return _run(generic_lines(log), "generic", ENABLED)
+
+
 # Parse jobs
 
 
