@@ -96,7 +96,7 @@ def _hits(signature: Signature) -> str:
 
 def pattern_hits(log: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) -> DataFrame:
     """One row per entry and signature that it meets, with the signature's place in the list. Map-only: only hits are exploded."""
-    table = F.array(*(F.struct(F.lit(s.name).alias("finding_type"), F.lit(s.score).alias("base_score")) for s in signatures))
+    table = F.array(*(F.struct(F.lit(s.name).alias("finding_type"), F.lit(s.score).alias("base_score")) for s in signatures)).cast("array<struct<finding_type:string,base_score:int>>")
     hits = searched(log, signatures).withColumn("signature_rank", F.explode_outer("met")).filter("signature_rank IS NOT NULL")  # see rule_hits
     return hits.withColumn("_hit", F.get(table, F.col("signature_rank"))).select(*log.columns, "signature_rank", "_hit.*")
 
