@@ -13,24 +13,31 @@ from huntframe.llm.op10_best_fit_packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; others go. Same columns."""
+    """Documents in a language that the labelled rows of docs teach; others go. Same columns.
+
+    Null and empty texts, texts without a letter and scripts never seen go. Repeated rows and rows of one or of no
+    doc_id are judged one by one. No labelled rows teach nothing: all go. No rows: no rows.
+    """
     small_batches(spark)
     return keep_identified(docs, learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8). Same columns."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one of smallest doc_id. Same columns.
+
+    Texts without a word are no duplicates of each other. Repeated rows of a doc_id become one; rows without a doc_id stay.
+    """
     small_batches(spark)
     return deduplicate(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: rows repeat, or go. Same columns."""
+    """Each document as often as the mix takes it: rows repeat, or go. Same columns. Texts without a word weigh nothing; a null source is a source of its own."""
     return apply_mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every row in sequences of at most 2048 tokens: one row per piece."""
+    """Pieces of every row in sequences of at most 2048 tokens: one row per piece. Rows that the mix repeated are packed one by one; null text is the end token alone."""
     small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
