@@ -50,18 +50,21 @@ def join_dealt(rows: DataFrame, side: DataFrame, key: str, other: str, sizes: Da
     """rows joined to side, which has one row a key, without a hot key.
 
     A key that holds more rows than a quarter of a task's share is dealt to several tasks by the column other, and
-    its row of side is repeated for each. There are at most four such keys a task, whatever the table, so they are
-    broadcast. rows is read twice; sizes (key, n) are its counts by key, where they are known.
+    its row of side is repeated for each. There are at most four such keys a task, whatever the table, so they go
+    along as a list. rows is read twice; sizes (key, n) are its counts by key, where they are known.
     """
     n = rows.count()
     share = max(64, n // (4 * parts(rows)))
     sizes = rows.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes.select(key, "n")
-    hubs = sizes.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("long").alias("_deals")).collect()
-    if not hubs:
-        return rows.join(side, key, how)
-    table = F.broadcast(rows.sparkSession.createDataFrame(hubs, sizes.select(key).schema.add("_deals", "long")))
-    dealt = rows.join(table, key, "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), "_deals")).cast("long")).drop("_deals")
-    repeated = side.join(table, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    level = F.ceil(F.log2(F.col("n") / share)).cast("int")  # so many tasks, as a power of two
+    hubs: dict[int, list] = {}
+    for row in sizes.filter((F.col("n") > share) & F.col(key).isNotNull()).select(key, level.alias("level")).collect():
+        hubs.setdefault(row["level"], []).append(row[key])
+    deals = F.lit(1)
+    for at, keys in sorted(hubs.items()):
+        deals = F.when(F.col(key).isin(keys), 1 << at).otherwise(deals)
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(other), deals.cast("long")))
+    repeated = side.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), deals.cast("long") - 1)))
     return dealt.join(repeated, [key, "_deal"], how).drop("_deal")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import cut
+from huntframe.llm.common import cut, discard
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -22,14 +22,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): the smallest node it can reach.
 
     Rounds of large-star and small-star until nothing changes; each round's links are written to the
-    shared folder, so a lost executor costs one round. Nodes without links are not listed.
+    shared folder, so a lost executor costs one round, and removed after the next. Repeated links and links to
+    oneself do no harm; no links: no rows. Nodes without links are not listed.
     """
     now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     sign = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).alias("sign")
     seen = now.agg(sign).collect()[0]["sign"]
     while seen[0]:
-        now = cut(_star(now))
+        before, now = now, cut(_star(now))
+        discard(before)
         was, seen = seen, now.agg(sign).collect()[0]["sign"]
         if was == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    discard(now)
+    return found
