@@ -37,7 +37,7 @@ from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, dis
 
 NAME = "op3_lm_scoring"
 _IS_WORD = class_table(SPACES)
-SHARED = 255  # classes of words by their last two bytes
+SHARED = 63  # classes of words by their last two bytes
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,16 +159,21 @@ class LogBilinear:
         """r C for each position and class."""
         return np.stack([self.context @ turn for turn in self.turns])
 
-    def normalisers(self, hidden: np.ndarray, rows: int = 2048) -> np.ndarray:
+    def normalisers(self, hidden: np.ndarray, rows: int = 256) -> np.ndarray:
         """log of the sum over all classes for each predicted vector, in batches of matrix products."""
         out = np.empty(len(hidden), np.float32)
+        reach = float(np.sqrt((hidden * hidden).sum(1)).max() * np.sqrt((self.target * self.target).sum(1)).max()) if len(hidden) else 0.0
+        shift = reach + float(self.bias.max())  # no score lies above it, and the largest of a row no more than twice reach below
+        target, bias = np.ascontiguousarray(self.target.T), (self.bias - np.float32(shift)).astype(np.float32)
         for lo in range(0, len(out), rows):
-            scores = hidden[lo : lo + rows] @ self.target.T
-            scores += self.bias
-            top = scores.max(1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            out[lo : lo + rows] = top[:, 0] + np.log(scores.sum(1))
+            scores = hidden[lo : lo + rows] @ target
+            scores += bias
+            if reach < 40:
+                np.exp(scores, out=scores)
+                out[lo : lo + rows] = shift + np.log(scores.sum(1))
+            else:
+                top = scores.max(1, keepdims=True)
+                out[lo : lo + rows] = shift + top[:, 0] + np.log(np.exp(scores - top).sum(1))
         return out
 
     def arrays(self) -> list[np.ndarray]:
@@ -191,7 +196,13 @@ def first_model(unigram: np.ndarray, dim: int, seed: int) -> LogBilinear:
     rng = np.random.default_rng(seed)
     n = len(unigram)
     vectors = lambda: rng.normal(0, 0.1, (n, dim)).astype(np.float32)
-    return LogBilinear(vectors(), np.stack([np.eye(dim, dtype=np.float32)] * CONTEXT), vectors(), np.log(unigram).astype(np.float32))
+    return LogBilinear(vectors(), np.stack([np.eye(dim, dtype=np.float32) / (1 + i) for i in range(CONTEXT)]), vectors(), np.log(unigram).astype(np.float32))
+
+
+def _sums(classes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of values by class."""
+    dim = values.shape[1]
+    return np.bincount((classes[:, None] * dim + np.arange(dim)).ravel(), values.ravel(), n * dim).reshape(n, dim)
 
 
 class Trainer:
@@ -213,18 +224,13 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip((hidden * wanted).sum(1) + b[after] - self.log_noise[after], -30, 30)))
         down = -1 / (1 + np.exp(np.clip(self.log_noise[drawn] - b[drawn] - hidden @ other.T, -30, 30)))
         to_hidden = up[:, None] * wanted + down @ other
-        size = np.float32(1 / len(after))
-        grad_q, grad_b, grad_r = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r)
-        np.add.at(grad_q, after, up[:, None] * hidden)
-        np.add.at(grad_q, drawn, down.T @ hidden)
-        np.add.at(grad_b, after, up)
-        np.add.at(grad_b, drawn, down.sum(0))
-        grad_c = np.empty_like(c)
-        for i, x in enumerate(seen):
-            grad_c[i] = x.T @ to_hidden
-            np.add.at(grad_r, before[:, i], to_hidden @ c[i].T)
+        n, rows = len(b), len(after)
+        grad_q = _sums(np.concatenate((after, drawn)), np.concatenate((up[:, None] * hidden, down.T @ hidden)), n)
+        grad_b = np.bincount(after, up, n) + np.bincount(drawn, down.sum(0), n)
+        grad_c = np.stack([x.T @ to_hidden for x in seen])
+        grad_r = _sums(before.T.ravel(), np.concatenate([to_hidden @ turn.T for turn in c]), n)
         for w, g, s in zip(self.weights, (grad_r, grad_c, grad_q, grad_b), self.squares):
-            g *= size
+            g = (g / rows).astype(np.float32)
             s += g * g
             w += self.rate * g / np.sqrt(s)
 
@@ -232,7 +238,7 @@ class Trainer:
         return LogBilinear(*self.weights)
 
 
-def train_round(texts: DataFrame, lex: Lexicon, model: LogBilinear, unigram: np.ndarray, batch: int = 4096, least_steps: int = 120, seed: int = 7) -> LogBilinear:
+def train_round(texts: DataFrame, lex: Lexicon, model: LogBilinear, unigram: np.ndarray, batch: int = 1024, least_steps: int = 800, noise: int = 48, rate: float = 0.25, seed: int = 7) -> LogBilinear:
     """The tasks' models after going over their texts, averaged by tokens."""
     n = lex.end + 1
     shipped = texts.sparkSession.sparkContext.broadcast((lex.words[: lex.n_own], model, unigram))
@@ -241,12 +247,14 @@ def train_round(texts: DataFrame, lex: Lexicon, model: LogBilinear, unigram: np.
         words, start, shares = shipped.value
         own = HashIndex()
         own.add(words)
-        trainer = Trainer(start, shares, seed=seed)
+        trainer = Trainer(start, shares, noise, rate, seed)
         tokens = steps = size = 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
         first: list[tuple[np.ndarray, np.ndarray]] = []  # the batches of a task that has few
 
         def steps_over(before: np.ndarray, after: np.ndarray) -> int:
+            order = np.random.default_rng(seed + steps).permutation(len(after))  # a batch is of many texts
+            before, after = before[order], after[order]
             for lo in range(0, len(after), batch):
                 now = before[lo : lo + batch], after[lo : lo + batch]
                 trainer.step(*now)
@@ -258,7 +266,7 @@ def train_round(texts: DataFrame, lex: Lexicon, model: LogBilinear, unigram: np.
             for _, _, data, offsets in text_blocks(arrow.column("text")):
                 held.append(with_contexts(*_words(data, offsets), own, n))
                 size += len(held[-1][1])
-                if size >= 16 * batch:
+                if size >= 64 * batch:
                     tokens += size
                     steps += steps_over(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
@@ -394,7 +402,7 @@ def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBiline
     return whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *sums).drop("row")
 
 
-def lm_scores(docs: DataFrame, learn_from, own_words: int = 768, head_words: int = 1 << 20, **training) -> DataFrame:
+def lm_scores(docs: DataFrame, learn_from, own_words: int = 448, head_words: int = 1 << 20, **training) -> DataFrame:
     """Score all documents with a model of those that the condition learn_from picks; adds train_tokens."""
     texts = docs.filter(learn_from).select("text")
     counts = cut(word_counts(texts))
