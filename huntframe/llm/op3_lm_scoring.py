@@ -37,7 +37,7 @@ from huntframe.llm.common import LOWER, SPACES, HashIndex, class_table, cut, dis
 
 NAME = "op3_lm_scoring"
 _IS_WORD = class_table(SPACES)
-SHARED = 63  # classes of words by their last two bytes
+SHARED = 255  # classes of words by their last two bytes
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,7 +402,7 @@ def score_texts(docs: DataFrame, lex: Lexicon, rest: DataFrame, model: LogBiline
     return whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *sums).drop("row")
 
 
-def lm_scores(docs: DataFrame, learn_from, own_words: int = 448, head_words: int = 1 << 20, **training) -> DataFrame:
+def lm_scores(docs: DataFrame, learn_from, own_words: int = 512, head_words: int = 1 << 20, **training) -> DataFrame:
     """Score all documents with a model of those that the condition learn_from picks; adds train_tokens."""
     texts = docs.filter(learn_from).select("text")
     counts = cut(word_counts(texts))
