@@ -18,7 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -253,7 +253,7 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
     """As few sequences as the search finds within so many nodes; never more than best-fit decreasing.
 
     The bound: sequences so far and what is left over the capacity. The waste that a better solution
-    may have in all is therefore fixed, and a branch that wastes more is cut off. nodes: by default 3000 and 20 for
+    may have in all is therefore fixed, and a branch that wastes more is cut off. nodes: by default 3000 and 4 for
     each distinct length; None searches to the end, a sequence at a time, so what it gives is the least (for small
     histograms: the search is exponential). The search stops as soon as the lower bound is met.
     """
@@ -263,16 +263,18 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
     best = best_fit(counts, capacity)
     best_n = sum(n for n, _ in best)
     one_by_one = nodes is None
-    budget = float("inf") if nodes is None else 3000 + 20 * len(counts) if nodes < 0 else nodes
+    budget = float("inf") if nodes is None else 3000 + 4 * len(counts) if nodes < 0 else nodes
 
-    # depth-first, by hand: each frame holds the fillings still to try and what to undo
+    # depth-first, by hand: each frame holds how many fillings were tried and what to undo
     plan: Plan = []
     waste = 0
 
-    def options() -> tuple[int, Iterator]:
+    def option(k: int) -> tuple[int, int | None, tuple[int, ...]]:
+        """The k-th filling beside the longest piece left. Worked out anew each time, so that a deep search holds no tables."""
         longest = max(counts)
         left = {**counts, longest: counts[longest] - 1}
-        return longest, fillings(left, capacity - longest, (best_n - 1) * capacity - total - waste)
+        found = fillings(left, capacity - longest, (best_n - 1) * capacity - total - waste)
+        return longest, *next(islice(found, k, None), (None, ()))
 
     def take(n: int, lengths: tuple[int, ...], sign: int) -> None:
         for length, k in Counter(lengths).items():
@@ -280,16 +282,17 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
             if not counts[length]:
                 del counts[length]
 
-    frames: list[list] = [[*options(), None]] if counts and best_n > least else []
+    frames: list[list] = [[0, None]] if counts and best_n > least else []
     while frames and budget > 0 and best_n > least:
-        longest, found, done = frames[-1]
+        at, done = frames[-1]
         if done is not None:  # back from below: undo
             n, lengths, lost = done
             plan.pop()
             waste -= lost
             take(n, lengths, -1)
-            frames[-1][2] = None
-        left, filling = next(found, (None, ()))
+            frames[-1][1] = None
+        longest, left, filling = option(at)
+        frames[-1][0] += 1
         allowed = (best_n - 1) * capacity - total - waste
         if left is None or left > allowed:  # least waste first: what follows wastes no less
             frames.pop()
@@ -304,9 +307,9 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
         take(n, lengths, 1)
         plan.append((n, lengths))
         waste += n * left
-        frames[-1][2] = (n, lengths, n * left)
+        frames[-1][1] = (n, lengths, n * left)
         if counts:
-            frames.append([*options(), None])
+            frames.append([0, None])
         else:
             best, best_n = list(plan), sum(k for k, _ in plan)
     return best
