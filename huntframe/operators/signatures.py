@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huntframe.functions.patterns import FOLDED, java_pattern
 from huntframe.functions.scalars import ADDRESS_FIRST
 from huntframe.operators.keyed import KeyedRule, keyed_findings, quoted
 
@@ -16,7 +17,7 @@ PATH, TEXT, AGENT, LINE = "http_path", "message", "user_agent", "raw"
 
 @dataclass(frozen=True)
 class Signature:
-    """A pattern, the fields it is looked for in, and what a hit means. Pass your own list to any operator here."""
+    """A pattern as Python reads it, the fields it is looked for in, and what a hit means. Pass your own list to any operator here."""
 
     name: str
     fields: tuple[str, ...]
@@ -82,14 +83,19 @@ def searched(log: DataFrame, signatures: tuple[Signature, ...] = SIGNATURES) ->
     Spark evaluates as it is: as generated code it would be one method, too long for the JVM ever to compile.
     """
     fields = sorted({f for s in signatures for f in s.fields})
-    low = log.withColumn("_low", F.lower(F.concat_ws("\n", *fields)))
+    low = log.withColumn("_text", F.concat_ws("\n", *fields)).withColumn("_low", _folded("_text"))
     cases = " ".join(f"WHEN {i} THEN {_hits(s)}" for i, s in enumerate(signatures))
-    return low.withColumn("met", F.expr(f"filter(sequence(0, {len(signatures) - 1}), i -> CASE i {cases} END)" if signatures else "cast(array() AS array<int>)")).drop("_low")
+    return low.withColumn("met", F.expr(f"filter(sequence(0, {len(signatures) - 1}), i -> CASE i {cases} END)" if signatures else "cast(array() AS array<int>)")).drop("_low", "_text")
+
+
+def _folded(text: str) -> Column:
+    """Lower case as the patterns see it: also the few characters beyond ASCII that count as ASCII letters. ASCII text, which is no longer than its bytes, is only lower-cased."""
+    return F.lower(F.when(F.octet_length(text) > F.length(text), F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))).otherwise(F.col(text)))
 
 
 def _hits(signature: Signature) -> str:
     """Whether one of the signature's fields holds its pattern, in SQL."""
-    held = " OR ".join(f"coalesce({f} RLIKE {quoted(signature.pattern)}, false)" for f in signature.fields)
+    held = " OR ".join(f"coalesce({f} RLIKE {quoted(java_pattern(signature.pattern))}, false)" for f in signature.fields)
     needs = NEEDS[signature.name] if signature in SIGNATURES else ()
     return f"({' OR '.join(f'contains(_low, {quoted(t)})' for t in needs)}) AND ({held})" if needs else f"({held})"
 
