@@ -207,26 +207,39 @@ def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+class Steps:
+    """What the search may still do: lengths looked at, whether they lead to a filling or not."""
+
+    def __init__(self, left: float):
+        self.left = left
+
+
+def fillings(counts: dict[int, int], room: int, most_waste: int, steps: Steps) -> Iterator[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of a room with the pieces left, least waste first, one at a time: no piece left fits in
-    what remains, nor could one of the filling give its place to a longer one. Only sums that can be made are followed."""
+    what remains, nor could one of the filling give its place to a longer one. Only sums that can be made are followed.
+    None follow once the steps are used up."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     ascending = lengths[::-1]
     reach = _reach(lengths, counts, room)
+    steps.left -= len(lengths)
     used: Counter = Counter()
     chosen: list[int] = []
 
     def free(low: int, high: int) -> bool:
         """Is a piece of a length from low to high left over?"""
-        at = bisect_left(ascending, low)
-        return any(counts[x] > used[x] for x in ascending[at : bisect_left(ascending, high + 1)])
+        for at in range(bisect_left(ascending, low), bisect_left(ascending, high + 1)):
+            steps.left -= 1
+            if counts[ascending[at]] > used[ascending[at]]:
+                return True
+        return False
 
     def exactly(start: int, left: int) -> Iterator[tuple[int, ...]]:
         if not left:
             yield tuple(chosen)
             return
         for i in range(start, len(lengths)):
-            if not reach[i] >> left & 1:
+            steps.left -= 1
+            if steps.left < 0 or not reach[i] >> left & 1:
                 return  # nor can anything further down
             x = lengths[i]
             if x <= left and counts[x] > used[x] and reach[i] >> (left - x) & 1:
@@ -249,12 +262,19 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return max(-(-total // capacity), sum(n for length, n in histogram.items() if 2 * length > capacity))
 
 
+#: The search's steps, and those for each distinct length: a few seconds at most, whatever the lengths.
+STEPS, STEPS_A_LENGTH = 2_000_000, 4_000
+#: Levels of the search, the deepest, whose fillings are at hand; those of others are found again when it comes back to them.
+OPEN_LEVELS = 64
+
+
 def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None = -1) -> Plan:
-    """As few sequences as the search finds within so many nodes; never more than best-fit decreasing.
+    """As few sequences as the search finds within so many nodes and steps; never more than best-fit decreasing.
 
     The bound: sequences so far and what is left over the capacity. The waste that a better solution
     may have in all is therefore fixed, and a branch that wastes more is cut off. nodes: by default 3000 and 4 for
-    each distinct length; None searches to the end, a sequence at a time, so what it gives is the least (for small
+    each distinct length; steps (lengths looked at on the way to a filling, found or not): STEPS and STEPS_A_LENGTH for
+    each distinct length. None searches to the end, a sequence at a time, so what it gives is the least (for small
     histograms: the search is exponential). The search stops as soon as the lower bound is met.
     """
     counts = {length: n for length, n in histogram.items() if n > 0}
@@ -264,17 +284,16 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
     best_n = sum(n for n, _ in best)
     one_by_one = nodes is None
     budget = float("inf") if nodes is None else 3000 + 4 * len(counts) if nodes < 0 else nodes
+    steps = Steps(float("inf") if nodes is None else STEPS + STEPS_A_LENGTH * len(counts))
 
-    # depth-first, by hand: each frame holds how many fillings were tried and what to undo
+    # depth-first, by hand: each frame holds how many fillings were tried, what to undo, and the fillings to come
     plan: Plan = []
     waste = 0
 
-    def option(k: int) -> tuple[int, int | None, tuple[int, ...]]:
-        """The k-th filling beside the longest piece left. Worked out anew each time, so that a deep search holds no tables."""
-        longest = max(counts)
+    def beside(longest: int, passed: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Fillings beside the longest piece left, but for the first ones."""
         left = {**counts, longest: counts[longest] - 1}
-        found = fillings(left, capacity - longest, (best_n - 1) * capacity - total - waste)
-        return longest, *next(islice(found, k, None), (None, ()))
+        return islice(fillings(left, capacity - longest, (best_n - 1) * capacity - total - waste, steps), passed, None)
 
     def take(n: int, lengths: tuple[int, ...], sign: int) -> None:
         for length, k in Counter(lengths).items():
@@ -282,17 +301,22 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
             if not counts[length]:
                 del counts[length]
 
-    frames: list[list] = [[0, None]] if counts and best_n > least else []
-    while frames and budget > 0 and best_n > least:
-        at, done = frames[-1]
-        if done is not None:  # back from below: undo
-            n, lengths, lost = done
+    frames: list[list] = [[0, None, None]] if counts and best_n > least else []
+    while frames and budget > 0 and steps.left > 0 and best_n > least:
+        frame = frames[-1]
+        if frame[1] is not None:  # back from below: undo
+            n, lengths, lost = frame[1]
             plan.pop()
             waste -= lost
             take(n, lengths, -1)
-            frames[-1][1] = None
-        longest, left, filling = option(at)
-        frames[-1][0] += 1
+            frame[1] = None
+        longest = max(counts)
+        if frame[2] is None:
+            frame[2] = beside(longest, frame[0])
+            if len(frames) > OPEN_LEVELS:
+                frames[-1 - OPEN_LEVELS][2] = None
+        left, filling = next(frame[2], (None, ()))
+        frame[0] += 1
         allowed = (best_n - 1) * capacity - total - waste
         if left is None or left > allowed:  # least waste first: what follows wastes no less
             frames.pop()
@@ -307,9 +331,9 @@ def bin_completion(histogram: dict[int, int], capacity: int, nodes: int | None =
         take(n, lengths, 1)
         plan.append((n, lengths))
         waste += n * left
-        frames[-1][1] = (n, lengths, n * left)
+        frame[1] = (n, lengths, n * left)
         if counts:
-            frames.append([0, None])
+            frames.append([0, None, None])
         else:
             best, best_n = list(plan), sum(k for k, _ in plan)
     return best

@@ -21,7 +21,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import public_tokenizers
@@ -35,6 +35,8 @@ END = "</w>"
 #: Symbols: a byte inside a pre-token, or 256 more at its end.
 SYMBOLS = 512
 NEVER = 1 << 40
+#: Pairs of tokens whose test is remembered.
+PAIRS = 1_000_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -47,7 +49,8 @@ def byte_of_char() -> dict[str, int]:
 class VocabularyAutomaton:
     """Generalised suffix automaton of the tokens' symbols, with the tokens that end each matched stretch."""
 
-    def __init__(self, tokens: list[tuple[int, ...]]):
+    def __init__(self, tokens: list[tuple[int, ...]], ids: list[int]):
+        """tokens: each one's symbols; ids: their names."""
         self.arc: dict[int, int] = {}  # state * SYMBOLS + symbol: next state
         self.link, self.length = [-1], [0]
         out: list[list[int]] = [[]]
@@ -64,7 +67,7 @@ class VocabularyAutomaton:
                 n, at = len(tokens[token]), state
                 while self.length[self.link[at]] >= n:
                     at = self.link[at]
-                self.own.setdefault(at, []).append((n, token))
+                self.own.setdefault(at, []).append((n, ids[token]))
         self.ends: dict[int, tuple[tuple[int, int], ...]] = {}
 
     def _extend(self, last: int, c: int, out: list[list[int]]) -> int:
@@ -101,17 +104,6 @@ class VocabularyAutomaton:
             parent = link[parent]
         return clone
 
-    def step(self, state: int, matched: int, c: int) -> tuple[int, int]:
-        """State and length of the longest stretch of the tokens that ends here."""
-        to = self.arc.get(state * SYMBOLS + c)
-        while to is None:
-            if state == 0:
-                return 0, 0
-            state = self.link[state]
-            matched = self.length[state]
-            to = self.arc.get(state * SYMBOLS + c)
-        return to, matched + 1
-
     def ending(self, state: int) -> tuple[tuple[int, int], ...]:
         """(length, token) of the tokens that end the state's stretches, longest first."""
         found = self.ends.get(state)
@@ -143,86 +135,102 @@ class Bpe:
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.strings = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
 
-        byte = byte_of_char()
+        self.byte = byte = byte_of_char()
 
         def symbols(s: str) -> tuple[int, ...]:
             end = s.endswith(END)
             out = [byte[c] for c in (s[: -len(END)] if end else s)]
             return (*out[:-1], out[-1] + 256) if end else tuple(out)
 
-        self.byte = byte
-        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         vocab = model["vocab"]
-        self.pair: dict[tuple[int, int], int] = {}  # the two parts' ids: when they are merged
-        self.rank: dict[int, int] = {}  # when a token is made; symbols are there from the beginning
-        self.parts: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(merges):
-            left, right, made = vocab[a], vocab[b], vocab[a + b]
-            self.pair[left, right] = rank
-            if made in self.rank or max(self.rank.get(left, -1), self.rank.get(right, -1)) >= rank:
+        n = max(vocab.values()) + 1
+        self.rank = [-1] * n  # when a token is made; symbols are there from the beginning
+        self.first, self.last = [-1] * n, [-1] * n  # the parts it is made of
+        self.pair: dict[int, int] = {}  # two parts' ids as one number: when they are merged
+        for rank, merge in enumerate(model["merges"]):
+            x, y = merge.split(" ") if isinstance(merge, str) else merge
+            left, right, made = vocab[x], vocab[y], vocab[x + y]
+            if self.rank[made] >= 0 or max(self.rank[left], self.rank[right]) >= rank:
                 raise ValueError("merges that make a token twice, or use one before it is made")
-            self.rank[made], self.parts[made] = rank, (left, right)
-        self.compatible: dict[tuple[int, int], bool] = {}
+            self.pair[left << 32 | right] = rank
+            self.rank[made], self.first[made], self.last[made] = rank, left, right
+        self.compatible: dict[int, bool] = {}
         #: tokens that their own merges really make; others never come out
         sound = {i for s, i in vocab.items() if len(symbols(s)) == 1}
-        for made, (left, right) in self.parts.items():
-            if left in sound and right in sound and self._first_across(left, right) == self.rank[made]:
+        for made in sorted((i for i in range(n) if self.rank[i] >= 0), key=self.rank.__getitem__):
+            left, right = self.first[made], self.last[made]
+            if left in sound and right in sound and self._apart_before(left, right, self.rank[made]):
                 sound.add(made)
         usable = sorted(sound)
-        self.automaton = VocabularyAutomaton([symbols(self.strings[i]) for i in usable])
-        self.id_of = usable
-        self.alone = {s[0]: i for i in usable if len(s := symbols(self.strings[i])) == 1}
+        self.automaton = VocabularyAutomaton([symbols(self.strings[i]) for i in usable], usable)
 
-    def _first_across(self, left: int, right: int) -> int:
-        """When the first merge across the border of two tokens would come, as they are put together; NEVER if none does.
+    def _apart_before(self, left: int, right: int, time: int) -> bool:
+        """Whether two tokens that stand side by side are made without a merge across their border before a time.
 
-        Beside the border stand, in turn, the last parts of left and the first parts of right. Two that are there at
-        one time merge if their merge comes before either goes into a larger part; of two equal merges the left one is first.
+        Back in time from there: beside the border stand two parts, and of the two the one that was made later is
+        undone next. Parts that are there together merge if their merge comes before either goes into a larger part; of
+        two equal merges the left one is first.
         """
-        lefts, rights = [(left, NEVER)], [(right, NEVER)]
-        for side, chain in ((1, lefts), (0, rights)):
-            while (parts := self.parts.get(chain[-1][0])) is not None:
-                chain.append((parts[side], self.rank[chain[-1][0]]))
-        first = NEVER
-        for a, until_a in lefts:
-            for b, until_b in rights:
-                rank = self.pair.get((a, b), NEVER)
-                if rank < until_a and rank <= until_b and rank > max(self.rank.get(a, -1), self.rank.get(b, -1)):
-                    first = min(first, rank)
-        return first
-
-    def _together(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self.compatible.get(key)
-        if found is None:
-            if len(self.compatible) > 1_000_000:
-                self.compatible.clear()
-            found = self.compatible[key] = self._first_across(left, right) == NEVER
-        return found
-
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token, as its byte-level characters."""
-        byte, automaton, id_of = self.byte, self.automaton, self.id_of
-        symbols = [byte[c] for c in word]
-        symbols[-1] += 256
-        last, size = [-1], [0]  # of every prefix: its last token, and how many symbols that has
-        state = matched = 0
-        for at, c in enumerate(symbols, 1):
-            state, matched = automaton.step(state, matched, c)
-            for n, token in automaton.ending(state):
-                if n <= matched:
-                    token = id_of[token]
-                    if n == at or self._together(last[at - n], token):
+        rank, pair = self.rank, self.pair
+        until_left = until_right = time
+        while True:
+            met = pair.get(left << 32 | right, NEVER)
+            if met < until_left and met <= until_right and met < time:
+                return False
+            a, b = rank[left], rank[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                until_left, left = a, self.last[left]
+            else:
+                until_right, right = b, self.first[right]
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of pre-tokens, as their byte-level characters. A word goes on from the prefix that it shares with the one before it."""
+        byte, arc, link, length, ending, compatible = self.byte, self.automaton.arc, self.automaton.link, self.automaton.length, self.automaton.ending, self.compatible
+        last, size, states = [-1], [0], [(0, 0)]  # of every prefix: its last token, how many symbols that has, and the longest stretch of a token that ends there
+        before: list[int] = []
+        for word in words:
+            symbols = [byte[c] for c in word]
+            symbols[-1] += 256
+            at = 0
+            for x, y in zip(symbols, before):
+                if x != y:
+                    break
+                at += 1
+            del last[at + 1 :], size[at + 1 :], states[at + 1 :]
+            state, matched = states[at]
+            for c in symbols[at:]:
+                at += 1
+                to = arc.get(state * SYMBOLS + c)
+                while to is None:
+                    if not state:
+                        raise ValueError(f"no token ends with symbol {c}")
+                    state = link[state]
+                    matched = length[state]
+                    to = arc.get(state * SYMBOLS + c)
+                state, matched = to, matched + 1
+                states.append((state, matched))
+                for n, token in ending(state):
+                    if n <= matched:
+                        if n < at:
+                            key = last[at - n] << 32 | token
+                            fits = compatible.get(key)
+                            if fits is None:
+                                if len(compatible) > PAIRS:
+                                    compatible.clear()
+                                fits = compatible[key] = self._apart_before(last[at - n], token, NEVER)
+                            if not fits:
+                                continue
                         last.append(token)
                         size.append(n)
                         break
-            else:
-                raise ValueError(f"no token ends with symbol {c}")
-        ids, at = [], len(symbols)
-        while at:
-            ids.append(last[at])
-            at -= size[at]
-        return ids[::-1]
+            before = symbols
+            ids = []
+            while at:
+                ids.append(last[at])
+                at -= size[at]
+            yield ids[::-1]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens' strings are those tokens."""
@@ -232,10 +240,16 @@ class Bpe:
             if piece in self.special:
                 ids.append(self.special[piece])
             elif piece:
-                for word, _ in self.pre_tokenise(self.normalise(piece)):
-                    ids += self.encode_word(word)
+                for own in self.encode_words(word for word, _ in self.pre_tokenise(self.normalise(piece))):
+                    ids += own
         return ids
 
+    def encode_stretches(self, stretches: list[bytes]) -> list[list[int]]:
+        """Ids of sorted stretches of text. Letters from a to z are one pre-token as they are; anything else is for the file's own rules."""
+        words = [w.decode() for w in stretches if w.isalpha() and w.islower()]
+        plain = self.encode_words(words)
+        return [next(plain) if w.isalpha() and w.islower() else self.encode(w.decode()) for w in stretches]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with a space between two."""
         return " ".join(self.strings[i] for i in ids if i in self.strings)
@@ -252,8 +266,7 @@ class StretchCodec(WordMemo):
         self.ids: list[list[int]] = []
 
     def learn(self, words: list[bytes]) -> None:
-        encode = self.bpe.encode
-        self.ids += [encode(w.decode()) for w in words]
+        self.ids += self.bpe.encode_stretches(words)
 
     def stretches(self, data, offsets):
         """Row in the memo of each stretch of a block of texts, and where each text's begin (with a last entry: all)."""

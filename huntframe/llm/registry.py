@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from huntframe.llm import op1_token_counts as op1
 from huntframe.llm import op10_best_fit_packing as op10
+from huntframe.llm import op11_spelling_variants as op11
 from huntframe.llm import op12_bpe_codec as op12
 from huntframe.llm import op13_ranked_search as op13
 from huntframe.llm import op2_license_scans as op2
@@ -15,7 +16,7 @@ from huntframe.llm import op7_exact_topk as op7
 from huntframe.llm import op8_document_fingerprints as op8
 from huntframe.llm import op9_minhash_dedup as op9
 
-MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op12, op13)
+MODULES = (op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13)
 
 
 def queries() -> dict:

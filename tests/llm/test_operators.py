@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -552,3 +553,20 @@ def test_registry_names(spark):
 
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()] == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize(("low", "high", "step", "most"), [(500, 800, 1, 9), (300, 899, 2, 50), (4, 2049, 1, 200)])
+def test_packing_search_is_bounded_in_steps(low, high, step, most):
+    rng = random.Random(1)
+    histogram = {x: rng.randint(1, most) for x in range(low, high, step)}
+    began = time.process_time()
+    plan = op10_best_fit_packing.bin_completion(histogram, 2048)
+    assert time.process_time() - began < 12  # a few seconds where nothing else runs
+    used = Counter()
+    for n, lengths in plan:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            used[x] += n
+    assert used == Counter(histogram)
+    best_fit = sum(n for n, _ in op10_best_fit_packing.best_fit(histogram, 2048))
+    assert op10_best_fit_packing.lower_bound(histogram, 2048) <= sum(n for n, _ in plan) <= best_fit
