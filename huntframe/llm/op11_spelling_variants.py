@@ -1,11 +1,12 @@
 """Spelling variants: words one edit apart, found by walking a distributed trie level by level.
 
 The dictionary's words go into two tries, one of the words and one of the words read backwards; their edges are a
-table (node, c, child). States (id, node, rest) say that a word's beginning, with one edit, spells the path to a node,
+table (node, c, child), with the code points that may follow either node. States (id, node, rest) say that a word's beginning, with one edit, spells the path to a node,
 and what of the word is still to come. Each word stands, without an edit, on every node of its own path; from there
 one edit leads to the node's children (a code point put in, or in place of the next one) or leaves out the next one.
 Then all states go one level down together: a join with the edge table on node and next code point, until the word is
-used up. A state that then stands on the last node of a word has found a neighbour.
+used up. A state that then stands on the last node of a word has found a neighbour. None is made where the next code point
+cannot follow its node.
 
 An edit in the second half of a word is looked for forwards, one in the first half backwards, so that no state sets
 out from the crowded top of a trie. Nodes are named by a hash of their path modulo the prime 2**61 - 1, so the node at
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntframe.llm.common import LOWER, WordMemo, class_table, cut, discard, grown, table, text_blocks, word_spans
@@ -40,6 +41,8 @@ _LETTERS[0x61:0x7B] = True
 #: The lead byte of U+00C0 to U+00FF; any byte may follow.
 _LATIN = 0xC3
 _IS_WORD = class_table(b" ")
+#: Follows a node where a word ends; no letter.
+END = "\x00"
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 #: Where the tries begin: forwards, backwards.
 ROOTS = (1, 2)
@@ -50,7 +53,9 @@ FEW_ROWS = 400_000
 
 
 class RunCounter(WordMemo):
-    """Counts of the distinct runs that a task has met."""
+    """Counts of the distinct runs that a task has met; given out and begun anew at `limit` of them."""
+
+    limit = 150_000
 
     def forget(self) -> None:
         self.words: list[bytes] = []
@@ -144,7 +149,11 @@ def named(counts: DataFrame) -> DataFrame:
 
 
 def edge_table(words: DataFrame, least_depth: int) -> DataFrame:
-    """(node, c, child): the edges of both tries below nodes of at least a depth; no word sets out above it."""
+    """(node, c, child, beside, below): the edges of both tries below nodes of at least a depth; no word sets out above it.
+
+    beside, below: which code points may follow the node and the child, END among them where a word ends there: a set of
+    their remainders by 64, as bits. Two that share a remainder only make a state that the next join ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +162,15 @@ def edge_table(words: DataFrame, least_depth: int) -> DataFrame:
                 for root, way in zip(ROOTS, (word, word[::-1])):
                     nodes = path(root, way)
                     rows.update((nodes[i], way[i], nodes[i + 1]) for i in range(least_depth, len(way)))
+                    rows.add((nodes[-1], END, 0))
             yield _batch(list(rows), ["node", "c", "child"], [pa.int64(), pa.string(), pa.int64()])
 
-    return words.select("word").mapInArrow(run, "node long, c string, child long").distinct()
+    edges = cut(words.select("word").mapInArrow(run, "node long, c string, child long").distinct())
+    nodes = cut(edges.groupBy("node").agg(F.bit_or(_bit(F.col("c"))).alias("beside")))
+    below = nodes.select(F.col("node").alias("child"), F.col("beside").alias("below"))
+    full = cut(edges.filter(F.col("c") != END).join(nodes, "node").join(below, "child").select("node", "c", "child", "beside", "below"))
+    discard(edges, nodes)
+    return full
 
 
 STATE = "id long, node long, rest string, times long, plus long"
@@ -197,16 +212,35 @@ def _joined(states: DataFrame, edges: DataFrame, on: list[str], n: int) -> DataF
     return edges.join(F.broadcast(states) if n <= FEW_ROWS else states, on)
 
 
+def _next(place: int) -> Column:
+    """The code point of rest at a place, END behind its last one."""
+    c = F.substring("rest", place, 1)
+    return F.when(c == "", END).otherwise(c)
+
+
+def _bit(c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))
+
+
+def _follows(c: Column, allowed: str) -> Column:
+    return F.col(allowed).bitwiseAND(_bit(c)) != 0
+
+
 def one_edit(exact: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """States after one edit: (id, node, rest, times, plus, skip). skip: how many of the next code points the edit used up.
 
-    Of edits that give the same word, such as leaving out either of two equal neighbours, only the last is made.
+    A word meets all edges of a node on its path: by its own it leaves out the next code point, by another it puts
+    that one's in, or has it in place of the next. Of edits that give the same word, such as leaving out
+    either of two equal neighbours, only the last is made. A state whose next code point cannot follow is not made.
     """
-    following = F.substring("rest", 1, 1)
-    left_out = exact.filter((F.col("rest") != "") & (F.substring("rest", 2, 1) != following)).withColumn("skip", F.lit(1))
-    met = _joined(exact, edges, ["node"], n).filter(F.col("c") != following).withColumn("node", F.col("child"))
-    skips = F.when(F.col("rest") != "", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return left_out.unionByName(met.drop("c", "child").withColumn("skip", F.explode(skips)))
+    met = _joined(exact, edges.select("node", "c", "child", "beside", "below"), ["node"], n).withColumns({"now": _next(1), "then": _next(2)})
+    own = F.col("c") == F.col("now")
+    state = lambda node, skip: F.struct(F.col(node).alias("node"), F.lit(skip).alias("skip"))
+    none = F.lit(None).cast("struct<node:bigint,skip:int>")
+    first = F.when(own, F.when((F.col("then") != F.col("now")) & _follows(F.col("then"), "beside"), state("node", 1)).otherwise(none)).otherwise(F.when(_follows(F.col("now"), "below"), state("child", 0)).otherwise(none))
+    second = F.when(~own & (F.col("rest") != "") & _follows(F.col("then"), "below"), state("child", 1)).otherwise(none)
+    made = met.filter(first.isNotNull() | second.isNotNull()).withColumn("made", F.explode(F.array(first, second))).filter("made IS NOT NULL")
+    return made.select("id", "made.node", "rest", "times", "plus", "made.skip")
 
 
 def strides(states: DataFrame) -> DataFrame:
@@ -229,7 +263,7 @@ def strides(states: DataFrame) -> DataFrame:
 
 def neighbours(words: DataFrame, least_length: int) -> DataFrame:
     """(id, to): every two words that are one edit apart, from both sides. words: as `named` gives them."""
-    kept = [edges := cut(edge_table(words, least_length // 2)), exact := cut(unedited(words))]
+    kept = [edges := edge_table(words, least_length // 2), exact := cut(unedited(words))]
     edited = cut(one_edit(exact, edges, exact.count()))
     kept.append(edited)
     ends = strides(edited.filter("times IS NOT NULL"))
@@ -240,7 +274,8 @@ def neighbours(words: DataFrame, least_length: int) -> DataFrame:
         n = going.count()
         if not n:
             break
-        states = cut(_joined(going, edges, ["node", "c"], n).select("id", F.col("child").alias("node"), F.expr("substring(rest, 2)").alias("rest")))
+        down = _joined(going, edges.select("node", "c", "child", "below"), ["node", "c"], n).filter(_follows(_next(2), "below"))
+        states = cut(down.select("id", F.col("child").alias("node"), F.expr("substring(rest, 2)").alias("rest")))
         kept.append(states)
     last = words.select(F.explode(F.array("id", "backwards")).alias("node"), F.col("id").alias("to"))
     found = cut(ends.join(last, "node").select("id", "to").distinct())
