@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from huntframe.operators.parse_generic import parse_generic
 from huntframe.operators.parse_syslog import parse_syslog
 from huntframe.operators.parse_web import parse_access
 from huntframe.operators.parse_windows import parse_windows, windows_errors
+from huntframe.sources.arrays import array_elements
 
 #: Where a line also ends if asked to: vertical tab, form feed, the separators 1C-1E, next line, line and paragraph separator.
 SEPARATORS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
@@ -20,12 +22,18 @@ SEPARATORS = "[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 def _named(files: list[str], spark: SparkSession) -> DataFrame:
     """(place_of, first): for each file of a listing, by name, the first of its numbers. The driver holds the listing for any scan."""
+    table = spark.createDataFrame(_firsts(files), "place_of string, first long")
+    return F.broadcast(table) if len(files) <= FEW_FILES else table
+
+
+def _firsts(files: list[str]) -> list[tuple[str, int]]:
+    """The files by name, each with the first of its numbers."""
     shift = 63 - max(1, len(files).bit_length())
-    names = [(_SCHEME.sub(r"\1:/", name), at << shift) for at, name in enumerate(sorted(files))]
-    table = spark.createDataFrame(names, "place_of string, first long")
-    return F.broadcast(table) if len(files) <= 100_000 else table
+    return [(_SCHEME.sub(r"\1:/", name), at << shift) for at, name in enumerate(sorted(files))]
 
 
+#: Names of files that are broadcast at most.
+FEW_FILES = 100_000
 #: A listing writes file:///x where a row's metadata has file:/x.
 _SCHEME = re.compile("^([A-Za-z0-9+.-]+):/+")
 
@@ -34,15 +42,20 @@ def _place_of() -> Column:
     return F.regexp_replace("file", _SCHEME.pattern, "$1:/").alias("place_of")
 
 
-def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
+def _numberer(files: list[str], spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Adds `first` to rows with the column `file`."""
+    names = _named(files, spark)
+    return lambda rows: rows.withColumn("place_of", _place_of()).join(names, "place_of").drop("place_of")
+
+
+def _numbered(rows: DataFrame, numbered: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows (file, block, ...) with seq: rising by file name, then by place in the file.
 
     A file's rows are numbered from where its block begins. A block of b bytes holds at most b rows, and Spark
     gives a file's full blocks a task each, so the numbers of a file's blocks cannot meet.
     """
-    names = _named(files, rows.sparkSession)
-    placed = rows.withColumn("place", F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).withColumn("place_of", _place_of())
-    return placed.join(names, "place_of").withColumn("seq", F.col("first") + F.col("place"))
+    placed = rows.withColumn("place", F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return numbered(placed).withColumn("seq", F.col("first") + F.col("place"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], split_separators: bool = False) -> DataFrame:
@@ -50,11 +63,14 @@ def read_lines(spark: SparkSession, path: str | list[str], split_separators: boo
 
     split_separators also ends lines at vertical tabs, form feeds and the Unicode line separators.
     """
-    read = spark.read.text(path)
-    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"))
+    return _lines(spark, path, _numberer(spark.read.text(path).inputFiles(), spark), split_separators)
+
+
+def _lines(spark: SparkSession, path: str | list[str], numbered: Callable[[DataFrame], DataFrame], split_separators: bool = False) -> DataFrame:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("modified"))
     if split_separators:
         lines = lines.withColumn("value", F.explode(F.split("value", SEPARATORS)))
-    return _numbered(lines, read.inputFiles()).select("seq", right_trimmed(F.col("value")).alias("value"), "file", "modified")
+    return _numbered(lines, numbered).select("seq", right_trimmed(F.col("value")).alias("value"), "file", "modified")
 
 
 def read_json_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -62,29 +78,39 @@ def read_json_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_windows(read_lines(spark, path))
 
 
+def _elements(spark: SparkSession, paths: list[str], numbered: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[int]]:
+    """The elements of the files that are arrays, as (seq, value, file, modified), and those files' numbers."""
+    elements, sound = array_elements(spark, paths, numbered)
+    arrays = [r["first"] for r in sound.select("first").collect()]  # no more than the files, which the driver lists anyway
+    files = F.broadcast(sound) if len(arrays) <= FEW_FILES else sound
+    return elements.join(files, "first").select((F.col("first") + F.col("place")).alias("seq"), "value", "file", "modified"), arrays
+
+
 def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files that are one JSON array of events each, as (seq, value, file, modified) with an event's JSON text. seq rises by file name and place. Such a file cannot be split: prefer a line per event."""
-    read = spark.read.text(path, wholetext=True)
-    whole = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    elements = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("place", "value"), "file", "modified").withColumn("place_of", _place_of())
-    names = _named(read.inputFiles(), spark)
-    return elements.join(names, "place_of").select((F.col("first") + F.col("place")).alias("seq"), "value", "file", "modified")
+    """Files that are one JSON array of events each, as (seq, value, file, modified) with an event's JSON text. seq rises by file name and place. A file is read by blocks, whatever its size; one that is no array gives nothing."""
+    files = spark.read.text(path).inputFiles()
+    return _elements(spark, list(map(unquote, files)), _numberer(files, spark))[0]
 
 
 def read_windows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Windows event exports as (seq, value, file, modified): a file that is one JSON array gives its elements, any other its lines.
 
-    Only files whose first filled line begins with a bracket are read whole; one that then is no array keeps its lines.
+    One pass finds the files whose first filled line begins with a bracket. Only those are read as arrays, by blocks;
+    one that then is no array keeps its lines.
     """
-    lines = read_lines(spark, path)
+    files = spark.read.text(path).inputFiles()
+    numbered = _numberer(files, spark)
+    lines = _lines(spark, path, numbered)
     begin = lines.filter("value <> ''").groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "seq").alias("sign"))
     maybe = [unquote(r["file"]) for r in begin.filter("sign = '['").collect()]  # file names, which the driver lists anyway
     if not maybe:
         return lines
-    arrays = read_json_array(spark, maybe)
-    text = spark.read.text(maybe, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>").alias("held"))
-    sound = text.filter("size(held) = 1").select("file").distinct()  # in brackets: an array with more behind it is no array
-    return lines.join(sound, "file", "left_anti").select("seq", "value", "file", "modified").unionByName(arrays.join(sound, "file", "left_semi").select("seq", "value", "file", "modified"))
+    elements, arrays = _elements(spark, maybe, numbered)
+    if not arrays:
+        return lines
+    known = {name: first for name, first in _firsts(files)}
+    rest = [unquote(f) for f in files if known[_SCHEME.sub(r"\1:/", f)] not in set(arrays)]
+    return _lines(spark, rest, numbered).unionByName(elements) if rest else elements
 
 
 def read_log(spark: SparkSession, path: str | list[str], log_format: str, split_separators: bool = False) -> DataFrame:
