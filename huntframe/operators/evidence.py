@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from huntframe.operators.keyed import LINES, WIDTH, first_lines
+from huntframe.sources.scratch import once
 
 
 def evidence_top(rows: DataFrame, keys: list[str], order: list[str], most: int = LINES, width: int = WIDTH) -> DataFrame:
@@ -28,8 +29,11 @@ def claim(found: DataFrame, key: str = "source_ip") -> DataFrame:
 def fetch_evidence(findings: DataFrame, log: DataFrame, with_paths: tuple[str, ...] = (), by_time: tuple[str, ...] = ()) -> DataFrame:
     """Evidence of findings about addresses (see `claim`), of all types in one pass over the log.
 
+    The findings are written first. So Spark knows their size and broadcasts the claims where they are small enough: then no
+    line is shuffled but the first ones of claimed addresses, task by task. Claims beyond Spark's limit are joined by a shuffle.
     with_paths: types that show requests with a path only; by_time: types whose lines stand in order of time, from `begin` on.
     """
+    findings = once(findings)
     rows = log.select(F.coalesce(F.nullif("source_ip", F.lit("")), F.lit("unknown")).alias("claimed"), (F.coalesce("http_path", F.lit("")) != "").alias("with_path"), "ts", "seq", F.substring("raw", 1, WIDTH).alias("line"))
     wanted = findings.select("finding_type", "claimed", "begin")
     timed = F.col("finding_type").isin(*by_time) if by_time else F.lit(False)

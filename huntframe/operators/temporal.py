@@ -16,6 +16,8 @@ from huntframe.operators.tags import TECHNIQUES
 DETECTOR = "Temporal Detector"
 #: Seconds of a stretch of time that one task sees of one source.
 STRETCH = 3600
+#: Rows of one source in one stretch beyond which it is cut once more.
+MOST_ROWS = 500_000
 
 
 def _rule(name: str, rule_rank: int, meets: Column, key: str, enough: str, score: str, parts: str, extra: str = "NULL") -> KeyedRule:
@@ -57,25 +59,60 @@ def slow_brute_force(log: DataFrame, failures: int = DEFAULTS.slow_failures, min
     return keyed_findings(log, [slow_rule(failures, minutes)])
 
 
-def in_stretches(rows: DataFrame, key: str, seconds: int, stretch: int = STRETCH) -> tuple[DataFrame, Window]:
-    """rows with us, chunk and copy, and the window (key, chunk) in order of time: what looks back `seconds` at most sees all it needs there.
+def _parts(timed: DataFrame, crowded: DataFrame, key: str, seconds: int, back: int, most: int) -> DataFrame:
+    """(key, chunk, parts): where parts of about `most` rows begin in a crowded stretch, and from which second on rows are copied into them.
 
-    A source is cut into stretches of time, so no task sorts all rows of one that holds most of them. The rows
-    of the last `seconds` of a stretch are copied into the next one, where they are looked back at (copy is
-    true) but stand for nothing themselves. Exact, since a stretch is no shorter than `seconds`.
+    Counts by second tell how far back a part must see: `back` rows, or `seconds` where those hold fewer. One row a
+    crowded stretch, and one part for each `most` rows of the whole table at most, and for each second of it.
     """
-    size, span = max(stretch, seconds) * 1_000_000, seconds * 1_000_000
-    timed = rows.withColumn("us", F.unix_micros("ts"))
-    chunk = F.floor((F.col("us") - F.pmod("us", F.lit(size))) / size)
-    own = F.struct(chunk.alias("chunk"), F.lit(False).alias("copy"))
-    late = F.pmod("us", F.lit(size)) >= size - span
-    dealt = timed.withColumn("place", F.explode(F.when(late, F.array(own, F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("copy")))).otherwise(F.array(own))))
-    return dealt.select(*timed.columns, "place.*"), Window.partitionBy(key, "chunk").orderBy("us", "seq")
+    by_second = timed.join(F.broadcast(crowded), [key, "chunk"], "left_semi").groupBy(key, "chunk", "second").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(key, "chunk").orderBy("second")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = by_second.withColumn("before", before).withColumn("part", F.floor(F.col("before") / most))
+    begin = counted.groupBy(key, "chunk", "part").agg(F.min("second").alias("begin"), F.min("before").alias("before"))
+    # the last second from which on there are rows enough before the part begins
+    seconds_of = counted.groupBy(key, "chunk").agg(F.collect_list(F.struct("second", "before")).alias("held"))  # no more than the stretch has seconds
+    far = F.array_max(F.transform(F.filter("held", lambda h: h["before"] <= F.col("before") - back), lambda h: h["second"]))
+    parts = begin.join(seconds_of, [key, "chunk"]).withColumn("copied", F.greatest(F.col("begin") - seconds, F.coalesce(far, F.col("begin") - seconds)))
+    return parts.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("begin", "copied"))).alias("parts"))
+
 
+def in_stretches(rows: DataFrame, key: str, seconds: int, back: int, stretch: int = STRETCH, most: int = MOST_ROWS) -> tuple[DataFrame, Window]:
+    """rows with us, chunk, part and copy, and the window (key, chunk, part) in order of time: what looks back `back` rows, and `seconds` at most, sees all it needs there.
 
-def bursts(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, stretch: int = STRETCH) -> DataFrame:
+    A source is cut into stretches of time, so no task sorts all rows of one that holds most of them. The rows
+    of the last `seconds` of a stretch are copied into the next one, where they are looked back at (copy is
+    true) but stand for nothing themselves. Exact, since a stretch is no shorter than `seconds`. A stretch of more
+    than `most` rows is cut once more, by seconds, into parts of about so many; only what is looked back at is copied
+    from one part to the next. Rows of one second are not parted. A count by stretch, made at once, tells whether there are any.
+    """
+    size, span, most = max(stretch, seconds) * 1_000_000, seconds * 1_000_000, max(most, back)
+    us, chunk, second = F.col("us"), F.col("chunk"), F.col("second")
+    timed = rows.withColumn("us", F.unix_micros("ts")).withColumn("chunk", F.floor((us - F.pmod(us, F.lit(size))) / size))
+    crowded = timed.groupBy(key, "chunk").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, "chunk")
+    place = lambda c, p, copy: F.struct(c.alias("chunk"), p.cast("int").alias("part"), F.lit(copy).alias("copy"))
+    window = Window.partitionBy(key, "chunk", "part").orderBy("us", "seq")
+    late = F.pmod(us, F.lit(size)) >= size - span
+    into_next = place(chunk + 1, F.lit(1), True)
+    if crowded.isEmpty():
+        own = place(chunk, F.lit(1), False)
+        dealt = timed.withColumn("place", F.explode(F.when(late, F.array(own, into_next)).otherwise(F.array(own))))
+        return dealt.select(*rows.columns, "us", "place.*"), window
+    timed = timed.withColumn("second", F.floor((us - F.pmod(us, F.lit(1_000_000))) / 1_000_000))
+    parts = _parts(timed.select(key, "chunk", "second"), crowded, key, seconds, back, most)
+    parted = timed.join(F.broadcast(parts), [key, "chunk"], "left")
+    begun = F.size(F.filter("parts", lambda p: p["begin"] <= second))
+    own = F.array(place(chunk, F.when(F.col("parts").isNull(), 1).otherwise(begun), False))
+    counted = F.transform("parts", lambda p, i: F.struct(p["begin"].alias("begin"), p["copied"].alias("copied"), (i + 1).alias("part")))
+    seen = F.transform(F.filter(counted, lambda p: (p["copied"] <= second) & (second < p["begin"]) & (p["part"] > 1)), lambda p: place(chunk, p["part"], True))
+    none = F.array().cast("array<struct<chunk:bigint,part:int,copy:boolean>>")
+    dealt = parted.withColumn("place", F.explode(F.concat(own, F.when(late, F.array(into_next)).otherwise(none), F.coalesce(seen, none))))
+    return dealt.select(*rows.columns, "us", "place.*"), window
+
+
+def bursts(log: DataFrame, events: int = DEFAULTS.burst_events, seconds: int = DEFAULTS.burst_seconds, stretch: int = STRETCH, most: int = MOST_ROWS) -> DataFrame:
     """(source_ip, begin): where the first `events` requests of an address within `seconds` begin, as (ts, seq). A row ends such a run if the row events-1 before it is near enough."""
-    dealt, back = in_stretches(log.filter("source_ip <> '' AND ts IS NOT NULL").select("source_ip", "ts", "seq"), "source_ip", seconds, stretch)
+    dealt, back = in_stretches(log.filter("source_ip <> '' AND ts IS NOT NULL").select("source_ip", "ts", "seq"), "source_ip", seconds, events - 1, stretch, most)
     begun = F.lag(F.struct("us", "ts", "seq"), events - 1).over(back) if events > 1 else F.struct("us", "ts", "seq")
     hits = dealt.withColumn("begin", begun).filter(~F.col("copy") & (F.col("us") - F.col("begin.us") <= seconds * 1_000_000))
     return hits.groupBy("source_ip").agg(F.min_by(F.struct("begin.ts", "begin.seq"), F.struct("us", "seq")).alias("begin"))
@@ -93,10 +130,10 @@ def request_burst(log: DataFrame, events: int = DEFAULTS.burst_events, seconds:
     return fetch_evidence(burst_claims(log, events, seconds, stretch), log, by_time=("request_burst",))
 
 
-def impossible_travel(log: DataFrame, seconds: int = DEFAULTS.travel_seconds, stretch: int = STRETCH) -> DataFrame:
+def impossible_travel(log: DataFrame, seconds: int = DEFAULTS.travel_seconds, stretch: int = STRETCH, most: int = MOST_ROWS) -> DataFrame:
     """Consecutive events of one user from different addresses, not more than `seconds` apart."""
     rows = log.filter("username <> '' AND source_ip <> '' AND ts IS NOT NULL").select("username", "source_ip", "ts", "seq", F.substring("raw", 1, WIDTH).alias("line"))
-    dealt, back = in_stretches(rows, "username", seconds, stretch)
+    dealt, back = in_stretches(rows, "username", seconds, 1, stretch, most)
     before = F.lag(F.struct("source_ip", "us", "line")).over(back)
     micros = F.col("us") - F.col("before.us")
     moved = dealt.withColumn("before", before).filter(~F.col("copy") & (F.col("before.source_ip") != F.col("source_ip")) & (micros <= seconds * 1_000_000))

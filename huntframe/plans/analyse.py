@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from huntframe.operators.forest import ml_claims
 from huntframe.operators.keyed import keyed_findings
 from huntframe.operators.signatures import SIGNATURES, searched, signature_rules
 from huntframe.sources.lines import parse_logs, run_stats
-from huntframe.sources.scratch import discard, kept
+from huntframe.sources.scratch import collected, discard, kept
 
 ENABLED = ("pattern", "statistical", "ml", "temporal")
 #: How each family is called in a run's record.
@@ -63,6 +64,7 @@ class Run:
     merged: DataFrame
     stats: DataFrame
     detectors: tuple[str, ...]
+    seconds: float  # from the first line read to the last finding written
 
     @property
     def findings(self) -> DataFrame:
@@ -87,7 +89,13 @@ class Run:
 
 def analyse(lines: DataFrame, log_format: str, year: int | Column | None = None, enabled: tuple[str, ...] = ENABLED, thresholds: Thresholds = DEFAULTS, signatures: tuple = SIGNATURES) -> Run:
     """Parse (seq, value) lines and hunt in them. The jobs run here: entries, raw findings and merged findings are each written once and read by all that follows."""
+    began = time.monotonic()
     entries = kept(parse_logs(lines, log_format, year))
-    raw = kept(detect(entries, enabled, thresholds, signatures))
-    merged = kept(fnd.correlate_findings(fnd.dedup_findings(raw)))
-    return Run(entries, raw, merged, run_stats(lines, entries, log_format), tuple(CALLED[f] for f in ENABLED if f in enabled))
+    with collected() as passing:
+        raw = kept(detect(entries, enabled, thresholds, signatures))
+    discard(*(t for t in passing if t is not raw))
+    with collected() as passing:
+        merged = kept(fnd.correlate_findings(fnd.dedup_findings(raw)))
+    discard(*(t for t in passing if t is not merged))
+    used = tuple(CALLED[f] for f in ENABLED if f in enabled)
+    return Run(entries, raw, merged, run_stats(lines, entries, log_format), used, round(time.monotonic() - began, 3))

@@ -87,7 +87,9 @@ def parse_logs_query(log: DataFrame) -> DataFrame:
 @_named
 def write_findings_query(log: DataFrame) -> DataFrame:
     path = scratch(log.sparkSession, "findings")
-    write_findings(fnd.union_findings(stat.auth_failure_spike(log)), path, "run", "2024-01-31")
+    found = kept(fnd.union_findings(stat.auth_failure_spike(log)))
+    for _ in range(2):  # a run that is tried twice is there once
+        write_findings(found, path, "run", "2024-01-31")
     return log.sparkSession.read.parquet(path).select("run_id", "finding_type", "source_ip", "severity_score", "count")
 
 
@@ -108,8 +110,9 @@ def runs(log: DataFrame) -> DataFrame:
     """The record of a run, written and read back."""
     run = analyse(access_lines(log), "apache", enabled=("pattern", "statistical"))
     path = scratch(log.sparkSession, "runs")
-    write_run(run.stats, run.merged, path, "r1", run.detectors, "2024-01-31")
-    return list_runs(log.sparkSession, path).select("run_id", "run_date", "log_format", "total_lines", "parsed_lines", "parse_errors", F.array_join("detectors", ",").alias("detectors"))
+    for _ in range(2):  # a run that is tried twice is there once
+        write_run(run.stats, run.merged, path, "r1", run.detectors, "2024-01-31", run.seconds)
+    return list_runs(log.sparkSession, path).select((F.col("analysis_duration_seconds") > 0).alias("timed"), "run_id", "run_date", "log_format", "total_lines", "parsed_lines", "parse_errors", F.array_join("detectors", ",").alias("detectors"))
 
 
 def _run(lines: DataFrame, log_format: str, enabled: tuple[str, ...] = ("pattern", "statistical", "temporal")) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("tables made", default=None)
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables that are kept meanwhile, by whatever operator: `discard(*tables)` removes them once their results are written."""
+    tables: list[DataFrame] = []
+    outer, token = _made.get(), _made.set(tables)
+    try:
+        yield tables
+    finally:
+        _made.reset(token)
+        if outer is not None:
+            outer += tables
+
+
 def kept(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again. `discard` removes it once nothing reads it any more."""
     path = scratch(df.sparkSession, "kept")
@@ -31,9 +50,16 @@ def kept(df: DataFrame, *partition_by: str) -> DataFrame:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.kept_at = path
+    if (made := _made.get()) is not None:
+        made.append(table)
     return table
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df as a table that was written, so that it is worked out once however often it is read, and its true size is known when joins are planned."""
+    return df if "kept_at" in df.__dict__ else kept(df)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `kept` wrote; others are left alone."""
     for table in tables:

@@ -1,14 +1,17 @@
 """A whole run from lines, and the parts that only a run uses."""
 
+import os
+import random
 import re
 
 import numpy as np
-import random
+import pytest
 
 from huntframe.operators.forest import exact_quantile
 from huntframe.operators.signatures import NEEDS, SIGNATURES, Signature, pattern_hits
 from huntframe.plans.analyse import analyse
-from huntframe.sources.sinks import list_runs, write_run
+from huntframe.sources.scratch import collected, discard, kept, shared_folder
+from huntframe.sources.sinks import list_runs, write_findings, write_run
 
 
 def access(i, ip, path="/", status=200, size=100, agent="Mozilla"):
@@ -36,10 +39,53 @@ def test_a_run_finds_what_is_planted(spark, tmp_path):
     assert scores == sorted(scores, reverse=True)
     assert sum(r.findings for r in run.summary.collect()) == len(scores)
     assert "6.6.6.6" in {r.source_ip for r in run.top_sources.collect()} and run.risk.first().risk > 0
-    write_run(run.stats, run.merged, str(tmp_path / "runs"), "one", run.detectors, "2024-01-06")
+    write_run(run.stats, run.merged, str(tmp_path / "runs"), "one", run.detectors, "2024-01-06", run.seconds)
     record = list_runs(spark, str(tmp_path / "runs")).first()
     assert (record.run_id, record.log_format, record.findings, record.detectors) == ("one", "apache", len(scores), list(run.detectors))
+    assert record.analysis_duration_seconds == run.seconds > 0
+    run.close()
+
+
+def in_shared_folder(spark):
+    return sorted(os.listdir(shared_folder(spark).removeprefix("file:")))
+
+
+def test_a_closed_run_leaves_nothing_behind(spark):
+    before = in_shared_folder(spark)
+    lines = [f'10.0.0.{i % 9} - u{i % 3} [06/Jan/2024:02:{i % 60:02d}:00 +0000] "GET /{i % 40}?q=1%27+union+select HTTP/1.1" {404 if i % 5 else 200} {i}' for i in range(400)]
+    run = analyse(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), "apache")
+    assert run.findings.count() and len(in_shared_folder(spark)) == len(before) + 3
     run.close()
+    assert in_shared_folder(spark) == before
+
+
+def test_tables_are_collected_by_whoever_asks(spark):
+    before = in_shared_folder(spark)
+    with collected() as outer:
+        with collected() as inner:
+            kept(spark.range(3))
+        kept(spark.range(4))
+    kept_outside = kept(spark.range(5))
+    assert len(inner) == 1 and len(outer) == 2 and kept_outside not in outer
+    discard(kept_outside, *outer)
+    assert in_shared_folder(spark) == before
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_a_run_written_twice_is_there_once(spark, tmp_path, kind):
+    path = str(tmp_path / "found")
+    found = spark.createDataFrame([("a", 1), ("b", 2)], "finding_type string, count long")
+    read = lambda: sorted((r.finding_type, r.run_id) for r in spark.read.format(kind).load(path).selectExpr("finding_type", "cast(run_id AS string) AS run_id").collect())
+    write_findings(found, path, "one", "2024-01-06", kind)
+    write_findings(found.limit(1), path, "r:2", "2024-01-06", kind)
+    write_findings(found, path, "one", "2024-01-06", kind)
+    assert len(read()) == 3 and [r for r in read() if r[1] == "one"] == [("a", "one"), ("b", "one")]
+    write_findings(found.limit(0), path, "r:2", "2024-01-06", kind)
+    assert read() == [("a", "one"), ("b", "one")]
+    stats = spark.createDataFrame([("apache", 3, 2, 1)], "log_format string, total_lines long, parsed_lines long, parse_errors long")
+    for seconds in (1.0, 2.34567):
+        write_run(stats, found, str(tmp_path / "runs"), "one", (), "2024-01-06", seconds)
+    assert [r.analysis_duration_seconds for r in list_runs(spark, str(tmp_path / "runs")).collect()] == [2.346]
 
 
 def test_a_run_over_nothing(spark):

@@ -1,8 +1,9 @@
 """Detectors and findings against plain re-tellings of their rules."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from huntframe.operators import findings as fnd
@@ -126,3 +127,35 @@ def test_forest_finds_the_odd_source(spark):
     assert {r.source_ip: r.severity_score for r in flagged}["odd"] == 100 and len(flagged) <= 3
     assert isolation_forest_scores(df.filter("source_ip IN ('odd', 's1')"), trees=5).count() == 0
     assert average_path(2) == 1.0 and average_path(1) == 0.0
+
+
+def crowd(spark):
+    """One address (and user) holds all rows of an hour and is busy at its end, beside quiet ones."""
+    rng = random.Random(12)
+    base = datetime(2024, 1, 6, 3, tzinfo=timezone.utc)
+    at = sorted(rng.randint(0, 3599) * 1_000_000 + rng.randint(0, 999_999) for _ in range(6000)) + [3599_900_000 + i for i in range(40)] + [3600_000_000 + i * 90_000 for i in range(60)]
+    rows = [(i, base + timedelta(microseconds=t), "hot", "u", f"line {i}") for i, t in enumerate(at)]
+    rows += [(10_000 + i, base + timedelta(seconds=300 * i), f"quiet{i % 3}", "v", "x") for i in range(40)]
+    rows += [(20_000 + i, base + timedelta(seconds=61 * i), f"hop{i % 4}", "u", "x") for i in range(59)]
+    return spark.createDataFrame(rows, "seq long, ts timestamp, source_ip string, username string, raw string")
+
+
+@pytest.mark.parametrize(("events", "seconds"), [(20, 10), (2, 1), (9, 2), (60, 30)])
+def test_bursts_in_a_crowd_are_the_same_however_it_is_cut(spark, events, seconds):
+    log = crowd(spark)
+    want = {r.source_ip: tuple(r.begin) for r in temp.bursts(log, events, seconds, 3600, 1 << 40).collect()}
+    for stretch, most in ((3600, 100), (3600, 7), (1200, 300)):
+        assert {r.source_ip: tuple(r.begin) for r in temp.bursts(log, events, seconds, stretch, most).collect()} == want
+
+
+def test_travel_in_a_crowd_is_the_same_however_it_is_cut(spark):
+    log = crowd(spark)
+    read = lambda **how: sorted((r.ts, r.source_ip, r.extra["ip_a"], r.evidence) for r in temp.impossible_travel(log, 45, **how).collect())
+    want = read(most=1 << 40)
+    assert len(want) > 100 and read(most=100) == want == read(stretch=600, most=50)
+
+
+def test_no_part_of_a_crowd_is_far_larger_than_the_others(spark):
+    rows, _ = temp.in_stretches(crowd(spark).select("source_ip", "ts", "seq").filter("source_ip = 'hot'"), "source_ip", 10, 19, 3600, 300)
+    sizes = sorted(r["count"] for r in rows.groupBy("source_ip", "chunk", "part").count().collect())
+    assert len(sizes) > 15 and sizes[-1] <= 4 * sizes[len(sizes) // 2] and sum(sizes) < 1.5 * 6100
