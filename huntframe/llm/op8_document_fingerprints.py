@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from huntframe.llm.common import cut, discard, join_dealt, mix, parts, table
@@ -173,18 +173,42 @@ def anchor_table(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, position long")
 
 
+def run_table(docs: DataFrame, length: int, k: int = K, s: int = S) -> DataFrame:
+    """(run, doc_id, turn, position, ending) of every `length` closed syncmers in a row: the hash of all of them, the place of the first among the text's, and where the first and the last stand. Map-only; rows without a doc_id or a text have none."""
+    names, kind = ["run", "doc_id", "turn", "position", "ending"], "run long, doc_id long, turn long, position long, ending long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                at, value = anchors(text.as_py(), k, s)
+                n = len(at) - length + 1
+                if n > 0:
+                    columns = (_grams(value, length).view(np.int64), np.full(n, doc_id.as_py(), np.int64), np.arange(n), at[:n].astype(np.int64), at[length - 1 :].astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, kind)
+
+
 def shared_spans(docs: DataFrame, least_anchors: int = 8, k: int = K, s: int = S) -> DataFrame:
-    """(doc_id, other, offset, first, last, anchors): passages that a document shares with one of smaller doc_id, by anchors that stand at one offset.
+    """(doc_id, other, offset, first, last, anchors): passages that a document shares with one of smaller doc_id, by anchors that stand at one offset without a gap.
+
+    What is owned is a run of least_anchors anchors: by the first place of the smallest document that holds it, and the others meet that
+    place alone. So a passage with n copies gives n - 1 spans, not all pairs; any two documents that share so long a passage both
+    meet its owners, run by run, and none of it is lost where a third document holds bits of it. A run's rows are dealt to several tasks
+    however frequent it is. first and last are positions of anchors in doc_id; the passage runs on to last + k.
 
-    An anchor that several documents hold belongs to the first place of the smallest of them; the others meet that
-    place alone, so a passage with n copies gives n - 1 spans, not all pairs, and an anchor's rows are dealt to
-    several tasks however frequent it is. first and last are positions of anchors in doc_id; the passage runs on to last + k.
+    Defined results: rows without a doc_id, and null, empty and short texts, share nothing. Rows of one doc_id are not held
+    against each other; a row that is there twice counts once. A passage that stands in a document twice gives a span for each
+    place. No rows: no rows. Extra columns are ignored.
     """
-    every = cut(anchor_table(docs, k, s))
-    owners = cut(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "position")).alias("own")).filter("n > 1"))
-    met = join_dealt(every, owners.select("anchor", "own"), "anchor", "position", owners.select("anchor", "n")).filter("doc_id > own.doc_id")
-    spans = met.groupBy("doc_id", F.col("own.doc_id").alias("other"), (F.col("position") - F.col("own.position")).alias("offset")).agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("anchors"))
-    found = cut(spans.filter(F.col("anchors") >= least_anchors))
+    every = cut(run_table(docs, least_anchors, k, s))
+    owners = cut(every.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "position")).alias("own")).filter("n > 1"))
+    met = join_dealt(every, owners.select("run", "own"), "run", "position", owners.select("run", "n")).filter("doc_id > own.doc_id")
+    met = met.select("doc_id", F.col("own.doc_id").alias("other"), (F.col("position") - F.col("own.position")).alias("offset"), "turn", "position", "ending").distinct()
+    passage = ["doc_id", "other", "offset"]
+    stretch = F.col("turn") - F.row_number().over(Window.partitionBy(*passage).orderBy("turn"))
+    spans = met.withColumn("stretch", stretch).groupBy(*passage, "stretch").agg(F.min("position").alias("first"), F.max("ending").alias("last"), (F.count("*") + least_anchors - 1).alias("anchors"))
+    found = cut(spans.drop("stretch"))
     discard(every, owners)
     return found
 
