@@ -257,6 +257,10 @@ def oracle_sql() -> dict[str, str]:
         "mitre_tags": _log(_FND + f" SELECT finding_type, count(*) AS findings, technique_id, technique_name, tactic, 'https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') || '/' AS url FROM fs JOIN (VALUES {techniques}) t(finding_type, technique_id, technique_name, tactic) USING (finding_type) GROUP BY ALL"),
         "analyse_run_apache": _hunt(_ACCESS_LOG),
         "analyse_run_syslog": _hunt(_SYSLOG_LOG),
+        "forest_properties": _log(
+            " SELECT n + 1 AS sources, n + 1 AS in_bounds, '6.6.6.6' AS oddest, f AS flagged, f AS scored, f AS with_lines, '6.6.6.6' AS worst, 100 AS severity_score, 'CRITICAL' AS severity"
+            " FROM (SELECT count(*) AS n, ceil(0.05 * count(*))::BIGINT AS f FROM (SELECT source_ip FROM log GROUP BY 1 HAVING count(*) >= 3))"
+        ),
         "runs": _log("SELECT true AS timed, 'r1' AS run_id, '2024-01-31' AS run_date, 'apache' AS log_format, count(*) AS total_lines, count(*) FILTER (seq % 50 <> 3) AS parsed_lines, count(*) FILTER (seq % 50 = 2) AS parse_errors, 'Pattern,Statistical' AS detectors FROM log"),
         "run_stats_windows": _log("SELECT 'windows_event' AS log_format, count(*) AS total_lines, count(*) FILTER (seq % 10 <> 5) AS parsed_lines, count(*) FILTER (seq % 10 IN (4, 5)) AS parse_errors FROM log"),
         "read_lines": _log("SELECT CASE seq % 50 WHEN 0 THEN '[Thu Oct 10 13:55:36 2024] [error] [pid 12] ' || message WHEN 1 THEN '[Thu Oct 10 13:55:36.123456 2024] [warn] ' || message WHEN 2 THEN 'broken ' || seq WHEN 3 THEN '' ELSE raw END AS value, count(*) AS lines FROM log GROUP BY ALL"),

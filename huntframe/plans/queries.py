@@ -29,6 +29,7 @@ from huntframe.sources.scratch import kept, scratch
 from huntframe.sources.sinks import list_runs, write_findings, write_run
 
 YEAR = 2024
+PLANTED = "6.6.6.6"
 EVENTS_A_FILE = 5000  # of the arrays that are written: files grow in number with the table, not in size
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -458,5 +459,17 @@ def ml_behavioural_anomaly_query(log: DataFrame) -> DataFrame:
     return _brief(ml_behavioural_anomaly(log), "description")
 
 
+@_named
+def forest_properties(log: DataFrame) -> DataFrame:
+    """What must hold of the forest whatever its random trees: every source of enough entries has a score within bounds, a planted source is the oddest and is flagged, and so is the share asked for, no more."""
+    odd = log.filter("seq % 10 = 0").withColumns({"seq": F.col("seq") + F.lit(1 << 40), "source_ip": F.lit(PLANTED), "http_path": F.concat(F.lit("/x/"), "seq"), "http_status": F.lit(500), "bytes_sent": F.col("bytes_sent") * 1000, "user_agent": F.concat(F.lit("odd"), "seq")})
+    planted = kept(log.unionByName(odd))
+    scores, found = kept(isolation_forest_scores(planted)), kept(ml_behavioural_anomaly(planted))
+    scored = scores.agg(F.count("*").alias("sources"), F.count_if(F.col("anomaly").between(-1, 0)).alias("in_bounds"), F.min_by("source", "anomaly").alias("oddest"))
+    worst = F.max_by(F.struct("source_ip", "severity_score", "severity"), "severity_score")
+    flagged = found.agg(F.count("*").alias("flagged"), F.count_if(F.col("severity_score").between(25, 100)).alias("scored"), F.count_if(F.size("evidence") > 0).alias("with_lines"), worst.alias("worst"))
+    return scored.crossJoin(F.broadcast(flagged)).select("sources", "in_bounds", "oddest", "flagged", "scored", "with_lines", F.col("worst.source_ip").alias("worst"), F.col("worst.severity_score").alias("severity_score"), F.col("worst.severity").alias("severity"))
+
+
 for _name in [n for n in _queries if n.endswith("_query")]:
     _queries[_name.removesuffix("_query")] = _queries.pop(_name)
