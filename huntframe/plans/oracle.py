@@ -179,6 +179,26 @@ def _hunt(parsed: str) -> str:
     )
 
 
+def _sentences() -> str:
+    """Whole sentences and tags, written out here rather than taken from the code under test."""
+    url = "https://attack.mitre.org/techniques/"
+    whole = "((epoch_us(last) - epoch_us(ts)) // 60000000)"
+    spent = f"(CASE WHEN {whole} >= 60 THEN {whole} // 60 || 'h ' ELSE '' END || {whole} % 60 || 'm')"
+    first = "arg_min(source_ip, epoch_us(ts)::HUGEINT * 1000000000 + seq)"
+    weekend = f"(SELECT username, {first} AS source_ip, count(*) AS n FROM log WHERE {_WEEKEND} GROUP BY 1)"
+    s, t, user = "Statistical Detector", "Temporal Detector", "username"
+    rows = (
+        (s, "auth_failure_spike", "auth", user, "least(100, 35 + least(n, 60))", "n || ' authentication failures from ' || source_ip || '. Possible brute force or credential stuffing.'", f"T1110.001 / Password Guessing / Credential Access / {url}T1110/001/"),
+        (t, "off_hours_auth_activity", _keyed(f"{_OFF} AND ({_AUTH} OR {_SENSITIVE})", 2), user, "least(100, 45 + 2 * n)", "n || ' authentication/sensitive events outside business hours (07:00' || chr(8211) || '20:00) from ' || source_ip || '.'", f"T1078 / Valid Accounts / Initial Access / {url}T1078/"),
+        (t, "weekend_sensitive_activity", weekend, user, "least(100, 35 + 3 * n)", "n || ' sensitive operations on a weekend by ' || username || '. User account changes, service installs, or audit policy changes outside working days warrant investigation.'", f"T1098 / Account Manipulation / Persistence / {url}T1098/"),
+        (t, "slow_brute_force", _keyed(_FAIL_TEMP, 10, " AND epoch_us(max(ts)) - epoch_us(min(ts)) >= 1800000000"), user, "least(100, 50 + n)", f"n || ' auth failures from ' || source_ip || ' spread over ' || {spent} || '. Low-rate brute force designed to evade rate-limit detection.'", f"T1110.003 / Password Spraying / Credential Access / {url}T1110/003/"),
+        (t, "impossible_travel", "travel", user, "70", "'User ' || chr(39) || username || chr(39) || ' active from ' || ip_a || ' then ' || source_ip || ' within ' || gap || ' seconds. Possible account sharing, credential theft, or VPN switch.'", f"T1078 / Valid Accounts / Initial Access / {url}T1078/"),
+        (t, "request_burst", "burst", _NULL, "53", "'IP ' || source_ip || ' sent 3 requests in 3600 seconds. Possible DDoS, brute force, or automated scanner.'", f"T1498 / Network Denial of Service / Impact / {url}T1498/"),
+    )
+    every = (f"SELECT '{detector}' AS detector, '{kind}' AS finding_type, source_ip, {name} AS username, ({score})::INTEGER AS severity_score, {text} AS description, '{tags}' AS tags FROM {source}" for detector, kind, source, name, score, text, tags in rows)
+    return _log(_AUTH_SPIKE + _TRAVEL + _BURST + " " + " UNION ALL ".join(every))
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; queries whose result SQL cannot give are left out."""
     hits_grouped = "(SELECT finding_type, k, source_ip, arg_min(username, seq) AS username, arg_min(ts, seq) AS ts, count(*) AS n, least(100, any_value(base_score) + CASE WHEN count(*) > 5 THEN 10 ELSE 0 END + CASE WHEN count(*) > 20 THEN 15 ELSE 0 END) AS score FROM hits JOIN log USING (seq) GROUP BY 1, 2, 3)"
@@ -257,6 +277,7 @@ def oracle_sql() -> dict[str, str]:
         "mitre_tags": _log(_FND + f" SELECT finding_type, count(*) AS findings, technique_id, technique_name, tactic, 'https://attack.mitre.org/techniques/' || replace(technique_id, '.', '/') || '/' AS url FROM fs JOIN (VALUES {techniques}) t(finding_type, technique_id, technique_name, tactic) USING (finding_type) GROUP BY ALL"),
         "analyse_run_apache": _hunt(_ACCESS_LOG),
         "analyse_run_syslog": _hunt(_SYSLOG_LOG),
+        "finding_sentences": _sentences(),
         "forest_properties": _log(
             " SELECT n + 1 AS sources, n + 1 AS in_bounds, '6.6.6.6' AS oddest, f AS flagged, f AS scored, f AS with_lines, '6.6.6.6' AS worst, 100 AS severity_score, 'CRITICAL' AS severity"
             " FROM (SELECT count(*) AS n, ceil(0.05 * count(*))::BIGINT AS f FROM (SELECT source_ip FROM log GROUP BY 1 HAVING count(*) >= 3))"

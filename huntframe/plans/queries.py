@@ -16,6 +16,7 @@ from huntframe.operators import temporal as temp
 from huntframe.operators.evidence import evidence_top
 from huntframe.operators.features import FEATURES, source_features, standardize_features
 from huntframe.operators.forest import isolation_forest_scores, ml_behavioural_anomaly
+from huntframe.operators.keyed import keyed_findings
 from huntframe.operators.parse_generic import parse_generic, route_generic, routed
 from huntframe.operators.parse_syslog import parse_syslog, syslog_form
 from huntframe.operators.parse_web import access_form, parse_access, status_level
@@ -396,6 +397,16 @@ def mitre_tags_query(log: DataFrame) -> DataFrame:
     return mitre_tags(_some_findings(log), SIGNATURES)
 
 
+@_named
+def finding_sentences(log: DataFrame) -> DataFrame:
+    """What findings say and how they are tagged, word by word."""
+    log = kept(log)
+    keyed = keyed_findings(log, [stat.auth_rule(), temp.off_hours_rule(), temp.weekend_rule(), temp.slow_rule()])
+    found = fnd.union_findings(keyed, temp.impossible_travel(log), temp.request_burst(log, events=3, seconds=3600))
+    tags = F.array_join(F.transform("mitre_tags", lambda t: F.concat_ws(" / ", t["technique_id"], t["technique_name"], t["tactic"], t["url"])), ",")
+    return found.select("detector", "finding_type", "source_ip", "username", "severity_score", "description", tags.alias("tags"))
+
+
 @_named
 def all_detectors(log: DataFrame) -> DataFrame:
     """Every detector but the forest, whose scores hang on its random trees."""
