@@ -214,10 +214,11 @@ class Steps:
         self.left = left
 
 
-def fillings(counts: dict[int, int], room: int, most_waste: int, steps: Steps) -> Iterator[tuple[int, tuple[int, ...]]]:
+def fillings(counts: dict[int, int], room: int, most_waste: int, steps: Steps | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of a room with the pieces left, least waste first, one at a time: no piece left fits in
     what remains, nor could one of the filling give its place to a longer one. Only sums that can be made are followed.
-    None follow once the steps are used up."""
+    None follow once the steps are used up (no steps given: all follow)."""
+    steps = steps or Steps(float("inf"))
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     ascending = lengths[::-1]
     reach = _reach(lengths, counts, room)
