@@ -1,13 +1,12 @@
-"""A distributed isolation forest: trees grown in parallel on small samples, scoring vectorised over partitions."""
+"""A distributed isolation forest: trees grown in parallel on small samples, scores as expressions over their nodes."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe.config import DEFAULTS, HABITS
@@ -66,64 +65,87 @@ def fit_forest(features: DataFrame, columns: tuple[str, ...] = FEATURES, trees:
     return drawn.groupBy("tree").applyInPandas(grow, NODES)
 
 
-def score_forest(features: DataFrame, forest: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """(source, anomaly): minus two to the power of the mean isolation depth over its yardstick; lower is odder."""
-    trees = [r.asDict() for r in forest.orderBy("tree").collect()]  # trees * 2 * sample nodes at most
-    shipped = features.sparkSession.sparkContext.broadcast(trees)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = [{k: np.array(v) if isinstance(v, list) else v for k, v in t.items()} for t in shipped.value]
-        for rows in batches:
-            points, depth = rows[list(columns)].to_numpy(float), np.zeros(len(rows))
-            for t in arrays:
-                at = np.zeros(len(rows), int)
-                while (open_ := np.flatnonzero(t["feature"][at] >= 0)).size:
-                    node = at[open_]
-                    low = points[open_, t["feature"][node]] <= t["threshold"][node]
-                    at[open_] = np.where(low, t["below"][node], t["above"][node])
-                depth += t["path"][at]
-            yard = float(average_path(arrays[0]["sample"])) if arrays else 1.0
-            yield pd.DataFrame({"source": rows["source"], "anomaly": -(2.0 ** (-depth / max(1, len(arrays)) / max(yard, 1e-9)))})
-
-    return features.select("source", *columns).mapInPandas(run, "source string, anomaly double")
-
-
-def exact_quantile(values: DataFrame, column: str, share: float, room: int = 100_000, bins: int = 1024) -> float | None:
-    """The quantile between neighbours in rank, exactly, without a global sort: the bins that hold the two ranks are narrowed down until at most `room` distinct values are left, which the driver then reads."""
-    numbers = values.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
-    span = numbers.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
-    if not span["n"]:
+def score_forest(features: DataFrame, forest: DataFrame, columns: tuple[str, ...] = FEATURES, sample: int = DEFAULTS.forest_sample) -> DataFrame:
+    """(source, anomaly): minus two to the power of the mean isolation depth over its yardstick; lower is odder.
+
+    Expressions of the JVM over the trees' node arrays, without a Python worker or a shuffle: the forest is a scalar subquery
+    (trees * 2 * sample nodes at most, whatever the number of sources), and each tree is walked down level by level.
+    """
+    trees = forest.agg(F.array_sort(F.collect_list(F.struct("tree", "sample", *(F.col(c).cast("array<int>").alias(c) for c in ("feature", "below", "above")), "threshold", "path"))).alias("trees")).scalar()
+    levels = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(max(2, sample)))))
+
+    def depth(tree: Column, point: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            feature = F.get(tree["feature"], at)
+            return F.when(feature < 0, at).when(F.get(point, feature) <= F.get(tree["threshold"], at), F.get(tree["below"], at)).otherwise(F.get(tree["above"], at))
+
+        return F.get(tree["path"], F.aggregate(levels, F.lit(0), step))
+
+    def anomaly(row: Column) -> Column:
+        mean = F.aggregate(row["trees"], F.lit(0.0), lambda sum_, tree: sum_ + depth(tree, row["point"])) / F.greatest(F.size(row["trees"]), F.lit(1))
+        return -F.pow(F.lit(2.0), -mean / F.greatest(_average_path(F.get(row["trees"], F.lit(0))["sample"]), F.lit(1e-9)))
+
+    # a lambda's argument is worked out once a row; a column would be worked out anew at every step
+    bound = features.select("source", F.array(F.struct(F.array(*(F.col(c).cast("double") for c in columns)).alias("point"), trees.alias("trees"))).alias("bound"))
+    return bound.select("source", F.get(F.transform("bound", anomaly), F.lit(0)).alias("anomaly"))
+
+
+def _average_path(n: Column) -> Column:
+    """`average_path` of a column; 1 where there is none."""
+    x = n.cast("double")
+    return F.when(n > 2, 2 * (F.log(x - 1) + _EULER) - 2 * (x - 1) / x).when(n == 2, 1.0).when(n.isNull(), 1.0).otherwise(0.0)
+
+
+def exact_quantile(values: DataFrame, column: str, share: float, room: int = 100_000, bins: int = 10_000) -> float | None:
+    """The quantile between neighbours in rank, exactly, without a global sort; null and NaN are left out, None where nothing is left.
+
+    One aggregate takes a mergeable sketch that tells `bins` ranks apart, whose answers should lie on both sides of the two
+    ranks. A second pass counts what lies below and every distinct value between: the driver reads `room` of them at most. As
+    counts decide, the sketch's error never shows. Two passes do unless more than `room` values lie between (some
+    room * bins / 4 distinct values in all): then those alone are sketched again.
+    """
+    x = F.col("x")
+    numbers = values.select(F.col(column).cast("double").alias("x")).filter(x.isNotNull() & ~F.isnan(x))
+    margin = max(2 / bins, 2 / room)
+    told = numbers.agg(F.count("*").alias("n"), F.percentile_approx("x", [max(0.0, share - margin), min(1.0, share + margin)], bins).alias("edges")).first()
+    n = told["n"]
+    if not n:
         return None
-    n, low, high = span["n"], span["low"], span["high"]
     place = share * (n - 1)
-    first, before = math.floor(place), 0
-    counted = numbers.groupBy("x").agg(F.count("*").alias("n"))
-    inside = lambda: counted.filter((F.col("x") >= low) & (F.col("x") <= high))
-    while low < high and inside().count() > room:
-        width = (high - low) / bins
-        held = inside().groupBy(F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect()
-        now, kept_bins = before, []
-        for row in held:
-            if now <= min(first + 1, n - 1) and now + row["n"] > first:
-                kept_bins.append((now, row))
-            now += row["n"]
-        if len(held) == 1:
-            break  # neighbours that no division tells apart
-        before, low, high = kept_bins[0][0], kept_bins[0][1]["low"], kept_bins[-1][1]["high"]
+    first, second = math.floor(place), min(math.floor(place) + 1, n - 1)
+    sure = (-math.inf, math.inf)  # both ranks lie between these, counted
+    low, high = told["edges"] if n > room else sure
+    while True:
+        counted = numbers.filter(x <= high).groupBy(F.when(x >= low, x).alias("x")).agg(F.count("*").alias("n")).limit(room + 2).collect()
+        if len(counted) <= room + 1:
+            before = sum(r["n"] for r in counted if r["x"] is None)
+            if before <= first and sum(r["n"] for r in counted) > second:
+                break
+        low, high, sure, bins = _narrowed(numbers, low, high, sure, first, second, bins)
     ranked = []
-    for row in sorted(inside().collect()):
-        if before <= first + 1 and before + row["n"] > first:
-            ranked.append((before, before + row["n"], row["x"]))
+    for row in sorted((r for r in counted if r["x"] is not None), key=lambda r: r["x"]):
+        ranked.append((before, before + row["n"], row["x"]))
         before += row["n"]
-    at = lambda k: next(x for a, b, x in ranked if a <= k < b)
-    below, above = at(first), at(min(first + 1, n - 1))
-    return below + (above - below) * (place - first)
+    below, above = (next(v for a, b, v in ranked if a <= k < b) for k in (first, second))
+    return below if below == above else below + (above - below) * (place - first)
+
+
+def _narrowed(numbers: DataFrame, low: float, high: float, sure: tuple[float, float], first: int, second: int, bins: int) -> tuple[float, float, tuple[float, float], int]:
+    """Closer edges about the ranks (first, second), edges that are sure to hold them, and how fine to sketch."""
+    x = F.col("x")
+    below, up_to = numbers.agg(F.count_if(x < low), F.count_if(x <= high)).first()
+    if below > first or up_to <= second:  # a rank lies outside: back to what is sure on that side
+        return sure[0] if below > first else low, sure[1] if up_to <= second else high, sure, 2 * bins
+    inside, fine = up_to - below, min(bins, 2**31 - 1)
+    shares = [max(0.0, (first - below + 0.5) / inside - 2 / fine), min(1.0, (second - below + 0.5) / inside + 2 / fine)]
+    edges = numbers.filter((x >= low) & (x <= high)).agg(F.percentile_approx("x", shares, fine).alias("edges")).first()["edges"]
+    return *edges, (low, high), bins if tuple(edges) != (low, high) else 2 * bins
 
 
 def _scores(features: DataFrame, trees: int, sample: int, least_sources: int, seed: int) -> DataFrame:
     scaled = standardize_features(features)
     enough = scaled.agg(F.count("*").alias("sources")).filter(F.col("sources") >= least_sources)
-    return score_forest(scaled, fit_forest(scaled, trees=trees, sample=sample, seed=seed)).join(F.broadcast(enough)).drop("sources")
+    return score_forest(scaled, fit_forest(scaled, trees=trees, sample=sample, seed=seed), sample=sample).join(F.broadcast(enough)).drop("sources")
 
 
 def isolation_forest_scores(log: DataFrame, trees: int = DEFAULTS.forest_trees, sample: int = DEFAULTS.forest_sample, least_sources: int = DEFAULTS.forest_least_sources, seed: int = 42) -> DataFrame:
