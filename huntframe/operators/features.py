@@ -9,14 +9,22 @@ from huntframe import config
 from huntframe.config import DEFAULTS
 from huntframe.functions.scalars import first_filled, is_auth_failure, is_off_hours
 
+#: log2 of the cells of a sketch of distinct values: up to about 1,500 values of a source the estimate is as good as exact, beyond that 0.6 % off as a rule.
+SKETCH = 14
 FEATURES = ("total_requests", "unique_paths", "error_rate_pct", "avg_bytes", "unique_user_agents", "rpm", "auth_failures", "off_hours_pct", "post_ratio_pct")
 
 
-def source_features(log: DataFrame, least: int = DEFAULTS.forest_least_events, day_begins: int = DEFAULTS.day_begins, day_ends: int = DEFAULTS.day_ends) -> DataFrame:
-    """One row per source of at least `least` entries. Distinct paths and agents are counted in passes of their own, so no row is multiplied."""
+def source_features(log: DataFrame, least: int = DEFAULTS.forest_least_events, day_begins: int = DEFAULTS.day_begins, day_ends: int = DEFAULTS.day_ends, sketched: bool = False) -> DataFrame:
+    """One row per source of at least `least` entries. Distinct paths and agents are counted in passes of their own, so no row is multiplied.
+
+    sketched: they are estimated in the one pass over everything else, without a shuffle of pairs (see SKETCH for the error).
+    """
     keyed = log.withColumn("source", first_filled("source_ip"))
     timed = F.col("ts").isNotNull()
+    about = lambda c, name: F.hll_sketch_estimate(F.hll_sketch_agg(F.nullif(c, F.lit("")), F.lit(SKETCH))).alias(name)
+    estimates = [about("http_path", "unique_paths"), about("user_agent", "unique_user_agents")] if sketched else []
     base = keyed.groupBy("source").agg(
+        *estimates,
         F.count("*").alias("total_requests"),
         F.count_if(F.col("http_status") >= 400).alias("errors"),
         F.sum(F.nullif("bytes_sent", F.lit(0))).alias("bytes_sum"),
@@ -32,7 +40,7 @@ def source_features(log: DataFrame, least: int = DEFAULTS.forest_least_events, d
     )
     base = base.filter(F.col("total_requests") >= least)
     distinct = lambda c, name: keyed.filter(F.col(c) != "").select("source", c).distinct().groupBy("source").agg(F.count("*").alias(name))
-    joined = base.join(distinct("http_path", "unique_paths"), "source", "left").join(distinct("user_agent", "unique_user_agents"), "source", "left")
+    joined = base if sketched else base.join(distinct("http_path", "unique_paths"), "source", "left").join(distinct("user_agent", "unique_user_agents"), "source", "left")
     minutes = F.greatest((F.unix_micros("ends") - F.unix_micros("begins")) / 60_000_000, F.lit(0.01))
     total = F.col("total_requests")
     return joined.select(

@@ -9,9 +9,11 @@ from huntframe import config
 from huntframe.config import DEFAULTS, SENTENCES
 from huntframe.functions.scalars import ADDRESS_FIRST, bounded_score, is_auth_failure, map_of, severity_of
 from huntframe.operators.evidence import claim, fetch_evidence, with_evidence
+from huntframe.operators.features import SKETCH
 from huntframe.operators.keyed import WIDTH, KeyedRule, keyed_findings, quoted
 from huntframe.operators.tags import TECHNIQUES, tag
 from huntframe.schema import arrival
+from huntframe.sources.scratch import once
 
 DETECTOR = "Statistical Detector"
 
@@ -122,16 +124,36 @@ def auth_failure_spike(log: DataFrame, auth_failures: int = DEFAULTS.auth_failur
     return keyed_findings(log, [auth_rule(auth_failures)])
 
 
-def path_claims(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths) -> DataFrame:
-    """path_enumeration without its lines. Pairs are made distinct before they are counted."""
+#: How far below a threshold counts are made exact, as a share of it.
+NEAR = 0.1
+
+
+def _path_counts(rows: DataFrame, zscore: float, unique_paths: int, sketched: bool) -> DataFrame:
+    """(source_ip, count): distinct paths. Exactly: pairs are made distinct before they are counted, so every pair is shuffled.
+
+    sketched: a sketch of each address is merged instead, and only addresses that come near both thresholds are counted
+    exactly, so that no pair of any other address is shuffled. The mean and deviation are of exact counts for those, of estimates for the rest.
+    """
+    exactly = lambda some, name: some.select("source_ip", "http_path").distinct().groupBy("source_ip").agg(F.count("*").alias(name))
+    if not sketched:
+        return exactly(rows, "count")
+    about = once(rows.groupBy("source_ip").agg(F.hll_sketch_estimate(F.hll_sketch_agg("http_path", F.lit(SKETCH))).alias("count")))
+    close = lambda least: F.lit(least - NEAR * abs(least))
+    near = zscored(about, "count").filter((F.col("z") >= close(zscore)) & (F.col("count") >= close(unique_paths)))
+    exact = exactly(rows.join(near.select("source_ip"), "source_ip", "left_semi"), "exact")
+    return about.join(exact, "source_ip", "left").select("source_ip", F.coalesce("exact", "count").alias("count"))
+
+
+def path_claims(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths, sketched: bool = False) -> DataFrame:
+    """path_enumeration without its lines."""
     rows = log.filter("source_ip <> '' AND http_path <> ''")
-    paths = rows.select("source_ip", "http_path").distinct().groupBy("source_ip").agg(F.count("*").alias("count"))
+    paths = _path_counts(rows, zscore, unique_paths, sketched)
     flagged = zscored(paths, "count").filter((F.col("z") >= zscore) & (F.col("count") >= unique_paths))
     found = flagged.join(_first_entries(rows, flagged), "source_ip").withColumn("username", F.lit(None).cast("string"))
     text = sentence("path_enumeration", "source_ip", "count", "z")
     return claim(finding(found, DETECTOR, 1, 5, "path_enumeration", 40 + (F.col("z") * 8).cast("int"), text, map_of(unique_paths=F.col("count"), z_score=F.round("z", 2))))
 
 
-def path_enumeration(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths) -> DataFrame:
-    """Addresses that ask for many more distinct paths than the others."""
-    return fetch_evidence(path_claims(log, zscore, unique_paths), log, with_paths=("path_enumeration",))
+def path_enumeration(log: DataFrame, zscore: float = DEFAULTS.zscore, unique_paths: int = DEFAULTS.unique_paths, sketched: bool = False) -> DataFrame:
+    """Addresses that ask for many more distinct paths than the others; sketched: with estimates for those far from the thresholds."""
+    return fetch_evidence(path_claims(log, zscore, unique_paths, sketched), log, with_paths=("path_enumeration",))

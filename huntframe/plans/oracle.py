@@ -88,7 +88,7 @@ _MERGED = (
   JOIN shown s ON b.finding_type = s.finding_type AND b.source_ip = s.source_ip AND b.username IS NOT DISTINCT FROM s.username
   WHERE b.place = b.winner
 ), raised AS (
-  SELECT m.*, least(100, m.score + CASE d.k WHEN 1 THEN 0 WHEN 2 THEN 10 WHEN 3 THEN 20 ELSE 30 END)::INTEGER AS new_score
+  SELECT m.*, d.k, least(100, m.score + CASE d.k WHEN 1 THEN 0 WHEN 2 THEN 10 WHEN 3 THEN 20 ELSE 30 END)::INTEGER AS new_score
   FROM merged m JOIN (SELECT source_ip, count(DISTINCT detector) AS k FROM merged GROUP BY 1) d USING (source_ip)
 )"""
 )
@@ -261,14 +261,17 @@ def oracle_sql() -> dict[str, str]:
         "large_response_bytes": _log(_LARGE + " " + _brief("large_response_bytes", "big", "score", "bytes_sent AS bytes", user=_NULL, count="1")),
         "auth_failure_spike": _log(_AUTH_SPIKE + " " + _brief("auth_failure_spike", "auth", "least(100, 35 + least(n, 60))", "first_line")),
         "path_enumeration": _log(_PATHS + " " + _brief("path_enumeration", "pz WHERE z >= 2 AND n >= 20", "least(100, 40 + trunc(z * 8))", user=_NULL)),
+        "path_enumeration_sketched": _log(_PATHS + " " + _brief("path_enumeration", "pz WHERE z >= 2 AND n >= 20", "least(100, 40 + trunc(z * 8))", user=_NULL)),
         "off_hours_auth_activity": _log(_brief("off_hours_auth_activity", *all_kinds["off_hours_auth_activity"])),
         "weekend_sensitive_activity": _log(_brief("weekend_sensitive_activity", f"(SELECT username, arg_min(source_ip, epoch_us(ts)::HUGEINT * 1000000000 + seq) AS source_ip, min(ts) AS ts, count(*) AS n FROM log WHERE {_WEEKEND} GROUP BY 1)", "least(100, 35 + 3 * n)")),
         "slow_brute_force": _log(_brief("slow_brute_force", all_kinds["slow_brute_force"][0], "least(100, 50 + n)", "((epoch_us(last) - epoch_us(ts)) // 60000000)::BIGINT AS minutes")),
         "source_features": _log(_FEATURES + " SELECT source, " + ", ".join(f"round({c}, 6) AS {c}" if c in _ROUNDED else c for c in _NAMES) + " FROM f"),
+        "source_features_sketched": _log(_FEATURES + " SELECT source, " + ", ".join(f"round({c}, 6) AS {c}" if c in _ROUNDED else c for c in _NAMES) + " FROM f"),
+        "response_quantiles": _log("SELECT [0.05, 0.5, 0.999][k] ::DOUBLE AS share, round(q[k], 6) AS bytes FROM (SELECT quantile_cont(bytes_sent::DOUBLE, [0.05, 0.5, 0.999]) AS q FROM log WHERE bytes_sent > 0), (VALUES (1), (2), (3)) p(k)"),
         "standardize_features": _log(_FEATURES + ", m AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _NAMES) + " FROM f) SELECT source, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_s > 0 THEN {c}_s ELSE 1 END, 6) AS {c}" for c in _NAMES) + " FROM f, m"),
-        "union_findings": _log(_FND + " SELECT detector, finding_type, count(*) AS findings, sum(score)::BIGINT AS score FROM fs GROUP BY ALL"),
+        "union_findings": _log(_FND + f" SELECT detector, finding_type, source_ip, username, {_time('ts')}, score::INTEGER AS severity_score, severity, n::BIGINT AS count, array_to_string(evidence, '|') AS evidence FROM fs"),
         "dedup_findings": _log(_MERGED + f" SELECT finding_type, source_ip, username, {_time('ts')}, score::INTEGER AS severity_score, severity, n::BIGINT AS count, lines::INTEGER AS lines, evidence FROM merged"),
-        "correlate_findings": _log(_MERGED + f" SELECT finding_type, source_ip, username, new_score AS severity_score, {_severity('new_score')} AS severity, n::BIGINT AS count FROM raised"),
+        "correlate_findings": _log(_MERGED + f" SELECT detector, finding_type, source_ip, username, {_time('ts')}, new_score AS severity_score, {_severity('new_score')} AS severity, n::BIGINT AS count, CASE WHEN k > 1 THEN ' [Corroborated by ' || k || ' detectors ' || chr(8212) || ' score boosted]' ELSE '' END AS suffix, evidence FROM raised"),
         "rank_findings": _log(_MERGED + " SELECT finding_type, source_ip, username, new_score AS severity_score FROM raised ORDER BY new_score DESC, r, rule, first_seq"),
         "severity_summary": _log(_FND + " SELECT s.severity, count(fs.severity) AS findings FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN fs USING (severity) GROUP BY 1"),
         "severity_share": _log(_FND + " SELECT s.severity, count(fs.severity) AS findings, (count(fs.severity) * 100 // (SELECT count(*) FROM fs))::INTEGER AS pct FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) s(severity) LEFT JOIN fs USING (severity) GROUP BY 1"),

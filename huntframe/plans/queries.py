@@ -15,7 +15,7 @@ from huntframe.operators import statistical as stat
 from huntframe.operators import temporal as temp
 from huntframe.operators.evidence import evidence_top
 from huntframe.operators.features import FEATURES, source_features, standardize_features
-from huntframe.operators.forest import isolation_forest_scores, ml_behavioural_anomaly
+from huntframe.operators.forest import exact_quantile, isolation_forest_scores, ml_behavioural_anomaly
 from huntframe.operators.keyed import keyed_findings
 from huntframe.operators.parse_generic import parse_generic, route_generic, routed
 from huntframe.operators.parse_syslog import parse_syslog, syslog_form
@@ -321,6 +321,12 @@ def path_enumeration(log: DataFrame) -> DataFrame:
     return _brief(stat.path_enumeration(log, zscore=2.0))
 
 
+@_named
+def path_enumeration_sketched(log: DataFrame) -> DataFrame:
+    """By estimates far from the thresholds and counts near them: the same findings."""
+    return _brief(stat.path_enumeration(log, zscore=2.0, sketched=True))
+
+
 @_named
 def off_hours_auth_activity(log: DataFrame) -> DataFrame:
     return _brief(temp.off_hours_auth_activity(log))
@@ -336,9 +342,19 @@ def slow_brute_force(log: DataFrame) -> DataFrame:
     return _brief(temp.slow_brute_force(log), F.element_at("extra", "duration_minutes").cast("long").alias("minutes"))
 
 
+def _rounded_features(features: DataFrame) -> DataFrame:
+    return features.select("source", *(F.round(c, 6).alias(c) if c not in ("total_requests", "unique_paths", "unique_user_agents", "auth_failures") else F.col(c) for c in FEATURES))
+
+
 @_named
 def source_features_query(log: DataFrame) -> DataFrame:
-    return source_features(log).select("source", *(F.round(c, 6).alias(c) if c not in ("total_requests", "unique_paths", "unique_user_agents", "auth_failures") else F.col(c) for c in FEATURES))
+    return _rounded_features(source_features(log))
+
+
+@_named
+def source_features_sketched(log: DataFrame) -> DataFrame:
+    """One pass, distinct paths and agents by sketches: no source here has so many that an estimate differs from the count."""
+    return _rounded_features(source_features(log, sketched=True))
 
 
 # Findings
@@ -352,7 +368,7 @@ def _some_findings(log: DataFrame) -> DataFrame:
 
 @_named
 def union_findings(log: DataFrame) -> DataFrame:
-    return _some_findings(log).groupBy("detector", "finding_type").agg(F.count("*").alias("findings"), F.sum("severity_score").alias("score"))
+    return _brief(_some_findings(log), "detector", F.array_join("evidence", "|").alias("evidence"))
 
 
 @_named
@@ -363,7 +379,8 @@ def dedup_findings(log: DataFrame) -> DataFrame:
 
 @_named
 def correlate_findings(log: DataFrame) -> DataFrame:
-    return _brief(fnd.correlate_findings(fnd.dedup_findings(_some_findings(log)))).drop("ts")
+    suffix = F.regexp_extract("description", r"(?: \[Corroborated .*)?$", 0).alias("suffix")
+    return _brief(fnd.correlate_findings(fnd.dedup_findings(_some_findings(log))), "detector", suffix, F.array_join("evidence", "|").alias("evidence"))
 
 
 @_named
@@ -470,6 +487,14 @@ def ml_behavioural_anomaly_query(log: DataFrame) -> DataFrame:
     return _brief(ml_behavioural_anomaly(log), "description")
 
 
+@_named
+def response_quantiles(log: DataFrame) -> DataFrame:
+    """Quantiles of response sizes, exact without a global sort: what the forest's cut is made by."""
+    sizes = log.filter("bytes_sent > 0")
+    found = [(share, round(exact_quantile(sizes, "bytes_sent", share, room=500), 6)) for share in (0.05, 0.5, 0.999)]
+    return log.sparkSession.createDataFrame(found, "share double, bytes double")
+
+
 @_named
 def forest_properties(log: DataFrame) -> DataFrame:
     """What must hold of the forest whatever its random trees: every source of enough entries has a score within bounds, a planted source is the oddest and is flagged, and so is the share asked for, no more."""
