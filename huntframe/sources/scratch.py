@@ -60,11 +60,21 @@ def once(df: DataFrame) -> DataFrame:
     return df if "kept_at" in df.__dict__ else kept(df)
 
 
+def _folder(table: DataFrame) -> tuple:
+    """The file system and path of a table that `kept` wrote."""
+    place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+    return place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()), place
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Size of a table that `kept` wrote, without a job."""
+    files, place = _folder(table)
+    return files.getContentSummary(place).getLength()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that `kept` wrote; others are left alone."""
     for table in tables:
-        path = table.__dict__.get("kept_at")
-        if path:
-            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        if table.__dict__.get("kept_at"):
+            files, place = _folder(table)
+            files.delete(place, True)
