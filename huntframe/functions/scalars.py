@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntframe import config
@@ -89,9 +91,32 @@ def right_trimmed(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITE))
 
 
+def is_ascii(text: Column) -> Column:
+    """Whether text has no more bytes than characters."""
+    return F.octet_length(text) == F.length(text)
+
+
+def ascii_twin(pattern: str) -> str:
+    """A pattern without Unicode's classes and case: in ASCII text it means the same, and is matched many times faster."""
+    return re.sub(r"^\(\?(\w+)\)", lambda flags: f"(?{flags[1].replace('U', '')})", pattern)
+
+
+def matched(ascii_: Column, pattern: str, use: Callable[[str], Column]) -> Column:
+    """use(pattern), or use(the pattern's ASCII twin) where the text is ASCII. Give a column as ascii_: it is read wherever a pattern is tried."""
+    return F.when(ascii_, use(ascii_twin(pattern))).otherwise(use(pattern))
+
+
+def once_a_row(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with these columns worked out once. A filter on what follows from them is not pushed below this step, where Spark would write
+    them out anew at every place that reads them."""
+    return rows.select(*(c for c in rows.columns if c not in columns), F.inline_outer(F.array(F.struct(*columns))))
+
+
 def marked(text: Column, pattern: str, groups: int) -> Column:
     """The groups of a pattern that matches all of text, with marks between them; text itself where it does not match. So a line is matched once, however many groups are read."""
-    return F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("")), pattern, MARK.join(f"${i}" for i in range(1, groups + 1)))
+    parts = MARK.join(f"${i}" for i in range(1, groups + 1))
+    bare = F.replace(text, F.lit(MARK), F.lit(""))
+    return F.when(is_ascii(text), F.regexp_replace(text, ascii_twin(pattern), parts)).otherwise(F.regexp_replace(bare, pattern, parts))
 
 
 def is_marked(told: Column) -> Column:

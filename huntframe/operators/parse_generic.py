@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huntframe.functions.scalars import group_or_null, right_trimmed, tolerant_int
+from huntframe.functions.scalars import group_or_null, is_ascii, matched, once_a_row, right_trimmed, tolerant_int
 from huntframe.schema import LOG_ENTRY, conform
 
 # Other names of each field, in order of preference, and the patterns of plain text. (?dU): character
@@ -23,7 +23,7 @@ ALIASES = {
     "log_level": ("level", "severity", "loglevel", "log_level", "priority"),
     "timestamp": ("time", "timestamp", "@timestamp", "datetime", "ts", "eventtime", "date"),
 }
-PAIR = r'(?dU)(\w+)=(?:"([^"]*?)"|(\S+))'
+PAIR = r'(?dU)\w++=(?:"[^"]*+"|\S+)'  # possessive: what follows a key or a quoted value is never part of it
 TIMES = (r"(?dU)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?", r"(?dU)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", r"(?dU)\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}")
 NAMED_ADDRESS = r"(?diU)\b(?:src|source|client|ip|addr|address|remote_ip|clientip)[\s=:]+([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"
 BARE_ADDRESS = r"(?dU)\b((?:\d{1,3}\.){3}\d{1,3})\b"
@@ -40,11 +40,11 @@ def time_of(text: Column) -> Column:
     return F.coalesce(iso, F.try_to_timestamp(F.when(s.rlike(r"^\d{2}/\w{3}/\d{4}:"), F.substring(s, 1, 26)), F.lit("dd/MMM/yyyy:HH:mm:ss")))
 
 
-def wall_clock_of(text: Column) -> Column:
-    """The same time as it is written, without its offset."""
+def wall_clock_of(text: Column, ts: Column) -> Column:
+    """The same time as it is written, without its offset; ts is its instant."""
     s = F.trim(text)
     iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.regexp_replace(s, r"(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz"))
-    return F.when(time_of(text).isNotNull(), F.coalesce(iso, time_of(text).cast("timestamp_ntz")))
+    return F.when(ts.isNotNull(), F.coalesce(iso, ts.cast("timestamp_ntz")))
 
 
 def last_wins(entries: Column) -> Column:
@@ -65,72 +65,59 @@ def flattened(json: Column) -> Column:
 
 def pairs(text: Column) -> Column:
     """key=value and key="value" pairs as a map, keys lower-cased."""
-    keys, quoted, plain = (F.regexp_extract_all(text, F.lit(PAIR), F.lit(i)) for i in (1, 2, 3))
-    entries = F.transform(F.arrays_zip(keys.alias("k"), quoted.alias("q"), plain.alias("p")), lambda x: F.struct(F.lower(x["k"]).alias("key"), F.when(x["p"] != "", x["p"]).otherwise(x["q"]).alias("value")))
-    return last_wins(entries)
-
-
-def _mapped(fields: Column, skip_blank: bool) -> dict[str, Column]:
-    """Each field's value under the first of its names that is there (and, for JSON, filled)."""
-    at = lambda name: F.element_at(fields, name)
-    if skip_blank:
-        return {f: F.coalesce(*(F.when(~at(n).isin("-", ""), at(n)) for n in names)) for f, names in ALIASES.items()}
-    return {f: _first_present(fields, names) for f, names in ALIASES.items()}
-
-
-def _first_present(fields: Column, names: tuple[str, ...]) -> Column:
-    choice = F.lit(None).cast("string")
-    for name in reversed(names):
-        choice = F.when(F.map_contains_key(fields, name), F.element_at(fields, name)).otherwise(choice)
-    return choice
-
-
-def _from_fields(raw: Column, fields: Column, skip_blank: bool) -> dict[str, Column]:
-    told = _mapped(fields, skip_blank)
-    out = {f: told[f] for f in ("source_ip", "username", "hostname", "http_method", "http_path", "user_agent")}
-    extra = F.map_filter(fields, lambda k, _: ~k.isin(*ALIASES)) if skip_blank else fields
-    return out | {
-        "ts": time_of(told["timestamp"]),
-        "ts_local": wall_clock_of(told["timestamp"]),
-        "http_status": tolerant_int(told["http_status"]),
-        "bytes_sent": tolerant_int(told["bytes_sent"], "long"),
-        "message": F.coalesce(told["message"], F.substring(raw, 1, 200)),
-        "log_level": F.upper(F.coalesce(told["log_level"], F.lit("INFO"))),
-        "extra": extra,
-    }
+    found = matched(is_ascii(text), PAIR, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    parts = F.transform(found, lambda x: F.struct(F.lower(F.substring_index(x, "=", 1)).alias("key"), F.substr(x, F.locate("=", x) + 1).alias("value")))
+    # a value that begins and ends with a quote was read as a quoted one: with a second quote, that form comes first
+    quoted = lambda v: v.startswith('"') & v.endswith('"') & (F.length(v) > 1)
+    return last_wins(F.transform(parts, lambda e: F.struct(e["key"].alias("key"), F.when(quoted(e["value"]), F.substr(e["value"], F.lit(2), F.length(e["value"]) - 2)).otherwise(e["value"]).alias("value"))))
 
 
-def _from_text(raw: Column) -> dict[str, Column]:
-    found = [F.regexp_extract(raw, p, 0) for p in TIMES]
-    return {
-        "ts": F.coalesce(*map(time_of, found)),
-        "ts_local": F.coalesce(*map(wall_clock_of, found)),
-        "source_ip": F.coalesce(group_or_null(raw, NAMED_ADDRESS, 1), group_or_null(raw, BARE_ADDRESS, 1)),
-        "username": group_or_null(raw, NAMED_USER, 1),
-        "log_level": F.upper(F.coalesce(group_or_null(raw, LEVEL, 1), F.lit("INFO"))),
-        "http_method": group_or_null(raw, REQUEST, 1),
-        "http_path": group_or_null(raw, REQUEST, 2),
-        "http_status": F.regexp_extract(raw, STATUS, 1).try_cast("int"),
-        "message": F.substring(raw, 1, 500),
-    }
+def _time_in(raw: Column) -> Column:
+    """The first of the known forms of time that text holds a sound time of."""
+    found = (matched(F.col("ascii"), p, lambda q: F.regexp_extract(raw, q, 0)) for p in TIMES)
+    return F.coalesce(*(F.get(F.filter(F.array(t), lambda x: time_of(x).isNotNull()), 0) for t in found))
 
 
 def parse_generic(lines: DataFrame) -> DataFrame:
     """Entries of (seq, value), each line by what it is: a JSON object, two or more pairs, or text. One projection, no union."""
-    raw, route = F.col("raw"), F.col("route")
-    rows = routed(lines).withColumn("fields", F.when(route == "json", flattened(raw)))  # a column of its own: worked out once
-    by_json = _from_fields(raw, F.col("fields"), True)
-    by_pairs, by_text = _from_fields(raw, F.when(route == "kv", F.col("pairs")), False), _from_text(raw)
-    columns = {f: F.when(route == "json", by_json.get(f)).when(route == "kv", by_pairs.get(f)).otherwise(by_text.get(f, F.lit(None))) for f in by_json}
-    parsed = rows.select("seq", "raw", *(c.alias(n) for n, c in columns.items()), F.lit("generic").alias("log_format"), F.lit(True).alias("parse_ok"))
-    return conform(parsed, LOG_ENTRY)
+    raw, fields, is_text = F.col("raw"), F.col("fields"), F.col("route") == "text"
+    rows = _read(lines).withColumn("fields", F.when(F.col("route") == "json", flattened(raw)).otherwise(F.col("pairs")))
+    # a field's value is that of the first of its names that is there and, in JSON, filled
+    named = F.when(F.col("route") == "json", F.map_filter(fields, lambda _, v: ~v.isin("-", ""))).otherwise(fields)
+    rows = once_a_row(rows.withColumns({"named": named, "ascii": is_ascii(raw)}), "route", "fields", "named", "ascii")
+    told = {f: F.coalesce(*(F.element_at("named", n) for n in names)) for f, names in ALIASES.items()}
+    found = lambda pattern, i=1: matched(F.col("ascii"), pattern, lambda p: group_or_null(raw, p, i))
+    by_text = {
+        "source_ip": F.coalesce(found(NAMED_ADDRESS), found(BARE_ADDRESS)),
+        "username": found(NAMED_USER),
+        "http_method": found(REQUEST),
+        "http_path": found(REQUEST, 2),
+        "log_level": found(LEVEL),
+        "time": _time_in(raw),
+        "http_status": matched(F.col("ascii"), STATUS, lambda p: F.regexp_extract(raw, p, 1)).try_cast("int"),
+        "bytes_sent": F.lit(None).cast("long"),
+        "message": F.substring(raw, 1, 500),
+    }
+    by_name = told | {"time": told["timestamp"], "http_status": tolerant_int(told["http_status"]), "bytes_sent": tolerant_int(told["bytes_sent"], "long"), "message": F.coalesce(told["message"], F.substring(raw, 1, 200))}
+    column = lambda f: F.when(is_text, by_text.get(f)).otherwise(by_name[f]) if f in by_text else F.when(~is_text, by_name[f])
+    names = ("time", "source_ip", "username", "hostname", "http_method", "http_path", "http_status", "bytes_sent", "user_agent", "message")
+    extra = F.when(F.col("route") == "json", F.map_filter(fields, lambda k, _: ~k.isin(*ALIASES))).when(~is_text, fields)
+    parsed = rows.select("seq", "raw", *(column(f).alias(f) for f in names), F.upper(F.coalesce(column("log_level"), F.lit("INFO"))).alias("log_level"), extra.alias("extra"), F.lit("generic").alias("log_format"), F.lit(True).alias("parse_ok"))
+    timed = parsed.withColumn("ts", time_of(F.col("time")))
+    return conform(timed.withColumn("ts_local", wall_clock_of(F.col("time"), F.col("ts"))), LOG_ENTRY)
 
 
-def routed(lines: DataFrame) -> DataFrame:
-    """(seq, raw, pairs, route): how each line will be read. Blank lines are skipped."""
+def _read(lines: DataFrame) -> DataFrame:
+    """(seq, raw, pairs, route): pairs are looked for in what is no JSON object and has two equals signs at least."""
     rows = lines.select("seq", right_trimmed(F.col("value")).alias("raw")).filter("raw <> ''")
-    is_json = F.ltrim("raw").startswith("{") & F.try_parse_json("raw").isNotNull()
-    return rows.withColumn("pairs", pairs(F.col("raw"))).withColumn("route", F.when(is_json, "json").when(F.size("pairs") >= 2, "kv").otherwise("text"))
+    rows = rows.withColumn("is_json", F.ltrim("raw").startswith("{") & F.try_parse_json("raw").isNotNull())
+    rows = rows.withColumn("pairs", F.when(~F.col("is_json") & (F.substring_index("raw", "=", 2) != F.col("raw")), pairs(F.col("raw"))))
+    return rows.select("seq", "raw", "pairs", F.when(F.col("is_json"), "json").when(F.size("pairs") >= 2, "kv").otherwise("text").alias("route"))
+
+
+def routed(lines: DataFrame) -> DataFrame:
+    """(seq, raw, pairs, route): how each line will be read; pairs where there may be two. Blank lines are skipped."""
+    return once_a_row(_read(lines), "pairs", "route")
 
 
 def route_generic(lines: DataFrame) -> DataFrame:

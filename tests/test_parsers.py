@@ -134,3 +134,11 @@ def test_classes_are_those_of_unicode(spark):
     assert b.extra["usér"] == "x" and (b.source_ip, b.username) == ("1.2.3.4", "bob")
     c = rows(parse_access(lines(spark, '1.2.3.4\u00a0- - [10/Oct/2024:13:55:36 +0000] "GET /a\ufdd0b HTTP/1.1" 200 5 "-" "x\u2028y"')))[0]
     assert (c.http_path, c.user_agent, c.parse_ok) == ("/ab", "x\u2028y", True)  # U+FDD0 is no character
+
+
+def test_a_filter_reads_no_line_anew(spark):
+    """What a line is read into is worked out once, wherever a filter on it stands; the two readings of pairs are for ASCII text and for any."""
+    found = parse_generic(lines(spark, "seen 1.2.3.4 k=1", "GET /a status=200", 'a=1 b="x=\\"', 'b="" é=2 a="c')).filter("http_method IS NULL")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("from_json(") <= 2
+    assert [(r.source_ip, r.extra) for r in rows(found)] == [("1.2.3.4", None), (None, {"a": "1", "b": "x=\\"}), (None, {"b": "", "é": "2", "a": '"c'})]
