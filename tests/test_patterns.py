@@ -75,3 +75,28 @@ def test_the_gate_folds_case_as_the_patterns_do(spark):
 def test_opposites_inside_brackets_are_refused():
     with pytest.raises(ValueError):
         java_pattern(r"[\S,]")
+
+
+def test_words_are_looked_for_in_one_reading(spark):
+    """Every text that a signature needs is found wherever it begins, also inside of another; the plan reads the text once, not once a word."""
+    from huntframe.operators.signatures import _any_of, searched
+
+    words = sorted({w for texts in NEEDS.values() for w in texts})
+    texts = [f"x{a}{b}y" for a in words for b in words[::7]] + [a[:-1] + b for a in words for b in words if a[-1] == b[0]]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(_any_of(words)), F.lit(1)).alias("f"))
+    for r in found.collect():
+        assert {w for w in words if w in r.t} == {w for w in words if any(f.startswith(w) for f in r.f)}, r.t
+    log = spark.createDataFrame([(1, "/a", "m", "u", "r")], "seq long, http_path string, message string, user_agent string, raw string")
+    plan = searched(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") < len(words) / 10
+
+
+def test_ascii_patterns(spark):
+    """On ASCII text a signature's short form means what its full form means."""
+    from huntframe.functions.patterns import ascii_pattern
+
+    texts = ["; CAT x", "x;sh_", "() {\x1f:;}; sh", "waitfor\x1cdelay '", "$(\tID-1", "scp 1.2.3.4", "Failed x ROOT ssh", "sudo\nroot"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for s in SIGNATURES:
+        assert df.filter(F.col("t").rlike(java_pattern(s.pattern)) != F.col("t").rlike(ascii_pattern(s.pattern))).isEmpty(), s.name
+    assert ascii_pattern("(?i)ſ") == java_pattern("(?i)ſ") and ascii_pattern(r"ſ") == java_pattern(r"ſ")
