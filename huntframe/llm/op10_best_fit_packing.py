@@ -26,37 +26,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from huntframe.llm.common import LOWER, SPACES, WordMemo, cut, grown, kept_by_worker, parts, table, text_blocks
+from huntframe.llm.common import LOWER, SPACES, WordMemo, byte_of_char, cut, grown, kept_by_worker, parts, table, text_blocks
 
 NAME = "op10_best_fit_packing"
 
-# Classes of bytes: 0 white space, 1 a-z, 2 punctuation, 3 digits, 4 what can belong to either neighbour
-# (the apostrophe, control characters and bytes of non-ASCII characters).
+# Classes of bytes: 0 white space, 1 letters (a-z, and those of U+00C0 to U+00FF), 2 punctuation, 3 digits, 4 what can
+# belong to either neighbour (the apostrophe, control characters and bytes of all other non-ASCII characters).
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[b for b in range(0x21, 0x7F) if b != 0x27]] = 2
 _CLASS[0x30:0x3A] = 3
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
 _CLASS[np.frombuffer(SPACES, np.uint8)] = 0
 #: Whether a pre-token always ends between two classes: letters and punctuation part, a digit stands alone.
-_PARTS = np.zeros((5, 5), bool)
-_PARTS[0, :] = _PARTS[:, 0] = _PARTS[3, :] = _PARTS[:, 3] = _PARTS[1, 2] = _PARTS[2, 1] = True
-_SPACES_ONLY = np.zeros((5, 5), bool)
-_SPACES_ONLY[0, :] = _SPACES_ONLY[:, 0] = True
-
-
-def unit_spans(data: np.ndarray, offsets: np.ndarray, parts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_PARTS, _SPACES_ONLY = np.zeros(256, np.uint8), np.zeros(256, np.uint8)  # by 5 times the first class and the second
+for _at in range(25):
+    _SPACES_ONLY[_at] = 0 in divmod(_at, 5)
+    _PARTS[_at] = 0 in divmod(_at, 5) or 3 in divmod(_at, 5) or divmod(_at, 5) in ((1, 2), (2, 1))
+#: Begins every special token of the vocabulary.
+MARKER = b"<|"
+#: Bytes of lower-case letters, which alone are one pre-token; the model is given a character for each byte.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x61, 0x7B), 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_CHAR = np.arange(256, dtype="<u4")
+_CHAR[[b for b in byte_of_char().values() if b != 0x20]] = [ord(c) for c, b in byte_of_char().items() if b != 0x20]
+
+
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for a table of 256 bytes."""
+    return np.frombuffer(bytearray(data.tobytes().translate(table.tobytes())), np.uint8)
+
+
+def letters_only(words: np.ndarray) -> np.ndarray:
+    """Which of the words, given with a space between two, are of lower-case letters only."""
+    odd, lead = ~_LETTER[words], words == 0xC3
+    second = (words >= 0x80) & ~lead
+    odd[1:] |= second[1:] & ~lead[:-1]
+    odd[:-1] |= lead[:-1] & ~second[1:]
+    odd[0], odd[-1] = odd[0] | second[0], odd[-1] | lead[-1]
+    ends = np.flatnonzero(words == 0x20)
+    odd[ends] = False
+    return np.add.reduceat(odd, np.concatenate(([0], ends)), dtype=np.int64) == 0
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, parts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each stretch that no class change cuts, and each row's first (with a last entry: all stretches)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    kind = _CLASS[data]
     cut_before = np.ones(len(data) + 1, bool)
-    cut_before[1:-1] = parts_at.ravel()[kind[:-1] * 5 + kind[1:]]
+    cut_before[1:-1] = mapped(kind[:-1] * 5 + kind[1:], parts_at).view(bool)
     cut_before[offsets] = True
     solid = kind > 0
     starts, ends = np.flatnonzero(cut_before[:-1] & solid), np.flatnonzero(cut_before[1:] & solid) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block of texts with its letters in lower case, and the unit_spans of it.
+
+    A letter before a non-ASCII character of another class stays as it is: that may be a mark, and marks are composed
+    with letters before those are lower-cased (h and U+0331 are one character, H and U+0331 are two). A block that may
+    hold special tokens is left as it is and cut at white space only.
+    """
+    kind = mapped(data, _CLASS)
+    if MARKER in data.tobytes():
+        return data, *unit_spans(data, offsets, kind, _SPACES_ONLY)
+    lower = mapped(data, LOWER)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[data[lead + 1] | 0x20 != 0xB7]  # neither of the signs for times and divided by
+    kind[lead] = kind[lead + 1] = 1
+    lower[lead + 1] |= 0x20 * (data[lead + 1] < 0x9F).astype(np.uint8)
+    before = np.flatnonzero((kind[1:] == 4) & (data[1:] >= 0x80))
+    lower[before] = data[before]
+    return lower, *unit_spans(lower, offsets, kind, _PARTS)
+
+
 Plan = list[tuple[int, tuple[int, ...]]]  # how many sequences are filled with which lengths
 
 
@@ -64,19 +107,21 @@ class ChunkTokenizer(WordMemo):
     """Token ids of texts, put together from the ids of short stretches.
 
     Neither normaliser nor pre-tokeniser of the vocabulary looks across white space, digits, or a change
-    between letters and punctuation (but for the apostrophe and non-ASCII characters, which are never cut
-    off), so a text's ids are its stretches' ids in order; and it lower-cases, so A-Z can be lower-cased
-    first. A block that may hold special tokens is cut at white space only, as it is. The memo keeps the
-    ids of the stretches seen.
+    between letters and punctuation (but for the apostrophe and non-ASCII characters other than the letters of
+    Latin-1, which are never cut off), so a text's ids are its stretches' ids in order; and it lower-cases, so letters
+    can be lower-cased first. Stretches of lower-case letters need neither of the two and go to the vocabulary's model
+    at once; all others go through the whole tokeniser. The memo keeps the ids of the stretches seen.
     """
 
+    limit = 1_000_000  # their ids are short: some 80 bytes a stretch
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread: its memory stays small
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
-        self.marker = b"<|"  # begins every special token of the vocabulary
         super().__init__()
 
     def forget(self) -> None:
@@ -84,17 +129,36 @@ class ChunkTokenizer(WordMemo):
         self.length, self.start, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        zeros = [b"0" in w for w in words]  # a digit of its own, or anything in a block cut at white space only
-        ids, lengths = self._one_by_one(words) if sum(zeros) > 1 else self._around(words, zeros.index(True)) if any(zeros) else self._joined(words)
-        now = slice(self.n, self.n + len(words))
-        self.length, self.start, self.ids = grown(self.length, now.stop), grown(self.start, now.stop), grown(self.ids, self.used + len(ids))
-        self.length[now], self.start[now] = lengths, self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.n, self.used = now.stop, self.used + len(ids)
+        letters = letters_only(np.frombuffer(b" ".join(words), np.uint8))
+        self.length, self.start = grown(self.length, self.n + len(words)), grown(self.start, self.n + len(words))
+        for rows, learnt in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), self._others)):
+            if len(rows):
+                ids, lengths = learnt([words[i] for i in rows.tolist()])
+                self.ids = grown(self.ids, self.used + len(ids))
+                self.length[self.n + rows], self.start[self.n + rows] = lengths, self.used + np.cumsum(lengths) - lengths
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+        self.n += len(words)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, one after the other, and how many each has."""
+        tokenize = self.tokenize
+        chars = _CHAR[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le").split(" ")
+        ids: list[int] = []
+        ends = [0]
+        for word in chars:
+            ids += [t.id for t in tokenize(word)]
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends)
+
+    def _others(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any stretches."""
+        zeros = [b"0" in w for w in words]  # a digit of its own, or anything in a block cut at white space only
+        return self._one_by_one(words) if sum(zeros) > 1 else self._around(words, zeros.index(True)) if any(zeros) else self._joined(words)
+
     def _one_by_one(self, words: list[bytes], at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
         lists = list(chain.from_iterable(self._ids([w.decode() for w in words[i : i + at_once]]) for i in range(0, len(words), at_once)))
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -115,9 +179,7 @@ class ChunkTokenizer(WordMemo):
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, each text's followed by end_id, and where each text's begin (with a last entry: all ids)."""
-        special = self.marker in data.tobytes()
-        data = data if special else LOWER[data]
-        starts, ends, bounds = unit_spans(data, offsets, _SPACES_ONLY if special else _PARTS)
+        data, starts, ends, bounds = stretches(data, offsets)
         rows = self.rows(data, starts, ends)
         lengths = self.length[rows]
         before = np.concatenate(([0], np.cumsum(lengths)))

@@ -27,8 +27,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from huntframe.llm.common import LOWER, WordMemo, kept_by_worker, table, text_blocks
-from huntframe.llm.op10_best_fit_packing import _PARTS, _SPACES_ONLY, unit_spans
+from huntframe.llm.common import WordMemo, byte_of_char, kept_by_worker, table, text_blocks
+from huntframe.llm.op10_best_fit_packing import stretches
 
 NAME = "op12_bpe_codec"
 END = "</w>"
@@ -39,13 +39,6 @@ NEVER = 1 << 40
 PAIRS = 1_000_000
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte that each character of byte-level token strings stands for: printable Latin-1 stands for itself, the rest for characters from U+0100 on, in order."""
-    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class VocabularyAutomaton:
     """Generalised suffix automaton of the tokens' symbols, with the tokens that end each matched stretch."""
 
@@ -270,9 +263,7 @@ class StretchCodec(WordMemo):
 
     def stretches(self, data, offsets):
         """Row in the memo of each stretch of a block of texts, and where each text's begin (with a last entry: all)."""
-        special = b"<|" in data.tobytes()
-        data = data if special else LOWER[data]
-        starts, ends, bounds = unit_spans(data, offsets, _SPACES_ONLY if special else _PARTS)
+        data, starts, ends, bounds = stretches(data, offsets)
         return self.rows(data, starts, ends).tolist(), bounds.tolist()
 
 
